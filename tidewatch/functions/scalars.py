@@ -41,15 +41,13 @@ def ulid(ts_ms: Column, *row_key: Column) -> Column:
     The same row always gets the same id, whatever the partitioning and however often a task is retried.
     """
 
-    def digit(number: Column, shift: int) -> Column:
-        return F.substr(F.lit(ULID_DIGITS), F.shiftright(number, shift).bitwiseAND(F.lit(31)).cast("int") + 1, F.lit(1))
-
-    time_part = [digit(ts_ms.cast("long"), shift) for shift in range(45, -1, -5)]
-    hash_part = []
-    for half in ("a", "b"):
-        bits = F.xxhash64(F.lit(half), *row_key)
-        hash_part += [digit(bits, shift) for shift in range(35, -1, -5)]
-    return F.concat(*time_part, *hash_part)
+    def digits(number: Column, width: int) -> Column:
+        return F.lpad(F.conv(number.cast("string"), 10, 32), width, "0")
+
+    halves = [F.xxhash64(F.lit(half), *row_key).bitwiseAND(F.lit((1 << 40) - 1)) for half in ("a", "b")]
+    text = F.concat(digits(ts_ms.cast("long"), 10), *[digits(h, 8) for h in halves])
+    # conv counts on from A to V; the letters of an id leave out four of them
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUV", ULID_DIGITS[10:])
 
 
 def to_cents(amount: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch import schema as S
+from tidewatch.operators.evaluate import quantiles
 
 
 class SchemaViolation(ValueError):
@@ -228,8 +229,8 @@ def k_anonymous(df: DataFrame, quasi_ids: list[str], k: int = 50) -> DataFrame:
     )
 
 
-def cap_at_quantile(df: DataFrame, column: str, quantile: float = 0.999, accuracy: int = 100_000) -> DataFrame:
-    """Caps a column at its quantile. The quantile is one number, handed to every row as a literal."""
-    bound = df.agg(F.percentile_approx(column, quantile, accuracy).alias("q")).first()["q"]
-    capped = F.col(column) if bound is None else F.least(F.col(column), F.lit(bound))
+def cap_at_quantile(df: DataFrame, column: str, quantile: float = 0.999) -> DataFrame:
+    """Caps a column at its exact quantile. The quantile is one number, handed to every row as a literal."""
+    bound = quantiles(df, column, [quantile]).first()["value"]
+    capped = F.col(column).cast("double") if bound is None else F.least(F.col(column).cast("double"), F.lit(bound))
     return df.withColumn(f"{column}_capped", capped)
