@@ -246,7 +246,7 @@ def on_blacklist(df: DataFrame, entries: DataFrame, kinds: dict[str, str], block
 
 def override_decisions(decisions: DataFrame, overrides: DataFrame) -> DataFrame:
     """The last manual override of a transaction replaces its action. ``overrides``: (tx_id, action, decided_at_ms)."""
-    last = overrides.groupBy("tx_id").agg(F.max_by("action", "decided_at_ms").alias("_override"))
+    last = overrides.groupBy("tx_id").agg(F.max(F.struct("decided_at_ms", "action"))["action"].alias("_override"))
     return (
         decisions.join(last, "tx_id", "left")
         .withColumn("overridden", F.col("_override").isNotNull())

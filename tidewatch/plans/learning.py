@@ -1 +1,251 @@
-"""Queries."""
+"""Splits, encodings, training and evaluation."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidewatch.operators import evaluate, model as ops
+from tidewatch.operators.features import offline_features
+from tidewatch.plans import query
+from tidewatch.plans.decisions import MIDDLE_MS
+from tidewatch.plans.views import EV, ORD, offline
+from tidewatch.sources.tables import events_as_tx, orders_as_tx
+
+#: A score with many ties, and one with hardly any.
+TIED = F.least(F.floor(F.col("amount_minor") / 500) / F.lit(40.0), F.lit(1.0))
+TIED_SQL = "least((amount_minor // 500) / CAST(40 AS DOUBLE), 1.0)"
+
+
+def scored(spark, folder):
+    return events_as_tx(spark, folder).withColumn("score", TIED)
+
+
+_SCORED = f"{EV}, x AS (SELECT *, {TIED_SQL} AS score FROM ev)"
+_CURVE = (
+    _SCORED
+    + ", g AS (SELECT score, count(*) FILTER (label = 1) AS pos, count(*) FILTER (label <> 1) AS neg FROM x GROUP BY score),"
+    " c AS (SELECT *, CAST(sum(pos) OVER w AS BIGINT) AS tp, CAST(sum(neg) OVER w AS BIGINT) AS fp,"
+    " CAST(sum(pos) OVER () AS BIGINT) AS p, CAST(sum(neg) OVER () AS BIGINT) AS n FROM g WINDOW w AS (ORDER BY score DESC))"
+)
+
+
+@query(
+    f"WITH {_SCORED}, r AS (SELECT label, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS rk FROM x),"
+    " t AS (SELECT sum(rk) FILTER (label = 1) AS s, count(*) FILTER (label = 1) AS p, count(*) FILTER (label <> 1) AS n FROM r)"
+    " SELECT round((s - p * (p + 1) / 2.0) / (CAST(p AS DOUBLE) * n), 9) AS auc, p AS positives, n AS negatives FROM t"
+)
+def area_under_curve(spark, folder):
+    return evaluate.auc(scored(spark, folder)).withColumn("auc", F.round("auc", 9))
+
+
+@query(
+    f"WITH {EV}, x AS (SELECT label, amount_minor + k / 1000.0 AS score FROM (SELECT *, CAST(merchant_id AS INTEGER) AS k FROM ev)),"
+    " r AS (SELECT label, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS rk FROM x),"
+    " t AS (SELECT sum(rk) FILTER (label = 1) AS s, count(*) FILTER (label = 1) AS p, count(*) FILTER (label <> 1) AS n FROM r)"
+    " SELECT round((s - p * (p + 1) / 2.0) / (CAST(p AS DOUBLE) * n), 9) AS auc, p AS positives, n AS negatives FROM t"
+)
+def area_under_curve_fine(spark, folder):
+    fine = F.col("amount_minor") + F.col("merchant_id").cast("int") / F.lit(1000.0)
+    out = evaluate.auc(events_as_tx(spark, folder).withColumn("score", fine))
+    return out.withColumn("auc", F.round("auc", 9))
+
+
+@query(
+    f"WITH {_CURVE} SELECT score AS threshold, tp, fp, tp / CAST(tp + fp AS DOUBLE) AS precision, tp / CAST(p AS DOUBLE) AS recall,"
+    " fp / CAST(n AS DOUBLE) AS fpr FROM c"
+)
+def precision_recall(spark, folder):
+    return evaluate.pr_curve(scored(spark, folder))
+
+
+@query(
+    f"WITH {_CURVE}, l AS (SELECT unnest([0.005, 0.01, 0.02, 0.2, 0.5]) AS x)"
+    " SELECT CAST(x AS DOUBLE) AS max_fpr, coalesce(max(CASE WHEN fp / CAST(n AS DOUBLE) <= x THEN tp / CAST(p AS DOUBLE) END), 0) AS recall"
+    " FROM c, l GROUP BY x"
+)
+def recall_at_false_positive_rates(spark, folder):
+    return evaluate.recall_at_fpr(scored(spark, folder), [0.005, 0.01, 0.02, 0.2, 0.5])
+
+
+@query(f"WITH {_CURVE} SELECT round(sum(pos * (tp / CAST(tp + fp AS DOUBLE))) / max(p), 9) AS auc_pr FROM c")
+def average_precision(spark, folder):
+    return evaluate.auc_pr(scored(spark, folder)).withColumn("auc_pr", F.round("auc_pr", 9))
+
+
+@query(
+    f"WITH {_SCORED} SELECT count(*) FILTER (score >= 0.5 AND label = 1) AS tp, count(*) FILTER (score >= 0.5 AND label <> 1) AS fp,"
+    " count(*) FILTER (score < 0.5 AND label = 1) AS fn, count(*) FILTER (score < 0.5 AND label <> 1) AS tn FROM x"
+)
+def confusion_matrix(spark, folder):
+    return evaluate.confusion(scored(spark, folder))
+
+
+_BINS = (
+    _SCORED
+    + ", b AS (SELECT CAST(least(floor(score * 10), 9) AS INTEGER) AS bin, count(*) AS n, avg(score) AS mean_score,"
+    " avg(CASE WHEN label = 1 THEN 1.0 ELSE 0.0 END) AS observed_rate FROM x GROUP BY 1)"
+)
+
+
+@query(f"WITH {_BINS} SELECT bin, n, round(mean_score, 9) AS mean_score, round(observed_rate, 9) AS observed_rate FROM b")
+def calibration_table(spark, folder):
+    out = evaluate.calibration(scored(spark, folder))
+    return out.withColumn("mean_score", F.round("mean_score", 9)).withColumn("observed_rate", F.round("observed_rate", 9))
+
+
+@query(f"WITH {_BINS} SELECT round(sum(abs(mean_score - observed_rate) * n) / sum(n), 9) AS ece FROM b")
+def calibration_error(spark, folder):
+    out = evaluate.expected_calibration_error(evaluate.calibration(scored(spark, folder)))
+    return out.withColumn("ece", F.round("ece", 9))
+
+
+_DRIFT = " UNION ALL ".join(
+    f"SELECT '{c}' AS col, ts_ms < {MIDDLE_MS} AS old, CAST(greatest(least(floor(({c} - {low}) / {(high - low) / 10}), 9), 0) AS INTEGER) AS bin FROM x"
+    for c, low, high in (("amount_minor", 0.0, 20000.0), ("lat", -60.0, 60.0), ("score", 0.0, 1.0))
+)
+
+
+@query(
+    f"WITH {_SCORED}, v AS ({_DRIFT}), s AS (SELECT col, bin, count(*) FILTER (old) AS b, count(*) FILTER (NOT old) AS c FROM v GROUP BY ALL),"
+    " p AS (SELECT col, greatest(c / CAST(sum(c) OVER (PARTITION BY col) AS DOUBLE), 1e-6) AS p,"
+    " greatest(b / CAST(sum(b) OVER (PARTITION BY col) AS DOUBLE), 1e-6) AS q FROM s)"
+    " SELECT col AS \"column\", round(sum((p - q) * ln(p / q)), 9) AS psi, round(sum(p * ln(p / q)), 9) AS kl FROM p GROUP BY col"
+)
+def feature_drift(spark, folder):
+    tx = scored(spark, folder)
+    ranges = {"amount_minor": (0.0, 20000.0), "lat": (-60.0, 60.0), "score": (0.0, 1.0)}
+    out = evaluate.drift(tx.filter(F.col("ts_ms") < MIDDLE_MS), tx.filter(F.col("ts_ms") >= MIDDLE_MS), ranges)
+    return out.withColumn("psi", F.round("psi", 9)).withColumn("kl", F.round("kl", 9))
+
+
+@query(f"WITH {ORD} SELECT label, count(*) AS n, CAST(round(count(*) * CAST(0.2 AS DOUBLE)) AS BIGINT) AS n_test FROM od GROUP BY label")
+def stratified_split_sizes(spark, folder):
+    split = ops.stratified_split(orders_as_tx(spark, folder), "label", 0.2, key="tx_id")
+    return split.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_test").alias("n_test"))
+
+
+@query(f"WITH {ORD} SELECT user_id, count(*) AS n, 1 AS splits FROM od GROUP BY user_id")
+def group_split_by_user(spark, folder):
+    split = ops.group_split(orders_as_tx(spark, folder), {"train": 0.7, "valid": 0.15, "test": 0.15})
+    return split.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("split").cast("int").alias("splits"))
+
+
+_TIME = f"CASE WHEN ts_ms < {MIDDLE_MS} THEN 'train' WHEN ts_ms < {MIDDLE_MS + 604_800_000} THEN 'valid' ELSE 'test' END"
+
+
+def split_by_time(spark, folder):
+    bounds = [("train", MIDDLE_MS), ("valid", MIDDLE_MS + 604_800_000)]
+    return ops.time_split(events_as_tx(spark, folder), bounds, "test")
+
+
+@query(f"WITH {EV} SELECT {_TIME} AS split, count(*) AS n, min(ts_ms) AS first_ts_ms FROM ev GROUP BY 1")
+def time_split_sizes(spark, folder):
+    return split_by_time(spark, folder).groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.min("ts_ms").alias("first_ts_ms"))
+
+
+@query(
+    f"WITH {EV}, s AS (SELECT user_id, {_TIME} AS split FROM ev)"
+    " SELECT user_id, min(split) AS first_split, max(split) AS last_split FROM s GROUP BY user_id HAVING min(split) <> max(split)"
+)
+def users_leaking_over_time(spark, folder):
+    return ops.leaked_keys(split_by_time(spark, folder))
+
+
+@query(f"WITH {EV} SELECT count(*) FILTER (label = 1) AS positives, true AS share_is_near FROM ev")
+def undersampled(spark, folder):
+    tx = events_as_tx(spark, folder)
+    kept = ops.undersample(tx, "label", 0.25).agg(F.count_if(F.col("label") == 1).alias("positives"), F.count_if(F.col("label") != 1).alias("_kept"))
+    total = tx.filter("label <> 1").count()
+    return kept.select("positives", (F.abs(F.col("_kept") / F.lit(float(total)) - 0.25) < 0.03).alias("share_is_near"))
+
+
+@query(f"WITH {EV} SELECT count(*) AS n, 0 AS users_on_both_sides, true AS stays_when_share_grows FROM ev")
+def traffic_between_models(spark, folder):
+    tx = ops.traffic_split(events_as_tx(spark, folder), 25, "m2").withColumnRenamed("uses_challenger", "quarter")
+    tx = ops.traffic_split(tx, 5, "m2").withColumnRenamed("uses_challenger", "few")
+    per_user = tx.groupBy("user_id").agg(
+        F.count(F.lit(1)).alias("n"),
+        (F.min("quarter") != F.max("quarter")).cast("int").alias("both"),
+        F.bool_and(~F.col("few") | F.col("quarter")).alias("stays"),
+    )
+    return per_user.agg(
+        F.sum("n").alias("n"), F.sum("both").cast("int").alias("users_on_both_sides"), F.bool_and("stays").alias("stays_when_share_grows")
+    )
+
+
+@query(
+    f"WITH {ORD}, t AS (SELECT CASE WHEN label = 1 THEN 1 ELSE 0 END AS target FROM od)"
+    " SELECT count(*) FILTER (target = 1) AS n_pos, count(*) FILTER (target = 0) AS n_neg,"
+    " count(*) FILTER (target = 0) / CAST(greatest(count(*) FILTER (target = 1), 1) AS DOUBLE) AS scale_pos_weight FROM t"
+)
+def class_balance(spark, folder):
+    return ops.class_balance(ops.clean_target(orders_as_tx(spark, folder), "label"))
+
+
+@query(
+    f"WITH {EV}, a AS (SELECT avg(CAST(label AS DOUBLE)) AS a FROM ev WHERE ts_ms < {MIDDLE_MS}),"
+    f" e AS (SELECT merchant_id, (sum(label) + 20 * max(a)) / (count(*) + 20) AS encoded FROM ev, a WHERE ts_ms < {MIDDLE_MS} GROUP BY merchant_id)"
+    f" SELECT tx_id, round(coalesce(encoded, 0), 9) AS merchant_rate FROM ev LEFT JOIN e USING (merchant_id) WHERE ts_ms >= {MIDDLE_MS}"
+)
+def target_encoded_merchants(spark, folder):
+    tx = events_as_tx(spark, folder).withColumn("target", F.col("label"))
+    encoding = ops.target_encoding(tx.filter(F.col("ts_ms") < MIDDLE_MS), "merchant_id")
+    out = ops.encode(tx.filter(F.col("ts_ms") >= MIDDLE_MS), "merchant_id", encoding, "encoded", "merchant_rate")
+    return out.select("tx_id", F.round("merchant_rate", 9).alias("merchant_rate"))
+
+
+@query(
+    f"WITH {ORD}, t AS (SELECT count(*) FILTER (label = 1) AS p, count(*) FILTER (label <> 1) AS n FROM od)"
+    " SELECT mcc AS value, round(ln(((count(*) FILTER (label = 1) + 0.5) / CAST(max(p) + 0.5 AS DOUBLE)) /"
+    " ((count(*) FILTER (label <> 1) + 0.5) / CAST(max(n) + 0.5 AS DOUBLE))), 9) AS woe FROM od, t GROUP BY mcc"
+)
+def weight_of_evidence(spark, folder):
+    out = ops.weight_of_evidence(orders_as_tx(spark, folder).withColumn("target", F.col("label")), "mcc")
+    return out.withColumn("woe", F.round("woe", 9))
+
+
+@query(
+    f"WITH {ORD}, f AS ({offline('od')}) SELECT user_id, 12 AS size, CAST(tx_count_30d AS DOUBLE) AS first_input,"
+    " CAST(CAST(avg_seconds_between_tx AS FLOAT) AS DOUBLE) AS last_input FROM f"
+)
+def model_inputs(spark, folder):
+    from pyspark.ml.functions import vector_to_array
+
+    out = ops.model_input(offline_features(orders_as_tx(spark, folder)))
+    v = vector_to_array("features")
+    return out.select("user_id", F.size(v).alias("size"), v.getItem(0).alias("first_input"), v.getItem(11).alias("last_input"))
+
+
+def trained(spark, folder, trees=10):
+    """Users with a high share of label 1 as the target; trees, test fold and its scores."""
+    features = offline_features(orders_as_tx(spark, folder)).withColumn("target", (F.col("fraud_rate_user") >= 0.35).cast("int"))
+    split = ops.stratified_split(features, "target")
+    model = ops.train_boosted_trees(split.filter(~F.col("is_test")), trees=trees, depth=4)
+    return model, ops.score_with(model, split.filter("is_test"))
+
+
+@query()
+def boosted_tree_scores(spark, folder):
+    _, test = trained(spark, folder)
+    return test.select("user_id", "target", "score")
+
+
+@query()
+def model_metrics(spark, folder):
+    _, test = trained(spark, folder)
+    return ops.metrics_record(test)
+
+
+@query()
+def model_feature_importance(spark, folder):
+    model, _ = trained(spark, folder)
+    return ops.feature_importance(spark, model)
+
+
+@query()
+def blended_by_regression(spark, folder):
+    tx = events_as_tx(spark, folder).select("tx_id", F.col("label").cast("int").alias("target"), TIED.alias("a"), (F.abs("lat") / 60).alias("b"))
+    model = ops.blend_model(tx, ["a", "b"])
+    from pyspark.ml.functions import vector_to_array
+
+    return model.transform(tx).select("tx_id", vector_to_array("probability").getItem(1).alias("p_fraud"))
