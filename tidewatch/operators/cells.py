@@ -196,6 +196,58 @@ def trailing(
     return result.unionByName(keyless)
 
 
+def trailing_max(
+    df: DataFrame,
+    key: str,
+    value: str,
+    horizon_ms: int,
+    name: str,
+    ts: str = "ts_ms",
+    tie: str = "tx_id",
+    cell_ms: int = HOUR_MS,
+) -> DataFrame:
+    """Adds the maximum over (t - horizon, t] per key; the cell width must divide the horizon.
+
+    The window of a row is the end of one old cell, the whole cells after it, and the beginning of the row's own cell.
+    Old rows meet the new ones at the time they drop out, so the end of the old cell is a running maximum backwards.
+    """
+    if horizon_ms % cell_ms:
+        raise ValueError("the cell width must divide the horizon")
+    whole_cells = horizon_ms // cell_ms - 1
+    keyed = df.filter(F.col(key).isNotNull())
+    rows = keyed.select(
+        F.col(key).alias("_key"),
+        F.col(value).alias("_value"),
+        F.struct(*df.columns).alias("_row"),
+        F.explode(
+            F.array(
+                F.struct(F.col(ts).alias("_at"), F.lit(1).alias("_kind")),
+                F.struct((F.col(ts) + horizon_ms).alias("_at"), F.lit(0).alias("_kind")),
+            )
+        ).alias("_m"),
+    ).select("_key", "_value", "_m.*", F.when(F.col("_m._kind") == 1, F.col("_row")).alias("_row"))
+    rows = rows.withColumn("_cell", cell_of(F.col("_at"), cell_ms))
+    cell = Window.partitionBy("_key", "_cell")
+    upto = cell.orderBy("_at", "_kind", f"_row.{tie}").rowsBetween(_START, _NOW)
+    back = cell.orderBy(F.desc("_at"), F.desc("_kind"), F.desc(f"_row.{tie}")).rowsBetween(_START, _NOW)
+    rows = rows.withColumn("_old", F.max(F.when(F.col("_kind") == 0, F.col("_value"))).over(back))
+    rows = rows.withColumn("_new", F.max(F.when(F.col("_kind") == 1, F.col("_value"))).over(upto)).filter("_kind = 1")
+    parts = ["_old", "_new"]
+    if whole_cells:
+        between = Window.partitionBy("_key").orderBy("_cell").rangeBetween(-whole_cells, -1)
+        carry = (
+            keyed.groupBy(F.col(key).alias("_key"), cell_of(F.col(ts), cell_ms).alias("_cell"))
+            .agg(F.max(value).alias("_top"))
+            .select("_key", "_cell", F.max("_top").over(between).alias("_between"))
+        )
+        rows = rows.join(carry, ["_key", "_cell"])
+        parts.append("_between")
+    out = rows.select("_row.*", F.greatest(*parts).alias(name))
+    return out.unionByName(
+        df.filter(F.col(key).isNull()).select("*", F.lit(None).cast(df.schema[value].dataType).alias(name))
+    )
+
+
 def trailing_distinct(
     df: DataFrame,
     key: str,

@@ -15,10 +15,14 @@ from tidewatch.operators.cells import (
     running_totals,
     trailing,
     trailing_distinct,
+    trailing_max,
 )
+from tidewatch.session import cut_lineage
 
 MINUTE_MS = 60_000
 TEN_MINUTES_MS = 10 * MINUTE_MS
+#: Room for events of one user in the same millisecond.
+_TIE_SPACE = 1 << 20
 
 #: Feature columns of the online table.
 ONLINE_FEATURES = [
@@ -92,20 +96,116 @@ def stream_defaults(df: DataFrame, now_ms: Column | None = None) -> DataFrame:
     )
 
 
-def sliding_features(df: DataFrame) -> DataFrame:
+#: A user with more events than this in some hour counts as dense: trailing frames would re-read too many rows.
+DENSE_HOUR = 200
+#: At most this many dense users are named to every task; beyond that all rows take the way for dense ones.
+MOST_DENSE_USERS = 10_000
+
+
+def sliding_features(df: DataFrame, method: str = "auto", cell_ms: int = TEN_MINUTES_MS) -> DataFrame:
     """Adds the online features as they stood right after each event of the user, the event included.
 
     ``tx_count_10m`` counts over (t - 10 min, t]; sum, maximum and distinct mcc go over (t - 1 h, t]. Events count
     one at a time in order of (ts_ms, tx_id). Input has one row per tx_id. Rows without user pass with null features.
 
-    The user's time is cut into hours. An event is sent to its own hour, to the next hour (as an "old" row that
-    drops out one hour after it happened), and to the hour in which it leaves the ten-minute window. One shuffle on
-    (user, hour) brings these together; all features are then running frames over three sort orders, so cost does
-    not grow with the number of events inside the window and a very busy user is spread over the hours.
+    No method puts a whole user into one task; they differ in what a busy hour costs. ``frames``: plain trailing
+    frames over (user, day), quadratic in the events of an hour. ``hours``: running frames over (user, hour), linear.
+    ``cells``: as ``hours``, in cells as small as need be, in more shuffles. ``auto`` counts events per user and hour
+    first (one aggregation, run at once) and sends dense users to ``hours``, the others to ``frames``.
     """
     df = stream_defaults(df)
-    with_user = F.col("user_id").isNotNull() & (F.col("user_id") != "")
+    with_user = F.coalesce((F.col("user_id").isNotNull()) & (F.col("user_id") != ""), F.lit(False))
     keyed = df.filter(with_user)
+    if method == "auto":
+        featured = _by_density(keyed)
+    else:
+        featured = {"frames": _by_frames, "hours": _by_hour, "cells": lambda d: _by_small_cells(d, cell_ms)}[method](keyed)
+    nothing = [F.lit(None).cast(featured.schema[c].dataType).alias(c) for c in ONLINE_FEATURES]
+    return featured.unionByName(df.filter(~with_user).select("*", *nothing))
+
+
+def _by_density(keyed: DataFrame) -> DataFrame:
+    dense = (
+        keyed.groupBy("user_id", cell_of(F.col("ts_ms"), HOUR_MS).alias("_hour"))
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .filter(F.col("_n") > DENSE_HOUR)
+        .select("user_id")
+        .distinct()
+    )
+    users = dense.limit(MOST_DENSE_USERS + 1).collect()
+    if not users:
+        return _by_frames(keyed)
+    if len(users) > MOST_DENSE_USERS:
+        return _by_hour(keyed)
+    named = F.broadcast(keyed.sparkSession.createDataFrame(users, "user_id string"))
+    busy, others = keyed.join(named, "user_id", "left_semi"), keyed.join(named, "user_id", "left_anti")
+    return _by_hour(busy).unionByName(_by_frames(others))
+
+
+def _by_frames(keyed: DataFrame) -> DataFrame:
+    """Trailing frames over (user, day). The last hour of a day is also sent to the next day, as rows that only count."""
+    t = F.col("ts_ms")
+    day = cell_of(t, DAY_MS)
+    both = F.array(F.struct(day.alias("cell"), F.lit(True).alias("own")), F.struct((day + 1).alias("cell"), F.lit(False).alias("own")))
+    near_midnight = cell_of(t + HOUR_MS, DAY_MS) > day
+    seen = keyed.select("*", F.explode(F.when(near_midnight, both).otherwise(F.slice(both, 1, 1))).alias("_in"))
+    seen = seen.select(*keyed.columns, "_in.cell", "_in.own")
+    # brings the rows of a day together in order; the ties below find them so
+    seen = seen.withColumn("_before", F.lag("ts_ms").over(Window.partitionBy("user_id", "cell").orderBy("ts_ms", "tx_id")))
+    # a unique key in order of (ts_ms, tx_id), so that a frame of values takes events one at a time
+    tie = F.row_number().over(Window.partitionBy("user_id", "cell", "ts_ms").orderBy("tx_id")) - 1
+    seen = seen.withColumn("_k", t * _TIE_SPACE + tie)
+    day_order = Window.partitionBy("user_id", "cell").orderBy("_k")
+
+    def last(horizon_ms: int):
+        return day_order.rangeBetween(-((horizon_ms - 1) * _TIE_SPACE + _TIE_SPACE // 2), 0)
+
+    seen = seen.select(
+        "*",
+        F.count(F.lit(1)).over(last(TEN_MINUTES_MS)).alias("tx_count_10m"),
+        F.sum("amount_minor").over(last(HOUR_MS)).alias("amt_sum_1h"),
+        F.max("amount_minor").over(last(HOUR_MS)).alias("_max"),
+        F.size(F.collect_set("mcc").over(last(HOUR_MS))).cast("long").alias("distinct_mcc_1h"),
+    ).filter("own")
+    # the previous event may be days away: last time per (user, day), handed to the user's next active day
+    days = keyed.groupBy("user_id", day.alias("cell")).agg(F.max("ts_ms").alias("_last"))
+    days = days.select("user_id", "cell", F.lag("_last").over(Window.partitionBy("user_id").orderBy("cell")).alias("_carried"))
+    gap = seconds_2(t - F.coalesce("_before", "_carried"))
+    return seen.join(days, ["user_id", "cell"]).select(
+        *keyed.columns,
+        "tx_count_10m",
+        "amt_sum_1h",
+        F.greatest("_max", F.lit(0)).alias("max_amt_1h"),
+        "distinct_mcc_1h",
+        F.coalesce(gap, F.lit(-1.0)).alias("seconds_since_last_tx"),
+        t.alias("last_updated_ms"),
+    )
+
+
+def _by_small_cells(keyed: DataFrame, cell_ms: int) -> DataFrame:
+    sums = {"tx_count_10m": (TEN_MINUTES_MS, F.lit(1)), "amt_sum_1h": (HOUR_MS, F.col("amount_minor"))}
+    # each step reads its input twice (cells and rows), so the steps are cut apart
+    out = cut_lineage(trailing(keyed, "user_id", sums, cell_ms=cell_ms))
+    out = cut_lineage(trailing_max(out, "user_id", "amount_minor", HOUR_MS, "max_amt_1h", cell_ms=cell_ms))
+    out = cut_lineage(trailing_distinct(out, "user_id", "mcc", HOUR_MS, "distinct_mcc_1h", cell_ms=cell_ms))
+    out = previous_row(out, ["user_id"], "ts_ms", "tx_id", ["ts_ms"], cell_ms)
+    gap = F.coalesce(seconds_2(F.col("ts_ms") - F.col("prev_ts_ms")), F.lit(-1.0))
+    return out.select(
+        *keyed.columns,
+        "tx_count_10m",
+        "amt_sum_1h",
+        F.greatest("max_amt_1h", F.lit(0)).alias("max_amt_1h"),
+        "distinct_mcc_1h",
+        gap.alias("seconds_since_last_tx"),
+        F.col("ts_ms").alias("last_updated_ms"),
+    )
+
+
+def _by_hour(keyed: DataFrame) -> DataFrame:
+    """An event is sent to its own hour, to the next hour (as an "old" row that drops out one hour after it happened)
+    and to the hour in which it leaves the ten-minute window. One shuffle on (user, hour) brings these together; all
+    features are then running frames over three sort orders, so cost does not grow with the events in the window.
+    """
     own, old, left = F.lit(2), F.lit(1), F.lit(0)
     t = F.col("ts_ms")
     sightings = F.array(
@@ -119,7 +219,7 @@ def sliding_features(df: DataFrame) -> DataFrame:
             F.col("user_id").alias("_user"),
             F.col("mcc").alias("_mcc"),
             F.col("amount_minor").alias("_amount"),
-            F.struct(*df.columns).alias("_row"),
+            F.struct(*keyed.columns).alias("_row"),
             F.explode(sightings).alias("s"),
         )
         .select(
@@ -132,12 +232,11 @@ def sliding_features(df: DataFrame) -> DataFrame:
     cell = Window.partitionBy("_user", "_cell")
     upto = cell.orderBy(*forward).rowsBetween(Window.unboundedPreceding, 0)
     earlier = cell.orderBy(*forward).rowsBetween(Window.unboundedPreceding, -1)
-    whole = cell.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     # from the end of the hour back to the event: the old rows met so far are those still inside the last hour
     back = cell.orderBy(F.desc("at"), F.desc("role"), F.desc("_row.tx_id")).rowsBetween(Window.unboundedPreceding, 0)
     same_mcc = Window.partitionBy("_user", "_cell", "_mcc").orderBy(*forward)
     mcc_upto = same_mcc.rowsBetween(Window.unboundedPreceding, 0)
-    mcc_later = same_mcc.rowsBetween(1, Window.unboundedFollowing)
+    mcc_whole = Window.partitionBy("_user", "_cell", "_mcc")
 
     def n(condition: Column) -> Column:
         return F.when(condition, F.lit(1)).otherwise(F.lit(0)).cast("long")
@@ -146,7 +245,8 @@ def sliding_features(df: DataFrame) -> DataFrame:
     rows = rows.select(
         "*",
         F.sum(n(is_own)).over(mcc_upto).alias("_mcc_own"),
-        F.coalesce(F.sum(n(is_old)).over(mcc_later), F.lit(0)).alias("_mcc_old_later"),
+        # what is left of the whole; a frame that ends at the last row would be summed anew for every row
+        (F.sum(n(is_old)).over(mcc_whole) - F.sum(n(is_old)).over(mcc_upto)).alias("_mcc_old_later"),
     )
     first_own = is_own & (F.col("_mcc_own") == 1)
     last_old = is_old & (F.col("_mcc_old_later") == 0)
@@ -160,10 +260,10 @@ def sliding_features(df: DataFrame) -> DataFrame:
         F.max(F.when(is_own, F.col("_amount"))).over(upto).alias("_own_max"),
         F.sum(n(first_own) - n(handed_over)).over(upto).alias("_distinct"),
         F.max(F.when(is_own, F.col("at")).when(is_old, F.col("at") - HOUR_MS)).over(earlier).alias("_seen"),
-        F.sum(n(entered_before)).over(whole).alias("_count_in"),
-        F.sum(F.when(is_old, F.col("_amount")).otherwise(F.lit(0))).over(whole).alias("_sum_in"),
-        F.sum(n(last_old)).over(whole).alias("_distinct_in"),
-        F.max(F.when(is_old, F.col("at") - HOUR_MS)).over(whole).alias("_seen_in"),
+        F.sum(n(entered_before)).over(cell).alias("_count_in"),
+        F.sum(F.when(is_old, F.col("_amount")).otherwise(F.lit(0))).over(cell).alias("_sum_in"),
+        F.sum(n(last_old)).over(cell).alias("_distinct_in"),
+        F.max(F.when(is_old, F.col("at") - HOUR_MS)).over(cell).alias("_seen_in"),
     ).filter(is_own)
 
     # the previous event may be hours away: last time per (user, hour), handed to the user's next busy hour
@@ -175,7 +275,7 @@ def sliding_features(df: DataFrame) -> DataFrame:
     )
     # an old row that has already dropped out still is a previous event, so the carried time completes it
     previous = F.greatest("_seen", "_seen_in", "_seen_before")
-    featured = rows.join(hours, ["_user", "_cell"]).select(
+    return rows.join(hours, ["_user", "_cell"]).select(
         "_row.*",
         (F.col("_count") + F.col("_count_in")).alias("tx_count_10m"),
         (F.col("_sum") + F.col("_sum_in")).alias("amt_sum_1h"),
@@ -184,8 +284,6 @@ def sliding_features(df: DataFrame) -> DataFrame:
         F.coalesce(seconds_2(F.col("at") - previous), F.lit(-1.0)).alias("seconds_since_last_tx"),
         F.col("at").alias("last_updated_ms"),
     )
-    nothing = [F.lit(None).cast(featured.schema[c].dataType).alias(c) for c in ONLINE_FEATURES]
-    return featured.unionByName(df.filter(~F.coalesce(with_user, F.lit(False))).select("*", *nothing))
 
 
 def velocity(df: DataFrame, minutes: tuple[int, ...] = (5, 10, 60, 1440), cell_ms: int = HOUR_MS) -> DataFrame:
