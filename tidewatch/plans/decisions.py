@@ -14,11 +14,14 @@ from tidewatch.sources.tables import events_as_tx, orders_as_tx, table
 
 MIDDLE_MS = 1_705_363_200_000  # about half of the events lie before
 
-#: A stand-in for a model: a score that follows the amount.
-SCORE = F.least(F.col("amount_minor") / F.lit(20000.0), F.lit(1.0))
 SCORE_SQL = "least(amount_minor / 20000.0, 1.0)"
 
 
+def amount_score(top: float = 20000.0):
+    """A stand-in for a model: a score that follows the amount."""
+    return F.least(F.col("amount_minor") / F.lit(top), F.lit(1.0))
+
+
 def sql_calls(view: str) -> str:
     """Position of each transaction in its run of calls less than 600 s apart."""
     return f"""
@@ -56,7 +59,7 @@ x AS (SELECT c.tx_id, c.ts_ms, c.country, c.amount_minor, c.amt_sum_1h - c.amoun
 
 def scored_events(spark, folder):
     tx = events_as_tx(spark, folder)
-    return ops.score_batch(sliding_features(tx), offline=offline_features(tx), score=SCORE)
+    return ops.score_batch(sliding_features(tx), offline=offline_features(tx), score=amount_score())
 
 
 @query(f"WITH {_SLIDING_SCORED} SELECT tx_id, action, score, rules FROM d")
@@ -70,8 +73,7 @@ def score_with_stream_features(spark, folder):
     " SELECT tx_id, action, score, rules FROM d"
 )
 def score_without_store(spark, folder):
-    score = F.least(F.col("amount_minor") / F.lit(90000000.0), F.lit(1.0))
-    return shown(ops.score_batch(orders_as_tx(spark, folder), score=score))
+    return shown(ops.score_batch(orders_as_tx(spark, folder), score=amount_score(90000000.0)))
 
 
 _STORED = f"""{EV}, s AS ({sliding('ev')}), f AS ({offline('ev')}), c AS ({sql_calls('ev')}),
@@ -84,7 +86,7 @@ x AS (SELECT c.tx_id, c.country, c.amount_minor, coalesce(o.amt_sum_1h, 0) AS am
 def scored_from_store(spark, folder, mode):
     tx = events_as_tx(spark, folder)
     online = latest_per_key(sliding_features(tx), "user_id").select("user_id", *ONLINE_FEATURES)
-    return shown(ops.score_batch(tx, offline=offline_features(tx), online=online, score=SCORE, count_mode=mode))
+    return shown(ops.score_batch(tx, offline=offline_features(tx), online=online, score=amount_score(), count_mode=mode))
 
 
 @query(f"WITH {_STORED.replace('COUNT_30D', 'coalesce(f.tx_count_30d, 0) + calls')} SELECT tx_id, action, score, rules FROM d")
@@ -137,7 +139,7 @@ def action_shares(spark, folder):
 )
 def rule_dry_run(spark, folder):
     rules = [r for r in ops.DEFAULT_RULES if "tx_count" not in r.when and "amt_sum" not in r.when]
-    return ops.rule_counts(events_as_tx(spark, folder).withColumn("score", SCORE), rules)
+    return ops.rule_counts(events_as_tx(spark, folder).withColumn("score", amount_score()), rules)
 
 
 _FLAGS = "amount_minor > 30000 AS hard_denied, country = 'NG' AS step_up_required"
@@ -151,7 +153,7 @@ _FLAGS = "amount_minor > 30000 AS hard_denied, country = 'NG' AS step_up_require
     " WHEN score < 0.92 THEN 'biometric' END AS challenge FROM x"
 )
 def score_bands(spark, folder):
-    tx = events_as_tx(spark, folder).withColumn("score", SCORE)
+    tx = events_as_tx(spark, folder).withColumn("score", amount_score())
     flagged = tx.withColumn("hard_denied", F.col("amount_minor") > 30000).withColumn("step_up_required", F.col("country") == "NG")
     return ops.band_score(flagged).select("tx_id", "action", "challenge")
 
@@ -171,7 +173,7 @@ def policy_bands(spark, folder):
         (F.lit(0.3) + tenth).alias("otp_below"),
         (F.lit(0.4) + tenth).alias("biometric_below"),
     )
-    tx = events_as_tx(spark, folder).withColumn("score", SCORE).withColumn("policy_id", F.substring("card_bin", 4, 10))
+    tx = events_as_tx(spark, folder).withColumn("score", amount_score()).withColumn("policy_id", F.substring("card_bin", 4, 10))
     return ops.band_by_policy(tx, policies).select("tx_id", "action", "challenge")
 
 
@@ -193,7 +195,7 @@ RULE_SET = [
     " AS boosts, 3 AS ruleset_version FROM y"
 )
 def priority_rule_set(spark, folder):
-    tx = events_as_tx(spark, folder).withColumn("score", SCORE).withColumn("hour", F.hour(F.timestamp_millis("ts_ms")))
+    tx = events_as_tx(spark, folder).withColumn("score", amount_score()).withColumn("hour", F.hour(F.timestamp_millis("ts_ms")))
     out = ops.apply_rule_set(tx, RULE_SET, 3)
     return out.select("tx_id", F.round("score", 9).alias("score"), "action", "rule", F.array_join("boosts", ",").alias("boosts"), "ruleset_version")
 
@@ -259,7 +261,7 @@ def rule_labels(spark, folder):
     " SELECT tx_id, round((a * 0.7 + coalesce(b, 0) * 0.3) / (0.7 + CASE WHEN b IS NULL THEN 0 ELSE 0.3 END), 9) AS p_fraud FROM x"
 )
 def blended_scores(spark, folder):
-    tx = events_as_tx(spark, folder).withColumn("a", SCORE).withColumn("b", F.when(F.col("country") != "GB", F.abs("lat") / 60))
+    tx = events_as_tx(spark, folder).withColumn("a", amount_score()).withColumn("b", F.when(F.col("country") != "GB", F.abs("lat") / 60))
     return ops.blend_scores(tx, {"a": 0.7, "b": 0.3}).select("tx_id", F.round("p_fraud", 9).alias("p_fraud"))
 
 
@@ -308,7 +310,7 @@ def decision_mix_shift(spark, folder):
 def champion_and_challenger(spark, folder):
     tx = events_as_tx(spark, folder)
     both = tx.select(
-        F.when(SCORE < 0.6, "APPROVE").otherwise(F.lit("DECLINE")).alias("champion"),
+        F.when(amount_score() < 0.6, "APPROVE").otherwise(F.lit("DECLINE")).alias("champion"),
         F.when(F.abs("lat") / 60 < 0.7, "APPROVE").otherwise(F.lit("DECLINE")).alias("challenger"),
     )
     return back_test(both, "champion", "challenger")

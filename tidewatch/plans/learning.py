@@ -11,13 +11,16 @@ from tidewatch.plans.decisions import MIDDLE_MS
 from tidewatch.plans.views import EV, ORD, offline
 from tidewatch.sources.tables import events_as_tx, orders_as_tx
 
-#: A score with many ties, and one with hardly any.
-TIED = F.least(F.floor(F.col("amount_minor") / 500) / F.lit(40.0), F.lit(1.0))
 TIED_SQL = "least((amount_minor // 500) / CAST(40 AS DOUBLE), 1.0)"
 
 
+def tied_score():
+    """A score that many rows share."""
+    return F.least(F.floor(F.col("amount_minor") / 500) / F.lit(40.0), F.lit(1.0))
+
+
 def scored(spark, folder):
-    return events_as_tx(spark, folder).withColumn("score", TIED)
+    return events_as_tx(spark, folder).withColumn("score", tied_score())
 
 
 _SCORED = f"{EV}, x AS (SELECT *, {TIED_SQL} AS score FROM ev)"
@@ -244,7 +247,7 @@ def model_feature_importance(spark, folder):
 
 @query()
 def blended_by_regression(spark, folder):
-    tx = events_as_tx(spark, folder).select("tx_id", F.col("label").cast("int").alias("target"), TIED.alias("a"), (F.abs("lat") / 60).alias("b"))
+    tx = events_as_tx(spark, folder).select("tx_id", F.col("label").cast("int").alias("target"), tied_score().alias("a"), (F.abs("lat") / 60).alias("b"))
     model = ops.blend_model(tx, ["a", "b"])
     from pyspark.ml.functions import vector_to_array
 

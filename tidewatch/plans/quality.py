@@ -104,7 +104,7 @@ def top_mcc(spark, folder):
 def expectation_suite(spark, folder):
     tx = events_as_tx(spark, folder)
     hashed = tx.withColumn("user_id", F.sha2("user_id", 256))
-    suite = [*ops.CANONICAL_SUITE, ops.null_ratio("device_fp"), ops.row_loss(table(spark, folder, "events").count())]
+    suite = [*ops.canonical_suite(), ops.null_ratio("device_fp"), ops.row_loss(table(spark, folder, "events").count())]
     return ops.expectations(hashed, suite).withColumn("observed", F.round("observed", 9))
 
 
