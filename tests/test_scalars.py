@@ -82,3 +82,8 @@ def test_hashed_draws_look_uniform_and_normal(spark):
     row = df.agg(F.min("u"), F.max("u"), F.avg("u"), F.avg("z"), F.stddev("z")).first()
     assert 0 <= row[0] < 0.001 and 0.999 < row[1] < 1 and abs(row[2] - 0.5) < 0.01
     assert abs(row[3]) < 0.03 and abs(row[4] - 1) < 0.03
+
+
+def test_distance_from_nowhere_is_unknown(spark):
+    null = F.lit(None).cast("double")
+    assert one(spark, S.haversine_km(null, null, F.lit(1.0), F.lit(1.0))) is None

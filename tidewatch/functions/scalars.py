@@ -119,11 +119,12 @@ def clock_text(ts_ms: Column) -> Column:
 
 
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    """Great-circle distance."""
+    """Great-circle distance; null if any coordinate is."""
     half_dlat = F.radians(lat2 - lat1) / 2
     half_dlon = F.radians(lon2 - lon1) / 2
     h = F.pow(F.sin(half_dlat), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(half_dlon), 2)
-    return F.lit(2 * EARTH_RADIUS_KM) * F.asin(F.least(F.sqrt(h), F.lit(1.0)))
+    # least() skips nulls, so the check for them comes first
+    return F.when(h.isNotNull(), F.lit(2 * EARTH_RADIUS_KM) * F.asin(F.least(F.sqrt(h), F.lit(1.0))))
 
 
 def hash_unit(*parts: Column) -> Column:

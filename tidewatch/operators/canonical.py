@@ -142,7 +142,7 @@ def canonicalize_paysim(df: DataFrame, key: str, row_key: list[str] | None = Non
             "tx_id": ulid(ts_ms, F.lit("paysim"), *[F.col(c) for c in row_key or df.columns]),
             "user_id": payer,
             "ts_ms": ts_ms,
-            "amount_minor": F.greatest(to_cents(F.col("amount")), F.lit(0)),
+            "amount_minor": F.when(F.col("amount").isNotNull(), F.greatest(to_cents(F.col("amount")), F.lit(0))),
             "currency": F.lit("USD"),
             "channel": enum_map(F.col("type"), PAYSIM_CHANNELS, "other"),
             "merchant_id": payee,

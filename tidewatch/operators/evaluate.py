@@ -137,11 +137,10 @@ def quantiles(df: DataFrame, column: str, probabilities: list[float], cells: int
     wide = ranked.agg(*[c.alias(f"v{k}") for k, c in at.items()], F.count(F.lit(1)).alias("_distinct"))
     rows = []
     for p in probabilities:
-        low, high = _ranks(p, total)
-        share = p * (total - 1) - low
-        between = (
-            F.col(f"v{low}") + (F.col(f"v{high}") - F.col(f"v{low}")) * F.lit(share) if total else F.lit(None).cast("double")
-        )
+        between = F.lit(None).cast("double")
+        if total:
+            low, high = _ranks(p, total)
+            between = F.col(f"v{low}") + (F.col(f"v{high}") - F.col(f"v{low}")) * F.lit(p * (total - 1) - low)
         rows.append(F.struct(F.lit(float(p)).alias("q"), between.alias("value")))
     return wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
@@ -164,9 +163,9 @@ def quick_quantiles(df: DataFrame, column: str, probabilities: list[float], accu
 
 
 def width_bin(value: Column, low: float, high: float, bins: int) -> Column:
-    """Bin number from 0 of equal-width bins; values outside go to the first or the last one."""
+    """Bin number from 0 of equal-width bins; values outside go to the first or the last one, null to none."""
     position = F.floor((value - F.lit(low)) / F.lit((high - low) / bins))
-    return F.greatest(F.least(position, F.lit(bins - 1)), F.lit(0)).cast("int")
+    return F.when(value.isNotNull(), F.greatest(F.least(position, F.lit(bins - 1)), F.lit(0))).cast("int")
 
 
 def drift(

@@ -233,5 +233,5 @@ def k_anonymous(df: DataFrame, quasi_ids: list[str], k: int = 50) -> DataFrame:
 def cap_at_quantile(df: DataFrame, column: str, quantile: float = 0.999) -> DataFrame:
     """Caps a column at its exact quantile. The quantile is one number, handed to every row as a literal."""
     bound = quantiles(df, column, [quantile]).first()["value"]
-    capped = F.col(column).cast("double") if bound is None else F.least(F.col(column).cast("double"), F.lit(bound))
-    return df.withColumn(f"{column}_capped", capped)
+    value = F.col(column).cast("double")
+    return df.withColumn(f"{column}_capped", value if bound is None else F.when(value > bound, bound).otherwise(value))

@@ -92,7 +92,8 @@ def merged_features(
         found = [F.col(f"_{side}_{c}") for side in ("on", "off") if f"_{side}_{c}" in out.columns]
         if c in tx.columns:
             found.insert(0, F.col(c))
-        value = number_or_zero(F.coalesce(*found).cast("string")) if found else F.lit(0.0)
+        # stored values may be text; the first one present counts even if it is not a number
+        value = number_or_zero(F.coalesce(*[x.cast("string") for x in found])) if found else F.lit(0.0)
         out = out.withColumn(c, value)
     return out.drop(*[c for c in out.columns if c.startswith(("_on_", "_off_"))])
 
@@ -205,7 +206,8 @@ def apply_rule_set(df: DataFrame, rules: list[PriorityRule], version: int = 1) -
     deciding = [r for r in ranked if r.then != "BOOST"]
     added = sum((F.when(met(r.when), r.boost).otherwise(0.0) for r in boosts), F.lit(0.0))
     out = df.withColumn("_added", added).withColumn("_boosts", names_of([Rule(r.name, r.when) for r in boosts]))
-    out = out.withColumn("score", F.least(F.col("score") + F.col("_added"), F.lit(1.0)))
+    score = F.coalesce(F.col("score"), F.lit(0.0))
+    out = out.withColumn("score", F.least(score + F.col("_added"), F.lit(1.0)))
     action, challenge, name = (F.when(F.lit(False), F.lit("")) for _ in range(3))
     for r in deciding:
         condition = met(r.when)

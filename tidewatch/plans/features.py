@@ -135,8 +135,8 @@ def mcc_fraud_rate(spark, folder):
 TRAVEL_SQL = f"""
   SELECT tx_id, km, CASE WHEN h > 0 THEN km / h WHEN km > 0 THEN CAST('Infinity' AS DOUBLE) END AS kmh FROM (
     SELECT tx_id, (ts_ms - pt) / 3600000.0 AS h,
-           2 * 6371.0 * asin(least(sqrt(pow(sin(radians(lat - plat) / 2), 2)
-             + cos(radians(plat)) * cos(radians(lat)) * pow(sin(radians(lon - plon) / 2), 2)), 1.0)) AS km
+           CASE WHEN plat IS NOT NULL THEN 2 * 6371.0 * asin(least(sqrt(pow(sin(radians(lat - plat) / 2), 2)
+             + cos(radians(plat)) * cos(radians(lat)) * pow(sin(radians(lon - plon) / 2), 2)), 1.0)) END AS km
     FROM (SELECT *, lag(lat) OVER w AS plat, lag(lon) OVER w AS plon, lag(ts_ms) OVER w AS pt
           FROM ({ordered('ev')}) WINDOW w AS (PARTITION BY user_id ORDER BY k)))"""
 
