@@ -2,8 +2,6 @@ import os
 import random
 import time
 
-import pandas as pd
-
 from tests.brute import HOUR, START, TX, busy_rows, sliding
 from tidewatch.operators.features import ONLINE_FEATURES, sliding_features
 from tidewatch.sources.topics import as_messages, good_events, read_tx_stream
@@ -141,6 +139,6 @@ def test_decisions_are_partitioned_by_date_and_hour(spark):
     assert (str(row["date"]), row["hour"], row["policy_id"]) == ("2023-11-15", 0, "p1")
 
 
-def test_walk_floors_a_negative_gap():
-    frame = pd.DataFrame([(START, "t1", 5, "a", True)], columns=["ts_ms", "tx_id", "amount_minor", "mcc", "fresh"])
-    assert S.walk(frame, START + 1000)[0][5] == 0.0
+def test_a_gap_to_a_later_event_is_zero():
+    ((_, found),) = S.walk([(START, "t1", 5, "a", True)], START + 1000)
+    assert found[4] == 0.0

@@ -132,11 +132,17 @@ def canonicalize_sparkov(df: DataFrame, key: str, row_key: list[str] | None = No
 def canonicalize_paysim(df: DataFrame, key: str, row_key: list[str] | None = None) -> DataFrame:
     """Mobile-money transfers in hourly steps; the payee plays the merchant."""
     ts_ms = (F.col("step").cast("long") * 3600 + PAYSIM_EPOCH) * 1000
-    payer = hmac_sha256(F.concat(F.lit("orig="), text_or_blank(F.col("nameOrig"))), key)
-    payee = hmac_sha256(F.concat(F.lit("dest="), text_or_blank(F.col("nameDest"))), key)
+    # columns of their own, because each is used twice and should be hashed once
+    hashed = df.withColumns(
+        {
+            "_payer": hmac_sha256(F.concat(F.lit("orig="), text_or_blank(F.col("nameOrig"))), key),
+            "_payee": hmac_sha256(F.concat(F.lit("dest="), text_or_blank(F.col("nameDest"))), key),
+        }
+    )
+    payer, payee = F.col("_payer"), F.col("_payee")
     before, after = number_or_null(F.col("oldbalanceOrg")), number_or_null(F.col("newbalanceOrig"))
     return to_canonical(
-        df,
+        hashed,
         "paysim",
         {
             "tx_id": ulid(ts_ms, F.lit("paysim"), *[F.col(c) for c in row_key or df.columns]),

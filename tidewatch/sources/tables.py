@@ -17,8 +17,9 @@ def _epoch_ms(column: str):
 
 def events_as_tx(spark: SparkSession, folder: str) -> DataFrame:
     """The ``events`` stream as canonical-like transactions with device, place and country derived from its columns."""
-    k = F.get_json_object("props", "$.k").cast("int")
-    return table(spark, folder, "events").select(
+    k = F.col("k")
+    # k is a column of its own so that the JSON is read once per row
+    return table(spark, folder, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int")).select(
         F.col("event_id").cast("string").alias("tx_id"),
         F.col("user_id").cast("string").alias("user_id"),
         _epoch_ms("ts").alias("ts_ms"),

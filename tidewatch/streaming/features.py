@@ -19,6 +19,7 @@ FEATURES = (
     " last_updated_ms long"
 )
 _HELD = ["ts_ms", "tx_id", "amount_minor", "mcc"]
+_OUT = ["tx_id", "user_id", "amount_minor", "mcc", "ts_ms", *ONLINE_FEATURES]
 
 
 class SlidingFeatures(StatefulProcessor):
@@ -40,31 +41,32 @@ class SlidingFeatures(StatefulProcessor):
         self.last = handle.getValueState("last", "ts_ms long", ttlDurationMs=self.last_ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows)).drop_duplicates("tx_id", keep="last")
-        held = [r for r in self.held.get()] if self.held.exists() else []
-        old = pd.DataFrame(held, columns=_HELD)
-        old = old[~old["tx_id"].isin(new["tx_id"])]
+        new = {}
+        for chunk in rows:
+            for event in zip(*[chunk[c].tolist() for c in _HELD]):
+                new[event[1]] = event
+        held = [tuple(r) for r in self.held.get()] if self.held.exists() else []
         last = int(self.last.get()[0]) if self.last.exists() else None
+        events = sorted([(*e, False) for e in held if e[1] not in new] + [(*e, True) for e in new.values()])
 
-        merged = pd.concat([old.assign(fresh=False), new[_HELD].assign(fresh=True)]) if len(old) else new[_HELD].assign(fresh=True)
-        merged = merged.sort_values(["ts_ms", "tx_id"], kind="stable")
-        out = pd.DataFrame(walk(merged, last), columns=["tx_id", *ONLINE_FEATURES])
-
-        newest = max(int(merged["ts_ms"].iloc[-1]), last or 0)
-        kept = merged[merged["ts_ms"] > newest - HOUR_MS - self.lateness_ms]
-        self.held.put([tuple(r) for r in kept[_HELD].itertuples(index=False, name=None)])
+        newest = max(events[-1][0], last or 0)
+        self.held.put([e[:4] for e in events if e[0] > newest - HOUR_MS - self.lateness_ms])
         self.last.update((newest,))
-        yield new.merge(out, on="tx_id")[["tx_id", "user_id", "amount_minor", "mcc", "ts_ms", *ONLINE_FEATURES]]
+        yield pd.DataFrame([(e[1], key[0], e[2], e[3], e[0], *f) for e, f in walk(events, last)], columns=_OUT)
 
     def close(self) -> None:
         pass
 
 
-def walk(events: pd.DataFrame, last: int | None) -> list[tuple]:
-    """Features of the fresh events among one user's ordered events; every event enters and leaves each window once."""
+def walk(events: list[tuple], last: int | None) -> Iterator[tuple]:
+    """(event, features) of the fresh ones among a user's ordered events (ts_ms, tx_id, amount, mcc, fresh).
+
+    Every event enters and leaves each window once. ``last`` is the time of the last event before all of these.
+    """
     hour, minutes, largest, seen = deque(), deque(), deque(), Counter()
-    total, previous, out = 0, None, []
-    for ts, tx, amount, mcc, fresh in events[[*_HELD, "fresh"]].itertuples(index=False, name=None):
+    total, previous = 0, last
+    for event in events:
+        ts, _, amount, mcc, fresh = event
         while hour and hour[0][0] <= ts - HOUR_MS:
             _, gone, code = hour.popleft()
             total -= gone
@@ -83,11 +85,9 @@ def walk(events: pd.DataFrame, last: int | None) -> list[tuple]:
         seen[mcc] += 1
         total += amount
         if fresh:
-            before = previous if previous is not None else last
-            gap = -1.0 if before is None else round(max(0, ts - before) / 1000, 2)
-            out.append((tx, len(minutes), total, max(largest[0][1], 0), len(seen), gap, ts))
+            gap = -1.0 if previous is None else round(max(0, ts - previous) / 1000, 2)
+            yield event, (len(minutes), total, max(largest[0][1], 0), len(seen), gap, ts)
         previous = ts
-    return out
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -106,6 +106,7 @@ def stream_features(events: DataFrame, lateness_ms: int = 0, state_ttl_ms: int =
     """
     use_rocksdb(events.sparkSession)
     rows = stream_defaults(events).filter(F.col("user_id").isNotNull() & (F.col("user_id") != ""))
+    rows = rows.withColumn("tx_id", F.coalesce("tx_id", F.lit("")))
     return (
         rows.select("tx_id", "user_id", "amount_minor", "mcc", "ts_ms")
         .groupBy("user_id")
