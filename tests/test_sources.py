@@ -200,3 +200,15 @@ def test_deduplicate_keeps_the_first(spark):
     rows = [("a", 2, "x"), ("a", 1, "y"), ("a", 1, "x"), ("b", 5, None)]
     df = spark.createDataFrame(rows, "k string, t long, v string")
     assert {tuple(r) for r in history.deduplicate(df, ["k"], ["t"]).collect()} == {("a", 1, "x"), ("b", 5, None)}
+
+
+def test_replay_in_slices_follows_time(spark, folder):
+    import os
+
+    df = generate.generate_transactions(spark, 400, 20, 0.1)
+    topics.replay(df, "parquet", slice_ms=10 * 86_400_000, path=f"{folder}/sliced")
+    names = sorted((f for f in os.listdir(f"{folder}/sliced") if f.endswith(".parquet")), key=lambda f: os.path.getmtime(f"{folder}/sliced/{f}"))
+    assert spark.read.parquet(f"{folder}/sliced").count() == 400
+    last = [json.loads(r["value"])["ts_ms"] for r in spark.read.parquet(f"{folder}/sliced/{names[-1]}").collect()]
+    first = [json.loads(r["value"])["ts_ms"] for r in spark.read.parquet(f"{folder}/sliced/{names[0]}").collect()]
+    assert max(first) < min(last)

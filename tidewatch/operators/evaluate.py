@@ -222,6 +222,12 @@ def action_rates(decisions: DataFrame) -> DataFrame:
     return counts.withColumn("pct", F.col("n") * F.lit(100.0) / F.sum("n").over(everything))
 
 
+def compare_decisions(champion: DataFrame, challenger: DataFrame) -> DataFrame:
+    """Agreement matrix of two decision tables (tx_id, action) over the transactions that both decided."""
+    both = champion.select("tx_id", F.col("action").alias("a")).join(challenger.select("tx_id", F.col("action").alias("b")), "tx_id")
+    return back_test(both, "a", "b")
+
+
 def back_test(decisions: DataFrame, champion: str, challenger: str) -> DataFrame:
     """Agreement matrix of two decisions on the same transactions."""
     return decisions.groupBy(F.col(champion).alias("champion"), F.col(challenger).alias("challenger")).agg(

@@ -29,12 +29,12 @@ def degrees(edge: DataFrame) -> DataFrame:
     return ends.groupBy("account").agg(F.sum("o").alias("out_degree"), F.sum("i").alias("in_degree"))
 
 
-def pagerank(edge: DataFrame, iterations: int = 20, damping: float = 0.85, cut_every: int = 5) -> DataFrame:
+def pagerank(edge: DataFrame, iterations: int = 20, damping: float = 0.85) -> DataFrame:
     """PageRank over distinct edges; ranks add up to 1, accounts that pay nobody spread theirs evenly.
 
     Per round: ranks meet the edges on the payer (one rank per payer, so a payer with very many edges can be split
-    by the skew join), shares are summed per payee with a combine before the shuffle. The lineage is cut by a
-    reliable checkpoint every few rounds.
+    by the skew join), shares are summed per payee with a combine before the shuffle. The ranks, one row per account,
+    are checkpointed every round, so that no round is computed twice.
     """
     links = cut_lineage(edge.select("src", "dst").distinct())
     nodes = cut_lineage(degrees(links).select("account", "out_degree"))
@@ -56,7 +56,7 @@ def pagerank(edge: DataFrame, iterations: int = 20, damping: float = 0.85, cut_e
         ranks = nodes.join(shares, "account", "left").select(
             "account", "out_degree", (F.lit(base) + damping * F.coalesce("received", F.lit(0.0))).alias("rank")
         )
-        if step % cut_every == 0 and step < iterations:
+        if step < iterations:
             ranks = cut_lineage(ranks)
     return ranks.select("account", F.col("rank").alias("pagerank"))
 

@@ -110,14 +110,23 @@ def window_totals(df: DataFrame, size: str, slide: str | None = None, keys: tupl
     )
 
 
-def live_kpis(decisions: DataFrame) -> DataFrame:
-    """Per second with traffic: transactions, mean latency, and the share of non-approved ones so far in percent."""
-    per_second = decisions.groupBy(F.floor(F.col("ts_ms") / 1000).alias("second")).agg(
+def per_second(decisions: DataFrame, second: Column) -> DataFrame:
+    """Transactions, mean latency and non-approved decisions per second with traffic."""
+    return decisions.groupBy(second.alias("second")).agg(
         F.count(F.lit(1)).alias("tps"),
         F.avg("latency_ms").alias("latency_ms"),
         F.count_if(F.col("action") != "APPROVE").alias("flagged"),
     )
-    cut = per_second.withColumn("_cell", cell_of(F.col("second") * 1000, DAY_MS))
+
+
+def live_kpis(decisions: DataFrame) -> DataFrame:
+    """Per second with traffic: transactions, mean latency, and the share of non-approved ones so far in percent."""
+    return running_kpis(per_second(decisions, F.floor(F.col("ts_ms") / 1000)))
+
+
+def running_kpis(seconds: DataFrame) -> DataFrame:
+    """Live figures out of a table with a row per second (epoch seconds)."""
+    cut = seconds.withColumn("_cell", cell_of(F.col("second") * 1000, DAY_MS))
     out = running_totals(cut, [], "_cell", [F.col("second")], {"_all": F.col("tps"), "_bad": F.col("flagged")})
     return out.select(
         "second",

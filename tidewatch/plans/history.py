@@ -138,8 +138,7 @@ def guardrail_alerts(spark, folder):
 def decision_log_by_hour(spark, folder):
     path = new_folder(spark, "decisions")
     log = decision_log(decided(spark, folder), "r7", "m1")
-    # every row of an hour goes to one task, which writes one file
-    log.repartition("date", "hour").write.partitionBy("date", "hour").parquet(path)
+    files.gathered(log, "date", "hour").write.partitionBy("date", "hour").parquet(path)
     return spark.read.parquet(path).groupBy("date", "hour", "action", "ruleset_version").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -108,14 +108,14 @@ def expectation_suite(spark, folder):
     return ops.expectations(hashed, suite).withColumn("observed", F.round("observed", 9))
 
 
-_PIPELINE = (
+_EXPECTED_AND_ACTUAL = (
     "a AS (SELECT DISTINCT ON (user_id) * FROM s ORDER BY user_id, ts_ms DESC, tx_id DESC),"
     " e AS (SELECT user_id, count(*) AS n, CAST(sum(amount_minor) AS BIGINT) AS total, max(amount_minor) AS top FROM ev GROUP BY user_id)"
 )
 
 
 @query(
-    f"WITH {EV}, s AS ({sliding('ev')}), {_PIPELINE}"
+    f"WITH {EV}, s AS ({sliding('ev')}), {_EXPECTED_AND_ACTUAL}"
     " SELECT user_id, 'tx_count_10m' AS feature, n AS expected, tx_count_10m AS actual, tx_count_10m >= n AS passed FROM e JOIN a USING (user_id)"
     " UNION ALL SELECT user_id, 'amt_sum_1h', total, amt_sum_1h, amt_sum_1h >= total FROM e JOIN a USING (user_id)"
     " UNION ALL SELECT user_id, 'max_amt_1h', top, max_amt_1h, max_amt_1h = top FROM e JOIN a USING (user_id)"

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewatch.operators.features import ONLINE_FEATURES, offline_features
+from tidewatch.operators.history import running_kpis
 from tidewatch.plans import query
 from tidewatch.plans.features import SLIDING_COLUMNS
-from tidewatch.plans.history import _ONLINE, shown_windows
+from tidewatch.plans.history import _DECIDED, _ONLINE, decided, shown_windows
 from tidewatch.plans.views import EV, offline, sliding
 from tidewatch.session import new_folder
 from tidewatch.sources.tables import events_as_tx
@@ -73,6 +74,22 @@ def stream_with_profile(spark, folder):
     return out.select("tx_id", "amount_minor", "tx_count_30d", "amt_max_30d")
 
 
+@query(
+    f"WITH {_DECIDED}, s AS (SELECT ts_ms // 1000 AS second, count(*) AS tps, avg(latency_ms) AS latency, count(*) FILTER (action <> 'APPROVE')"
+    " AS bad FROM d WHERE ts_ms // 1000 * 1000 + 1000 <= (SELECT max(ts_ms) - 5000 FROM d) GROUP BY 1) SELECT second, tps,"
+    " round(latency, 2) AS latency_ms, round(CAST(sum(bad) OVER w AS BIGINT) *"
+    " CAST(100 AS DOUBLE) / CAST(sum(tps) OVER w AS BIGINT), 2) AS fraud_rate_pct FROM s WINDOW w AS (ORDER BY second)"
+)
+def stream_live_kpis(spark, folder):
+    features.use_rocksdb(spark)
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "true")
+    topic = new_folder(spark, "decisions")
+    decisions = decided(spark, folder).withColumn("user_id", F.lit(""))
+    replay(decisions, "parquet", path=topic)
+    events = good_events(read_tx_stream(spark, "parquet", decisions.schema, path=topic))
+    return running_kpis(run_to_table(spark, sinks.stream_seconds(events), "seconds"))
+
+
 @query(f"WITH {EV} SELECT tx_id, ts_ms FROM ev ORDER BY ts_ms DESC, tx_id DESC LIMIT 50")
 def stream_newest(spark, folder):
     path, checkpoint = new_folder(spark, "newest"), new_folder(spark, "newest-state")

@@ -22,17 +22,15 @@ def read_raw(
     file order, from 0.
     """
     # the header is read to match columns by name; the rows are not scanned for types
-    header = spark.read.option("header", True).option("pathGlobFilter", "*.csv").csv(path)
+    reader = spark.read.option("header", True).option("pathGlobFilter", "*.csv")
+    header = reader.csv(path)
+    if first_only:
+        header = reader.csv(min(header.inputFiles()))
     declared = {f.name: f.dataType for f in RAW[dataset].fields}
     missing = [c for c in declared if c not in header.columns]
     if missing:
         raise ValueError(f"{dataset}: missing columns {missing}")
-    out = header
-    if first_only:
-        first = header.select(F.min(F.col("_metadata.file_path")).alias("f")).first()["f"]
-        out = header.filter(F.col("_metadata.file_path") == first)
-    if row_index:
-        out = with_row_index(out)
+    out = with_row_index(header) if row_index else header
     typed = [F.col(c).cast(declared[c]).alias(c) if c in declared else F.col(c) for c in out.columns]
     return out.select(*typed)
 
@@ -72,14 +70,16 @@ def with_lake_partitions(df: DataFrame, country: bool = False) -> DataFrame:
     return out.withColumn("country_part", F.coalesce("country", F.lit("none"))) if country else out
 
 
-def write_lake(df: DataFrame, path: str, by: tuple[str, ...] = ("date", "source"), files_per_partition: int = 1) -> None:
-    """Partitioned Parquet. Rows go to the task of their partition value first, so files stay few.
+def gathered(df: DataFrame, *by: str) -> DataFrame:
+    """Rows of one partition value together, so files stay few. Sizes decide at run time: a value with very many rows
+    is split over tasks, and small ones share a task."""
+    return df.hint("rebalance", *by)
 
-    ``files_per_partition`` spreads a partition over that many tasks; raise it where one day of one source is large.
-    """
+
+def write_lake(df: DataFrame, path: str, by: tuple[str, ...] = ("date", "source")) -> None:
+    """Partitioned Parquet, whatever the share of a single day or source."""
     out = with_lake_partitions(df, country="country_part" in by)
-    spread = F.pmod(F.xxhash64("tx_id"), F.lit(files_per_partition))
-    out.repartition(*[F.col(c) for c in by], spread).write.mode("overwrite").partitionBy(*by).parquet(path)
+    gathered(out, *by).write.mode("overwrite").partitionBy(*by).parquet(path)
 
 
 def write_table(df: DataFrame, path: str) -> None:

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
-from tidewatch.operators.history import event_time, latest_per_key, recent, window_totals
+from tidewatch.operators.history import event_time, latest_per_key, per_second, recent, window_totals
+from tidewatch.sources.files import gathered
 
 
 def deduplicated(events: DataFrame, keys: list[str], lateness: str = "5 seconds") -> DataFrame:
@@ -22,6 +23,12 @@ def stream_windows(events: DataFrame, size: str, slide: str | None = None, laten
     return window_totals(event_time(events).withWatermark("ts", lateness), size, slide)
 
 
+def stream_seconds(decisions: DataFrame, lateness: str = "5 seconds") -> DataFrame:
+    """Traffic, latency and non-approved decisions per second; ``history.running_kpis`` makes live figures of them."""
+    windows = per_second(event_time(decisions).withWatermark("ts", lateness), F.window("ts", "1 second"))
+    return windows.withColumn("second", F.unix_seconds("second.start"))
+
+
 def enriched(events: DataFrame, profile: DataFrame) -> DataFrame:
     """Stream-static left join with one profile row per user."""
     return events.join(profile, "user_id", "left")
@@ -54,7 +61,7 @@ def upsert_latest(path: str, key: str = "user_id", order: tuple[str, ...] = ("ts
             if before is not None:
                 merged = latest_per_key(rows.unionByName(before.select(*rows.columns)), key, order)
             target = f"{path}/v={batch_id:010d}"
-            merged.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(target)
+            gathered(merged, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(target)
         finally:
             rows.unpersist()
 
