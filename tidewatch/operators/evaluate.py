@@ -24,7 +24,8 @@ def with_value_cell(df: DataFrame, column: str, bounds: list[float]) -> DataFram
     splits = [float("-inf"), *(bounds or [0.0]), float("inf")]
     double = df.withColumn("_number", F.col(column).cast("double"))
     out = Bucketizer(splits=splits, inputCol="_number", outputCol="_cell", handleInvalid="keep").transform(double)
-    return out.drop("_number")
+    # whole numbers hash alike in windows and joins, so they share a shuffle
+    return out.withColumn("_cell", F.col("_cell").cast("int")).drop("_number")
 
 
 def score_counts(df: DataFrame, score: str, label: str) -> DataFrame:

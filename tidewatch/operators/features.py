@@ -114,14 +114,15 @@ def sliding_features(df: DataFrame, method: str = "auto", cell_ms: int = TEN_MIN
     first (one aggregation, run at once) and sends dense users to ``hours``, the others to ``frames``.
     """
     df = stream_defaults(df)
-    with_user = F.coalesce((F.col("user_id").isNotNull()) & (F.col("user_id") != ""), F.lit(False))
-    keyed = df.filter(with_user)
+    keyed = df.filter(F.col("user_id").isNotNull() & (F.col("user_id") != ""))
     if method == "auto":
         featured = _by_density(keyed)
     else:
         featured = {"frames": _by_frames, "hours": _by_hour, "cells": lambda d: _by_small_cells(d, cell_ms)}[method](keyed)
     nothing = [F.lit(None).cast(featured.schema[c].dataType).alias(c) for c in ONLINE_FEATURES]
-    return featured.unionByName(df.filter(~with_user).select("*", *nothing))
+    # a plain condition, which the scan can check against the statistics of the files
+    keyless = df.filter(F.col("user_id").isNull() | (F.col("user_id") == ""))
+    return featured.unionByName(keyless.select("*", *nothing))
 
 
 def _by_density(keyed: DataFrame) -> DataFrame:
@@ -150,12 +151,13 @@ def _by_frames(keyed: DataFrame) -> DataFrame:
     near_midnight = cell_of(t + HOUR_MS, DAY_MS) > day
     seen = keyed.select("*", F.explode(F.when(near_midnight, both).otherwise(F.slice(both, 1, 1))).alias("_in"))
     seen = seen.select(*keyed.columns, "_in.cell", "_in.own")
-    # brings the rows of a day together in order; the ties below find them so
-    seen = seen.withColumn("_before", F.lag("ts_ms").over(Window.partitionBy("user_id", "cell").orderBy("ts_ms", "tx_id")))
-    # a unique key in order of (ts_ms, tx_id), so that a frame of values takes events one at a time
-    tie = F.row_number().over(Window.partitionBy("user_id", "cell", "ts_ms").orderBy("tx_id")) - 1
-    seen = seen.withColumn("_k", t * _TIE_SPACE + tie)
-    day_order = Window.partitionBy("user_id", "cell").orderBy("_k")
+    in_day = Window.partitionBy("user_id", "cell")
+    one_by_one = in_day.orderBy("ts_ms", "tx_id")
+    # a unique key in order of (ts_ms, tx_id), so that a frame of values takes events one at a time; the position
+    # minus the rank tells ties apart
+    tie = F.row_number().over(one_by_one) - F.rank().over(in_day.orderBy("ts_ms"))
+    seen = seen.select("*", F.lag("ts_ms").over(one_by_one).alias("_before"), (t * _TIE_SPACE + tie).alias("_k"))
+    day_order = in_day.orderBy("_k")
 
     def last(horizon_ms: int):
         return day_order.rangeBetween(-((horizon_ms - 1) * _TIE_SPACE + _TIE_SPACE // 2), 0)
