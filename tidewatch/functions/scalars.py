@@ -97,8 +97,12 @@ def seconds_2(milliseconds: Column) -> Column:
     Only ...5 ms can be a tie. ``format_number`` looks at the exact double there; ``round`` would go half up.
     """
     seconds = milliseconds / F.lit(1000.0)
-    exact = F.call_function("format_number", seconds, F.lit("0.00")).cast("double")
-    return F.when(F.pmod(milliseconds, F.lit(10)) == 5, exact).otherwise(F.round(seconds, 2))
+    return F.when(F.pmod(milliseconds, F.lit(10)) == 5, round_2(seconds)).otherwise(F.round(seconds, 2))
+
+
+def round_2(number: Column) -> Column:
+    """Two decimals, rounded as the binary value demands (dearer than ``round``, which looks at the decimal text)."""
+    return F.call_function("format_number", number, F.lit("0.00")).cast("double")
 
 
 def money_text(amount_minor: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidewatch.functions.scalars import clock_text, money_text
+from tidewatch.functions.scalars import clock_text, money_text, round_2
 from tidewatch.operators.cells import DAY_MS, cell_of, neighbour_times, previous_row, running_totals
 
 
@@ -131,8 +131,8 @@ def running_kpis(seconds: DataFrame) -> DataFrame:
     return out.select(
         "second",
         "tps",
-        F.round("latency_ms", 2).alias("latency_ms"),
-        F.round(F.col("_bad") * F.lit(100.0) / F.col("_all"), 2).alias("fraud_rate_pct"),
+        round_2(F.col("latency_ms")).alias("latency_ms"),
+        round_2(F.col("_bad") * F.lit(100.0) / F.col("_all")).alias("fraud_rate_pct"),
     )
 
 

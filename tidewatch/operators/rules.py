@@ -271,51 +271,33 @@ def blend_scores(df: DataFrame, weights: dict[str, float], name: str = "p_fraud"
 
 # -- image quality ---------------------------------------------------------------------------------------------
 
-# Thresholds and texts of the image rules.
-IMAGE_LIMITS = {"blur_min": 80.4, "contrast_min": 41.3, "skew_max": 25.1}
+# Thresholds, codes and texts of the image rules.
+BLUR_MIN, SKEW_MAX, CONTRAST_MIN = 80.4, 25.1, 41.3
+BLUR_RULE, BLUR_REASON = "IT001/IT002", "Blur score %s < threshold 80.4 (Image too blurry)"
+SKEW_RULE, SKEW_REASON = "IL001/IL002", "Skew angle %s° > threshold 25.1° (Risk of line grouping failure)"
+QR_RULE, QR_REASON = "IQ008", "QR Code detected but could not be decoded (Damage or Blur)."
+LOW_CONTRAST = "Low contrast: %s. Requires Image Enhancement (CLAHE)."
 QR_MISSING = "IQ007: QR Code not detected in footer."
-QR_UNREADABLE = "QR Code detected but could not be decoded (Damage or Blur)."
-
-
-def one_decimal(number: Column) -> Column:
-    return F.call_function("format_number", number, F.lit("0.0"))
 
 
 def image_quality_rules(metrics: DataFrame) -> DataFrame:
     """Adds is_valid, violations (rule, reason) and warnings to a table of image metrics."""
 
-    def violation(condition: Column, rule: str, *reason: Column) -> Column:
-        return F.when(condition, F.struct(F.lit(rule).alias("rule"), F.concat(*reason).alias("reason")))
+    def text(template: str, number: Column) -> Column:
+        return F.format_string(template, F.call_function("format_number", number, F.lit("0.0")))
+
+    def violation(condition: Column, rule: str, reason: Column) -> Column:
+        return F.when(condition, F.struct(F.lit(rule).alias("rule"), reason.alias("reason")))
 
     blur, skew, contrast = F.col("blur"), F.col("skew_angle"), F.col("contrast")
-    limits = IMAGE_LIMITS
-    violations = F.array_compact(
-        F.array(
-            violation(
-                blur < limits["blur_min"],
-                "IT001/IT002",
-                F.lit("Blur score "),
-                one_decimal(blur),
-                F.lit(f" < threshold {limits['blur_min']} (Image too blurry)"),
-            ),
-            violation(
-                skew > limits["skew_max"],
-                "IL001/IL002",
-                F.lit("Skew angle "),
-                one_decimal(skew),
-                F.lit(f"° > threshold {limits['skew_max']}° (Risk of line grouping failure)"),
-            ),
-            violation(F.col("qr_detected") & ~F.col("qr_decoded"), "IQ008", F.lit(QR_UNREADABLE)),
-        )
+    violations = F.array(
+        violation(blur < BLUR_MIN, BLUR_RULE, text(BLUR_REASON, blur)),
+        violation(skew > SKEW_MAX, SKEW_RULE, text(SKEW_REASON, skew)),
+        violation(F.col("qr_detected") & ~F.col("qr_decoded"), QR_RULE, F.lit(QR_REASON)),
     )
-    warnings = F.array_compact(
-        F.array(
-            F.when(
-                contrast < limits["contrast_min"],
-                F.concat(F.lit("Low contrast: "), one_decimal(contrast), F.lit(". Requires Image Enhancement (CLAHE).")),
-            ),
-            F.when(~F.col("qr_detected"), F.lit(QR_MISSING)),
-        )
+    warnings = F.array(
+        F.when(contrast < CONTRAST_MIN, text(LOW_CONTRAST, contrast)),
+        F.when(~F.col("qr_detected"), F.lit(QR_MISSING)),
     )
-    out = metrics.withColumn("violations", violations).withColumn("warnings", warnings)
+    out = metrics.withColumn("violations", F.array_compact(violations)).withColumn("warnings", F.array_compact(warnings))
     return out.withColumn("is_valid", F.size("violations") == 0)

@@ -149,12 +149,12 @@ def travel_distance(spark, folder):
 
 @query(
     f"WITH {EV} SELECT tx_id, row_number() OVER w > 1 AS device_fp_seen_before,"
-    f" round((ts_ms - min(ts_ms) OVER (PARTITION BY user_id, device_fp)) / {float(DAY_MS)}, 6) AS device_age_days"
+    f" CAST(ts_ms - min(ts_ms) OVER (PARTITION BY user_id, device_fp) AS DOUBLE) / {DAY_MS} AS device_age_days"
     " FROM ev WINDOW w AS (PARTITION BY user_id, device_fp ORDER BY ts_ms, tx_id)"
 )
 def device_history(spark, folder):
     out = ops.device_history(events_as_tx(spark, folder))
-    return rounded(out.select("tx_id", "device_fp_seen_before", "device_age_days"), ["device_age_days"])
+    return out.select("tx_id", "device_fp_seen_before", "device_age_days")
 
 
 @query(

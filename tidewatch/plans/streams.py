@@ -77,8 +77,8 @@ def stream_with_profile(spark, folder):
 @query(
     f"WITH {_DECIDED}, s AS (SELECT ts_ms // 1000 AS second, count(*) AS tps, avg(latency_ms) AS latency, count(*) FILTER (action <> 'APPROVE')"
     " AS bad FROM d WHERE ts_ms // 1000 * 1000 + 1000 <= (SELECT max(ts_ms) - 5000 FROM d) GROUP BY 1) SELECT second, tps,"
-    " round(latency, 2) AS latency_ms, round(CAST(sum(bad) OVER w AS BIGINT) *"
-    " CAST(100 AS DOUBLE) / CAST(sum(tps) OVER w AS BIGINT), 2) AS fraud_rate_pct FROM s WINDOW w AS (ORDER BY second)"
+    " CAST(printf('%.2f', latency) AS DOUBLE) AS latency_ms, CAST(printf('%.2f', CAST(sum(bad) OVER w AS BIGINT) *"
+    " CAST(100 AS DOUBLE) / CAST(sum(tps) OVER w AS BIGINT)) AS DOUBLE) AS fraud_rate_pct FROM s WINDOW w AS (ORDER BY second)"
 )
 def stream_live_kpis(spark, folder):
     features.use_rocksdb(spark)
