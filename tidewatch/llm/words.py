@@ -15,15 +15,15 @@ REMEMBERED = 400_000
 
 
 class Remembered(dict):
-    """``make(word)`` for each word, remembered for at most ``limit`` words."""
+    """``make(word)`` for each word, remembered for the first ``limit`` words that are no longer than ``longest``."""
 
-    def __init__(self, make, limit: int = REMEMBERED):
+    def __init__(self, make, limit: int = REMEMBERED, longest: int = 100):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.longest = make, limit, longest
 
     def __missing__(self, word):
         value = self.make(word)
-        if len(self) < self.limit:
+        if len(self) < self.limit and len(word) <= self.longest:
             self[word] = value
         return value
 
