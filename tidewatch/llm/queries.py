@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F  # noqa: F401
+import public_tokenizers
+from pyspark.sql import functions as F
 
-from tidewatch.llm import jaccard, vectors
+from tidewatch.llm import jaccard, pieces, tokens, vectors
 from tidewatch.llm.registry import query
+from tidewatch.session import new_folder
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -50,3 +52,17 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id
 FROM documents d JOIN c ON c.x = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id""")
 def op10_ngram_jaccard_join(spark, folder):
     return jaccard.jaccard_components(table(spark, folder, "documents"), size=3, per_cent=90)
+
+
+@query()
+def op1_sentencepiece(spark, folder):
+    docs = table(spark, folder, "documents")
+    coded = pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), ["doc_id"])
+    return coded.select("doc_id", "n_tokens", "ids_crc32", F.crc32("decoded").alias("decoded_crc32"), "round_trip")
+
+
+@query()
+def op5_token_ids(spark, folder):
+    out = new_folder(spark, "token-ids")
+    tokens.write_ids(table(spark, folder, "documents"), out, public_tokenizers.path("word_bpe_49k.json"), 2)
+    return tokens.read_ids(spark, out)
