@@ -225,7 +225,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, per_cent: int = 80) -> Da
     node = F.xxhash64("class").alias("node")  # candidates only; classes are compared by their digests
     told = rows.select(F.explode("keys").alias("key"), node)
     shared = told.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most")
-    stars = told.join(shared, "key").where("node <> least").select("node", "least")
+    stars = told.join(shared.hint("merge"), "key").where("node <> least").select("node", "least")
     blocks = components(stars)
     classes = rows.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("first_doc"), F.first("n_shingles").alias("n"))
     members = stored(blocks.join(classes.withColumn("node", node), "node").select("class", F.col("root").alias("block"), "first_doc", "n"), "members")
@@ -241,7 +241,8 @@ def jaccard_components(docs: DataFrame, size: int = 5, per_cent: int = 80) -> Da
         F.expr("CASE WHEN part = other THEN -1 WHEN part < other THEN 0 ELSE 1 END").alias("side"),
         "first_doc",
     )
-    texts = docs.join(members.select("first_doc", "class"), docs["doc_id"].eqNullSafe(F.col("first_doc"))).select("class", "text")
+    wanted = members.select("first_doc", "class").hint("merge")
+    texts = docs.join(wanted, docs["doc_id"].eqNullSafe(F.col("first_doc"))).select("class", "text")
     work = spread.join(texts, "class").select("block", "i", "j", "class", "side", "text")
     links = (
         work.repartition("block", "i", "j")
