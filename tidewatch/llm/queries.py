@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tidewatch.llm import jaccard, pieces, tokens, vectors
+from tidewatch.llm import chunks, jaccard, pieces, tokens, vectors
 from tidewatch.llm.registry import query
 from tidewatch.session import new_folder
 
@@ -66,3 +66,8 @@ def op5_token_ids(spark, folder):
     out = new_folder(spark, "token-ids")
     tokens.write_ids(table(spark, folder, "documents"), out, public_tokenizers.path("word_bpe_49k.json"), 2)
     return tokens.read_ids(spark, out)
+
+
+@query()
+def op9_substring_dedup(spark, folder):
+    return chunks.repeated_spans(table(spark, folder, "documents"))
