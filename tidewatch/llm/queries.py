@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tidewatch.llm import chunks, jaccard, pieces, tokens, vectors
+from tidewatch.llm import chunks, jaccard, pieces, scoring, tokens, vectors
 from tidewatch.llm.registry import query
 from tidewatch.session import new_folder
 
@@ -71,3 +71,8 @@ def op5_token_ids(spark, folder):
 @query()
 def op9_substring_dedup(spark, folder):
     return chunks.repeated_spans(table(spark, folder, "documents"))
+
+
+@query()
+def op7_hidden_markov_scores(spark, folder):
+    return scoring.hmm_scores(table(spark, folder, "documents"))
