@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tidewatch.llm import chunks, jaccard, pieces, scoring, tokens, vectors
+from tidewatch.llm import chunks, jaccard, pieces, quality_rules, scoring, tokens, vectors
 from tidewatch.llm.registry import query
 from tidewatch.session import new_folder
 
@@ -76,3 +76,57 @@ def op9_substring_dedup(spark, folder):
 @query()
 def op7_hidden_markov_scores(spark, folder):
     return scoring.hmm_scores(table(spark, folder, "documents"))
+
+
+def quality_sql() -> str:
+    """The measures, the exact binomial test of each cutoff and the verdicts, in SQL."""
+    tests = [(rule, cut) for rule, cuts in quality_rules.GRID.items() for cut in cuts]
+    risk, rules = quality_rules.RISK, list(quality_rules.GRID)
+    tail = f"""list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - CASE WHEN i > 0 THEN lgamma(i + 1) ELSE 0 END
+      - lgamma(n - i + 1) + i * ln({risk}) + (n - i) * ln(1 - {risk}))))"""
+    measures = ", ".join(rules)
+    return rf"""
+WITH t AS (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text FROM documents),
+w AS (
+  SELECT *, regexp_extract_all(text, '{WORD}') AS w,
+         list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '{WORD}')) AS l FROM t),
+g AS (
+  SELECT doc_id, unnest(range(1, len(w) - 3)) AS i, unnest(list_transform(range(1, len(w) - 3),
+         lambda k: w[k] || ' ' || w[k + 1] || ' ' || w[k + 2] || ' ' || w[k + 3] || ' ' || w[k + 4])) AS g
+  FROM w WHERE len(w) >= 5),
+twice AS (SELECT doc_id, g FROM g GROUP BY doc_id, g HAVING count(*) > 1),
+r AS (
+  SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM g JOIN twice USING (doc_id, g))
+  GROUP BY doc_id),
+m AS (
+  SELECT doc_id, stratum, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+         (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, len(l) AS n_lines,
+         (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words
+  FROM w LEFT JOIN r USING (doc_id)),
+v AS (
+  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+         CASE WHEN word_chars > 0 THEN 1000 * n_symbols // word_chars ELSE 0 END::BIGINT AS symbol_share,
+         CASE WHEN n_lines > 0 THEN 1000 * n_dup_lines // n_lines ELSE 0 END::BIGINT AS line_share,
+         CASE WHEN n_words > 0 THEN 1000 * n_repeat_words // n_words ELSE 0 END::BIGINT AS repeat_share,
+         CASE WHEN n_words > 0 THEN 10 * word_chars // n_words ELSE 0 END::BIGINT AS mean_length
+  FROM m),
+good AS (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
+c AS (
+  SELECT stratum, count(*) AS n, [{", ".join(f"{{'rule': '{r}', 'cut': {c}, 'k': count(*) FILTER ({r} >= {c})}}" for r, c in tests)}] AS t
+  FROM v JOIN good USING (doc_id) WHERE NOT base_failed GROUP BY stratum),
+e AS (SELECT stratum, n, unnest(t, recursive := true) FROM c),
+f AS (
+  SELECT stratum, rule, min(cut) AS cut FROM e
+  WHERE CASE WHEN k < n * {risk} THEN {tail} ELSE 1 END
+        <= {quality_rules.CONFIDENCE} / ((SELECT count(*) FROM c) * {len(tests)})
+  GROUP BY stratum, rule),
+x AS (SELECT stratum, {", ".join(f"min(cut) FILTER (rule = '{r}')::INTEGER AS {r}_cut" for r in rules)} FROM f GROUP BY stratum)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND NOT ({" OR ".join(f"coalesce({r} >= {r}_cut, false)" for r in rules)}) AS kept,
+       {measures}, {", ".join(f"{r}_cut" for r in rules)}
+FROM v LEFT JOIN x USING (stratum)"""
+
+
+@query(quality_sql())
+def op4_quality_rules(spark, folder):
+    return quality_rules.judged(table(spark, folder, "documents"), table(spark, folder, "labels"))
