@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tidewatch.llm import chunks, jaccard, pieces, quality_rules, scoring, tokens, vectors
+from tidewatch.llm import chunks, jaccard, mixing, pieces, quality_rules, scoring, tokens, vectors
 from tidewatch.llm.registry import query
 from tidewatch.session import new_folder
 
@@ -130,3 +130,49 @@ FROM v LEFT JOIN x USING (stratum)"""
 @query(quality_sql())
 def op4_quality_rules(spark, folder):
     return quality_rules.judged(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+#: The mixture that is asked for: whole weights of domains, languages and sources.
+WEIGHTS = {
+    "domain": {"web": 50, "books": 30, "code": 20},
+    "lang": {"en": 40, "de": 20, "fr": 20, "es": 20},
+    "source": {"src0": 2},
+}
+SHARE, EPOCHS = 0.8, 2
+DOMAIN = "CASE WHEN right(source, 1) IN ('0', '1', '2', '3') THEN 'web' WHEN right(source, 1) IN ('4', '5', '6') THEN 'books' ELSE 'code' END"
+
+
+def mixing_sql() -> str:
+    def weight(name):
+        return f"CASE x.{name} {' '.join(f'WHEN {chr(39)}{k}{chr(39)} THEN {w}' for k, w in WEIGHTS[name].items())} ELSE 1 END"
+
+    levels, steps = mixing.LEVELS, []
+    for depth, name in enumerate(levels):
+        parent, own = levels[:depth], levels[: depth + 1]
+        by = f"PARTITION BY {', '.join(parent)}" if parent else ""
+        join = f"JOIN b{depth} USING ({', '.join(parent)})" if parent else ", b0"
+        steps.append(f"""
+c{depth} AS (SELECT {", ".join(f"x.{c}" for c in own)}, most, {weight(name)} AS weight, budget
+  FROM (SELECT {", ".join(own)}, sum(tokens)::BIGINT * {EPOCHS} AS most FROM leaves GROUP BY ALL) x {join}),
+o{depth} AS (SELECT *, coalesce(sum(most) OVER p, 0) AS pm, coalesce(sum(weight) OVER p, 0) AS pw, sum(weight) OVER a AS aw FROM c{depth}
+  WINDOW p AS ({by} ORDER BY most::DOUBLE / weight, {name} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), a AS ({by})),
+f{depth} AS (SELECT *, most * (aw - pw) <= (budget - pm) * weight AS is_full FROM o{depth}),
+b{depth + 1} AS (SELECT {", ".join(own)}, CASE WHEN is_full THEN most ELSE (budget - coalesce(sum(most) FILTER (is_full) OVER a, 0)) * weight
+  // (aw - coalesce(sum(weight) FILTER (is_full) OVER a, 0)) END AS budget FROM f{depth} WINDOW a AS ({by}))""")
+    return rf"""
+WITH t AS (
+  SELECT doc_id, {DOMAIN} AS domain, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS n_tokens FROM documents),
+leaves AS (SELECT domain, lang, source, sum(n_tokens)::BIGINT AS tokens FROM t GROUP BY ALL),
+b0 AS (SELECT floor(sum(tokens) * {SHARE}::DOUBLE)::BIGINT AS budget FROM leaves),{",".join(steps)},
+p AS (SELECT *, CASE WHEN tokens > 0 THEN budget // tokens ELSE 0 END AS epoch, CASE WHEN tokens > 0 THEN budget % tokens ELSE 0 END AS rest
+  FROM leaves JOIN b3 USING (domain, lang, source)),
+r AS (SELECT t.*, epoch, rest, coalesce(sum(n_tokens) OVER (PARTITION BY domain, lang, source
+        ORDER BY md5('7|' || epoch::BIGINT || '|' || doc_id), doc_id, n_tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM t JOIN p USING (domain, lang, source))
+SELECT doc_id, domain, lang, source, n_tokens, (epoch + CASE WHEN before < rest THEN 1 ELSE 0 END)::BIGINT AS copies FROM r"""
+
+
+@query(mixing_sql())
+def op8_mixing(spark, folder):
+    return mixing.mixed(table(spark, folder, "documents"), F.expr(DOMAIN), SHARE, EPOCHS, WEIGHTS)
