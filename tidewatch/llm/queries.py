@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tidewatch.llm import chunks, jaccard, mixing, pieces, quality_rules, scoring, tokens, vectors
+from tidewatch.llm import chunks, jaccard, langid, mixing, pieces, quality_rules, scoring, tokens, vectors
 from tidewatch.llm.registry import query
 from tidewatch.session import new_folder
 
@@ -176,3 +176,15 @@ SELECT doc_id, domain, lang, source, n_tokens, (epoch + CASE WHEN before < rest
 @query(mixing_sql())
 def op8_mixing(spark, folder):
     return mixing.mixed(table(spark, folder, "documents"), F.expr(DOMAIN), SHARE, EPOCHS, WEIGHTS)
+
+
+@query()
+def op3_language_id(spark, folder):
+    docs = table(spark, folder, "documents")
+    return langid.fused(langid.document_evidence(docs), langid.text_model(docs), ["doc_id"])
+
+
+@query()
+def page_language(spark, folder):
+    model = langid.text_model(table(spark, folder, "documents"))
+    return langid.fused(langid.page_evidence(table(spark, folder, "pages")), model, ["page_id"])
