@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tidewatch.llm import chunks, jaccard, langid, mixing, pieces, quality_rules, scoring, tokens, vectors
+from tidewatch.llm import chunks, jaccard, langid, licenses, mixing, pieces, quality_rules, scoring, tokens, vectors
 from tidewatch.llm.registry import query
 from tidewatch.session import new_folder
 
@@ -188,3 +188,8 @@ def op3_language_id(spark, folder):
 def page_language(spark, folder):
     model = langid.text_model(table(spark, folder, "documents"))
     return langid.fused(langid.page_evidence(table(spark, folder, "pages")), model, ["page_id"])
+
+
+@query()
+def op2_license_scan(spark, folder):
+    return licenses.license_spans(table(spark, folder, "documents"))
