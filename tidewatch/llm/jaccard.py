@@ -3,8 +3,9 @@
 1. Each text becomes the set of its shingle hashes; equal sets are one class, known by a 128-bit digest.
 2. Classes that may link meet in blocks. The shingle universe is cut into more segments than two linked sets can
    differ in, so linked sets agree in at least one whole segment. Agreement on a segment makes two classes
-   candidates, and the connected candidates of the corpus are a block. Only stars around the smallest class of a
-   segment are written, never pairs.
+   candidates, and the connected candidates of the corpus are a block. Of the classes of a task that agree on a segment
+   only the first is told to the rest of the corpus, with the others tied to it once, so a segment that a third of all
+   rows agree on has a row per task; chains of classes are written, never pairs.
 3. In each block a signature tree is built: its nodes hold OR-combined bitmaps of shingles (with the most shingles of
    one set on a bit) and size ranges. Traversing two trees at once, a pair of nodes whose largest possible overlap is
    below the need is dropped with all its pairs. Sets that meet in leaves are compared exactly.
@@ -21,84 +22,127 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from tidewatch.llm.graph import components, stored
+from tidewatch.llm.graph import apart, components, stored
 from tidewatch.llm.words import mix, pieces, shingle_sets, texts_of
 
 BLOCK_SETS = 2_000
 BLOCK_SHINGLES = 2_000_000
-#: Size classes: the upper end of each is half as large again as its lower end.
+#: Keys that a task gathers before it tells them.
+TOLD_KEYS = 4_000_000
+#: Levels of segment counts rise by a half.
 STEP = 1.5
 FANOUT = 8
 BITS = 128
 
 
-def size_classes(largest: int) -> np.ndarray:
-    """Lower ends of the size classes, up to one beyond ``largest``."""
-    ends = [1, 9]
-    while ends[-1] <= largest:
-        ends.append(int(np.ceil(ends[-1] * STEP)))
-    return np.array(ends + [int(np.ceil(ends[-1] * STEP))])
+def most_apart(elements: int, per_cent: int) -> int:
+    """The largest symmetric difference of two linked sets that have ``elements`` together."""
+    return (100 - per_cent) * elements // (100 + per_cent)
 
 
-def most_apart(x: int, y: int, per_cent: int) -> int:
-    """The largest symmetric difference of two linked sets of ``x`` and ``y`` elements."""
-    return (100 - per_cent) * (x + y) // (100 + per_cent)
+def levels(most: int) -> list[int]:
+    """Upper ends of the levels of ``most_apart``, up to the one that holds ``most``."""
+    ends = [1]
+    while ends[-1] < most:
+        ends.append(int(np.ceil(ends[-1] * STEP)))
+    return ends
 
 
-def segment_keys(shingles: np.ndarray, upper: int, per_cent: int, salt: int) -> np.ndarray:
-    """One key per segment that the set has elements in, for partners of a size class that ends below ``upper``.
+def segment_keys(shingles: np.ndarray, most: int) -> np.ndarray:
+    """One key per segment that the set has elements in, for partners that differ in at most ``most`` elements.
 
-    Linked sets differ in at most ``most`` elements. A set with elements in more than ``most`` segments agrees with
-    each partner in one of those; a set with elements in fewer also gives keys for its empty segments.
+    A set with elements in more than ``most`` segments agrees with each partner in one of those; a set with elements
+    in fewer also gives keys for its empty segments.
     """
-    most = most_apart(upper - 1, upper - 1, per_cent)
-    segments = most + 2 + most // 10
+    segments = most + 2 + most // 16
     at = (shingles >> np.uint64(32)) * np.uint64(segments) >> np.uint64(32)  # rises with the sorted shingles
     first = np.flatnonzero(np.diff(at, prepend=np.uint64(segments)))
     sums = np.add.reduceat(mix(shingles + np.uint64(1)), first)
-    keys = mix(sums + mix(at[first] + np.uint64(salt << 32)))
+    keys = mix(sums + mix(at[first] + np.uint64(most << 32)))
     if len(first) <= most:
         empty = np.setdiff1d(np.arange(segments, dtype=np.uint64), at[first])
-        keys = np.concatenate([keys, mix(mix(empty + np.uint64(salt << 32)) ^ np.uint64(0x5EED))])
+        keys = np.concatenate([keys, mix(mix(empty + np.uint64(most << 32)) ^ np.uint64(0x5EED))])
     return keys
 
 
 def candidate_keys(shingles: np.ndarray, per_cent: int) -> np.ndarray:
-    """Keys such that two different linked sets share one; none for sets too small to link with a different one."""
+    """Keys such that two different linked sets share one; none for sets too small to link with a different one.
+
+    Two sets meet on the level that holds what they may differ in; a set gives keys for the levels of all its partners.
+    """
     n = len(shingles)
-    if n == 0 or most_apart(n, n * 100 // per_cent, per_cent) < 1:
+    largest = most_apart(n + n * 100 // per_cent, per_cent)
+    if largest < 1:
         return np.empty(0, np.uint64)
-    ends = size_classes(n * 100 // per_cent)
-    own = int(np.searchsorted(ends, n, "right")) - 1
-    keys = [segment_keys(shingles, int(ends[own + 1]), per_cent, own)]
-    if n * 100 // per_cent >= ends[own + 1]:  # a larger partner may belong to the next class
-        keys.append(segment_keys(shingles, int(ends[own + 2]), per_cent, own + 1))
-    return np.unique(np.concatenate(keys))
+    smallest = max(1, most_apart(n + -(-n * per_cent // 100), per_cent))
+    ends = levels(largest)
+    return np.concatenate([segment_keys(shingles, e) for e in ends[int(np.searchsorted(ends, smallest)) :]])
 
 
 def digest(shingles: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(shingles.tobytes())
 
 
-def _classes(size: int, per_cent: int):
+def node_of(name: bytes) -> int:
+    """The number of a class among candidates; classes themselves are compared by their digests."""
+    return int.from_bytes(name[:8], "little", signed=True)
+
+
+def _classes(size: int):
     def run(batches):
-        seen = set()  # classes of this task, whose keys need not be told twice
         for batch in pieces(batches, 1):
-            ids, sets = batch.column(0), shingle_sets(texts_of(batch.column(1)), size)
+            sets = shingle_sets(texts_of(batch.column(1)), size)
             names = [digest(s) for s in sets]
-            keys = []
-            for name, s in zip(names, sets):
-                keys.append(candidate_keys(s, per_cent).view(np.int64) if name not in seen else [])
-                seen.add(name)
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "class", "keys"],
+                [
+                    batch.column(0),
+                    pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array(names, pa.binary()),
+                    pa.array([node_of(n) for n in names], pa.int64()),
+                ],
+                names=["doc_id", "n_shingles", "class", "node"],
             )
 
     return run
 
 
+def combined(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same agreements in fewer rows: each key once, with its first node, and each other node tied to that."""
+    order = np.argsort(keys, kind="stable")
+    keys, nodes = keys[order], nodes[order]
+    first = np.append(True, keys[1:] != keys[:-1])
+    lead = nodes[first][np.cumsum(first) - 1]
+    tied = np.unique(np.stack([lead, nodes])[:, lead != nodes], axis=1)
+    names = mix(tied[0] ^ np.uint64(0x71ED))
+    return np.concatenate([keys[first], names, names]), np.concatenate([nodes[first], tied[0], tied[1]])
+
+
+def _told(size: int, per_cent: int):
+    def out(keys, nodes):
+        told = combined(np.concatenate(keys), np.concatenate(nodes))
+        return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in told], names=["key", "node"])
+
+    def run(batches):
+        seen, keys, nodes, n = set(), [], [], 0  # a class of this task tells its keys once
+        for batch in pieces(batches, 0):
+            for s in shingle_sets(texts_of(batch.column(0)), size):
+                name = digest(s)
+                if name not in seen:
+                    seen.add(name)
+                    keys.append(candidate_keys(s, per_cent))
+                    nodes.append(np.full(len(keys[-1]), node_of(name), np.int64).view(np.uint64))
+                    n += len(keys[-1])
+            if n >= TOLD_KEYS:
+                yield out(keys, nodes)
+                keys, nodes, n = [], [], 0
+        if n:
+            yield out(keys, nodes)
+
+    return run
+
+
 class Tree:
     """A signature tree over sets in the given order: levels of (bitmap, smallest, largest), leaves first."""
 
@@ -217,18 +261,21 @@ def jaccard_components(docs: DataFrame, size: int = 5, per_cent: int = 80) -> Da
     doc_id with different texts are documents of their own. A null doc_id is the component of its row only where no
     other doc_id is reached. An empty table gives an empty one.
 
-    Memory: a task holds two parts of a block at most. Shuffled: the keys (about a sixth of a shingle count, 16
-    bytes) and the texts of candidates. Nothing but two numbers per round of ``components`` reaches the driver.
+    The join of texts with candidates is a sort-merge join at every size: the candidates grow with the copies in the
+    corpus. Memory: a task holds two parts of a block at most. Shuffled: the keys (16 bytes; about a fifth of the
+    shingles at 90 per cent, two fifths at 80) and the texts. Two numbers per round of ``components`` reach the driver.
     """
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    rows = stored(docs.mapInArrow(_classes(size, per_cent), "doc_id long, n_shingles long, class binary, keys array<long>"), "sets")
-    node = F.xxhash64("class").alias("node")  # candidates only; classes are compared by their digests
-    told = rows.select(F.explode("keys").alias("key"), node)
-    shared = told.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most")
-    stars = told.join(shared.hint("merge"), "key").where("node <> least").select("node", "least")
-    blocks = components(stars)
-    classes = rows.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("first_doc"), F.first("n_shingles").alias("n"))
-    members = stored(blocks.join(classes.withColumn("node", node), "node").select("class", F.col("root").alias("block"), "first_doc", "n"), "members")
+    rows = stored(docs.mapInArrow(_classes(size), "doc_id long, n_shingles long, class binary, node long"), "sets")
+    told = docs.select("text").mapInArrow(_told(size, per_cent), "key long, node long")
+    chain = F.lag("node").over(Window.partitionBy("key").orderBy("node")).alias("before")
+    blocks = components(told.select("node", chain).where("before <> node"))
+    classes = (
+        rows.where("n_shingles > 0")
+        .groupBy("class")
+        .agg(F.min("doc_id").alias("first_doc"), F.first("n_shingles").alias("n"), F.first("node").alias("node"))
+    )
+    members = stored(blocks.join(classes, "node").select("class", F.col("root").alias("block"), "first_doc", "n"), "members")
     parts = members.groupBy("block").agg(
         F.greatest(F.ceil(F.count("*") / F.lit(BLOCK_SETS)), F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES))).cast("int").alias("parts")
     ).where("parts >= 1")
@@ -252,6 +299,6 @@ def jaccard_components(docs: DataFrame, size: int = 5, per_cent: int = 80) -> Da
     roots = components(links)
     known = classes.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     least = known.groupBy("root").agg(F.min("first_doc").alias("component_id"))
-    named = known.join(least, "root").select("class", "component_id")
+    named = known.join(apart(least, "root"), F.struct(F.col("root").alias("k")) == F.col("key")).select("class", "component_id")
     alone = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return rows.where("n_shingles > 0").join(named, "class").select("doc_id", "n_shingles", "component_id").union(alone)

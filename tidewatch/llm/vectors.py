@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.graph import components, stored
+from tidewatch.llm.graph import apart, components, stored
 
 #: Distinct vectors of a label in one strip; a task holds two strips.
 STRIP = 4_096
@@ -179,7 +179,7 @@ def embedding_components(vectors: DataFrame, threshold: float = 0.93) -> DataFra
         .withColumn("root", F.coalesce("root", "class"))
     )
     least = known.groupBy("root").agg(F.min("first_vec").alias("component_id"))
-    told = known.join(least, "root").select("class", (F.coalesce("n", F.lit(0)) + F.col("many") - 1).alias("n_links"), "component_id")
+    told = known.join(apart(least, "root"), F.struct(F.col("root").alias("k")) == F.col("key")).select("class", (F.coalesce("n", F.lit(0)) + F.col("many") - 1).alias("n_links"), "component_id")
     out = rows.select("vec_id", "class").where("class IS NOT NULL").join(told, "class").select("vec_id", "n_links", "component_id")
     alone = rows.where("class IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return out.union(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
