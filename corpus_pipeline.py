@@ -1,4 +1,85 @@
-STAGES = []
+"""A training-data pipeline over ``documents``: each stage works on all that the one before it kept."""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewatch.llm import chunks, jaccard, langid, mixing, pieces
+from tidewatch.llm.graph import stored
+from tidewatch.llm.queries import DOMAIN, EPOCHS, SHARE, WEIGHTS
+from tidewatch.llm.sieve import possible, sieve
+from tidewatch.session import new_folder
+
+
+def in_a_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose text is in one of the languages, with ``lang`` as the evidence has it; the rest go.
+
+    Rows go and stay by their doc_id; a null doc_id is one.
+    """
+    found = langid.fused(langid.document_evidence(docs), langid.text_model(docs), ["doc_id"])
+    known = found.where("kept").groupBy(F.col("doc_id").alias("_id")).agg(F.min("language").alias("_lang"))
+    kept = docs.join(known, docs["doc_id"].eqNullSafe(F.col("_id")))
+    return kept.select(*[F.col("_lang").alias("lang") if c == "lang" else docs[c] for c in docs.columns])
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates (five words, 0.8): the one with the smallest doc_id.
+
+    Texts without words are in no group and stay. Of the rows of one doc_id that stay, one does. Rows without a
+    doc_id have no name to go by: of those with equal texts one stays.
+
+    Only rows whose doc_id may be one that goes, or may be repeated, are dealt out for the exact join.
+    """
+    linked = stored(jaccard.jaccard_components(docs, size=5, per_cent=80).where("doc_id IS NOT NULL"), "linked")
+    told = linked.groupBy("doc_id").agg(
+        F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("stays"), F.count("*").alias("rows")
+    )
+    doubtful = stored(told.where("stays = 0 OR rows > 1"), "doubtful")
+    seen = sieve(doubtful.select("doc_id"))
+    named = docs.where("doc_id IS NOT NULL").withColumn("_doubt", possible(seen, F.col("doc_id")))
+    clear = named.where("NOT _doubt").drop("_doubt")
+    rest = named.where("_doubt").drop("_doubt").join(doubtful.where("stays = 0").hint("merge"), "doc_id", "left_anti")
+    nameless = docs.where("doc_id IS NULL").dropDuplicates(["text"])
+    return clear.unionByName(rest.dropDuplicates(["doc_id"])).unionByName(nameless)
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the passages that an earlier one has; a document that was nothing else goes."""
+    cut = chunks.without_spans(docs, chunks.repeated_spans(docs))
+    had = F.col("text").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    return cut.where(had)
+
+
+def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mixture takes, as often as it takes them."""
+    return mixing.taken(docs, mixing.mixed(docs, F.expr(DOMAIN), SHARE, EPOCHS, WEIGHTS))
+
+
+def piece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document with the ids of its pieces, and whether they give its text back."""
+    coded = pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), ["doc_id", "lang", "source"])
+    return coded.drop("decoded")
+
+
+STAGES = [
+    ("language_id", in_a_language),
+    ("ngram_jaccard_join", one_of_each_group),
+    ("substring_dedup", without_repeats),
+    ("mixing", mixed_sources),
+    ("sentencepiece", piece_ids),
+]
+
+#: SQL can't run the text model, the rolling hash and the merges of the pieces; tests compare with brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; what each returns is written to the shared folder and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        path = new_folder(spark, f"pipeline-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs
