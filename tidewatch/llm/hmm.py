@@ -14,9 +14,9 @@ STATES = 8
 CLASSES = 1 << 14
 ROUNDS = 4
 #: What each state's emissions get of the corpus's own class frequencies, in tokens.
-PRIOR = 50.0
+PRIOR = 8_000.0
 #: Tokens that one recursion runs over at a time; a longer text is one recursion by itself.
-RUN_TOKENS = 500_000
+RUN_TOKENS = 300_000
 
 
 class Model:

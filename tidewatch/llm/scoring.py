@@ -20,7 +20,7 @@ from tidewatch.llm.graph import stored
 from tidewatch.llm.hmm import CLASSES, ROUNDS, STATES, Lattice, Model, maximise, runs
 from tidewatch.llm.words import pieces, texts_of
 
-BLOCK_TOKENS = 1 << 22
+BLOCK_TOKENS = 1 << 21
 FOLDS, HELD_OUT = 7, 2
 #: Stands for the end of a text; no word is empty.
 END = b""
