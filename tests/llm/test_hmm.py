@@ -47,7 +47,8 @@ def test_forward_and_expected_counts_agree_with_all_paths():
         assert got == pytest.approx(sum(w[k] for w in want), rel=1e-4)
 
 
-def test_rounds_raise_the_likelihood():
+def test_rounds_raise_the_likelihood(monkeypatch):
+    monkeypatch.setattr(hmm, "PRIOR", 20.0)
     rng = np.random.default_rng(5)
     tokens = np.concatenate([rng.choice(4, 50) + 4 * (k % 2) for k in range(40)])
     starts, freq = np.arange(41) * 50, np.full(8, 1 / 8)
