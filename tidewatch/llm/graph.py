@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidewatch.session import new_folder
 
@@ -22,27 +23,38 @@ def apart(table: DataFrame, key: str) -> DataFrame:
     return table.withColumn("key", F.struct(F.col(key).alias("k"))).drop(key)
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One contraction: each node hangs its larger (or its smaller) neighbours on the smallest of all."""
-    if large:
-        seen = edges.union(edges.select("v", "u"))
-    else:
-        seen = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = seen.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    joined = seen.join(apart(least, "u"), F.struct(F.col("u").alias("k")) == F.col("key"))
-    if large:
-        moved = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        moved = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+def _larger_neighbours(edges: DataFrame) -> DataFrame:
+    """Each node hangs its larger neighbours on the smallest of itself and its neighbours."""
+    both = edges.union(edges.select("v", "u"))
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    joined = both.where("v > u").join(apart(least, "u"), F.struct(F.col("u").alias("k")) == F.col("key"))
+    return joined.select(F.col("v").alias("u"), F.col("m").alias("v"))
+
+
+def _smaller_neighbours(edges: DataFrame) -> DataFrame:
+    """Each node hangs its smaller neighbours and itself on the smallest of them. ``u`` is larger than ``v``."""
+    least = edges.select("*", F.min("v").over(Window.partitionBy("u")).alias("m"))
+    moved = least.select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
     return moved.where("u <> v").distinct()
 
 
+def _is_done(edges: DataFrame) -> bool:
+    """Whether the links are stars: every node hangs on one other, and nothing hangs on it."""
+    ends = [F.struct(F.col(end).alias("node"), F.lit(hangs).alias("hangs")) for end, hangs in (("u", 1), ("v", 0))]
+    by_node = (
+        edges.select(F.explode(F.array(*ends)).alias("end"))
+        .groupBy("end.node")
+        .agg(F.sum("end.hangs").alias("hangs"), F.min("end.hangs").alias("least"))
+    )
+    return by_node.where("hangs > 1 OR (hangs = 1 AND least = 0)").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``(node, root)`` for every node with a link; ``root`` is the smallest node of its component.
 
-    ``edges`` has two columns of one orderable type. Each round groups and joins links by node with map-side
-    minima, so a node with very many links is split by the adaptive skew join; links never leave the executors.
-    Rounds grow with the logarithm of the longest chain. Rows with a null end and loops are no links.
+    ``edges`` has two columns of one orderable type. Links never leave the executors. A node with very many larger
+    neighbours (the middle of a star) is combined before the shuffle and split by the adaptive skew join. Rounds grow
+    with the logarithm of the longest chain; stars need none. Rows with a null end and loops are no links.
     """
     a, b = edges.columns
     now = stored(
@@ -51,13 +63,8 @@ def components(edges: DataFrame) -> DataFrame:
         .distinct(),
         "links",
     )
-    sign = None
-    while True:
-        new = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if new == sign or new[0] == 0:
-            break
-        sign = new
-        now = stored(_star(_star(now, True), False), "links")
+    while not _is_done(now):
+        now = stored(_smaller_neighbours(_larger_neighbours(now)), "links")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
         now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     )

@@ -5,7 +5,7 @@
    differ in, so linked sets agree in at least one whole segment. Agreement on a segment makes two classes
    candidates, and the connected candidates of the corpus are a block. Of the classes of a task that agree on a segment
    only the first is told to the rest of the corpus, with the others tied to it once, so a segment that a third of all
-   rows agree on has a row per task; chains of classes are written, never pairs.
+   rows agree on has a row per task; stars around the smallest class are written, never pairs.
 3. In each block a signature tree is built: its nodes hold OR-combined bitmaps of shingles (with the most shingles of
    one set on a bit) and size ranges. Traversing two trees at once, a pair of nodes whose largest possible overlap is
    below the need is dropped with all its pairs. Sets that meet in leaves are compared exactly.
@@ -263,13 +263,14 @@ def jaccard_components(docs: DataFrame, size: int = 5, per_cent: int = 80) -> Da
 
     The join of texts with candidates is a sort-merge join at every size: the candidates grow with the copies in the
     corpus. Memory: a task holds two parts of a block at most. Shuffled: the keys (16 bytes; about a fifth of the
-    shingles at 90 per cent, two fifths at 80) and the texts. Two numbers per round of ``components`` reach the driver.
+    shingles at 90 per cent, two fifths at 80) and the texts. Nothing but whether
+    links are left reaches the driver.
     """
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     rows = stored(docs.mapInArrow(_classes(size), "doc_id long, n_shingles long, class binary, node long"), "sets")
     told = docs.select("text").mapInArrow(_told(size, per_cent), "key long, node long")
-    chain = F.lag("node").over(Window.partitionBy("key").orderBy("node")).alias("before")
-    blocks = components(told.select("node", chain).where("before <> node"))
+    least = F.min("node").over(Window.partitionBy("key")).alias("least")
+    blocks = components(told.select("node", least).where("least <> node"))
     classes = (
         rows.where("n_shingles > 0")
         .groupBy("class")
