@@ -116,8 +116,9 @@ def test_training_ranks_above_chance_and_scores_are_probabilities(spark):
     split = M.stratified_split(df, "target")
     model = M.train_boosted_trees(split.filter("NOT is_test"), trees=5, depth=3)
     test = M.score_with(model, split.filter("is_test"))
-    record = M.metrics_record(test).first()
+    record = M.metrics_record(test, split).first()
     assert record["auc"] >= 0.9 and record["test_size"] == test.count() and record["n_features"] == 12
+    assert record["train_size"] + record["test_size"] == 600 and abs(record["fraud_rate"] - split.agg(F.avg("target")).first()[0]) < 1e-6
     assert test.filter("score < 0 OR score > 1").count() == 0
     top = M.feature_importance(spark, model).orderBy(F.desc("importance")).first()
     assert top["feature"] == "amt_mean_30d"
@@ -131,3 +132,19 @@ def test_nulls_are_in_no_bin_and_are_not_capped(spark):
     assert bins == [None, 1, 2, 9]
     capped = [r["x_capped"] for r in cap_at_quantile(df, "x", 0.5).collect()]
     assert capped == [None, 1.0, 2.0, 2.0]
+
+
+def test_a_null_label_is_a_class_of_the_split(spark):
+    df = spark.range(50).select(F.col("id").cast("string").alias("user_id"), F.when(F.col("id") % 5 > 0, F.col("id") % 2).alias("y"))
+    out = M.stratified_split(df, "y")
+    assert out.count() == 50 and {r["y"]: r["n"] for r in out.filter("is_test").groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()} == {None: 2, 0: 4, 1: 4}
+
+
+def test_infinite_and_nan_scores_rank_and_scores_outside_fall_into_outer_bins(spark):
+    inf, nan = float("inf"), float("nan")
+    rows = [(-inf, 0), (-3.0, 0), (0.2, 1), (0.2, 0), (0.7, 1), (inf, 1), (nan, 1), (None, 1)]
+    df = spark.createDataFrame(rows, "score double, label int")
+    # of the 4 x 3 pairs one is a tie and none is lost
+    assert E.auc(df, cells=4).first()["auc"] == (11 + 0.5) / 12
+    finite = df.filter("score > -10 AND score < 10")
+    assert {r["bin"]: r["n"] for r in E.calibration(finite).collect()} == {0: 1, 2: 2, 7: 1}

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.brute import HOUR, START, TEN_MINUTES, TX, busy_rows, by_key, sliding
-from tidewatch.operators import cells, features
+from tidewatch.operators import cells, detect, features, history
 
 
 @pytest.fixture(scope="module")
@@ -22,23 +22,30 @@ def features_of(df):
     return {r[0]: tuple(r)[1:] for r in df.select("tx_id", *features.ONLINE_FEATURES).collect()}
 
 
-@pytest.mark.parametrize("method", ["auto", "frames", "hours", "cells"])
+@pytest.mark.parametrize("method", ["hours", "cells"])
 def test_sliding_features_equal_one_event_at_a_time(tx, rows, method):
     assert features_of(features.sliding_features(tx, method)) == sliding(rows)
 
 
-def test_dense_and_sparse_users_take_different_ways_to_the_same_result(tx, rows, monkeypatch):
-    monkeypatch.setattr(features, "DENSE_HOUR", 60)
-    assert features_of(features.sliding_features(tx)) == sliding(rows)
-    monkeypatch.setattr(features, "MOST_DENSE_USERS", 0)
-    assert features_of(features.sliding_features(tx)) == sliding(rows)
+def test_a_user_with_a_third_of_all_rows_in_one_minute(spark, rows):
+    busy = [(f"b{i:04d}", "busy", START + i * 40, i, f"m{i % 7}") for i in range(len(rows) // 2)]
+    both = [*rows, *busy]
+    assert run(spark, both) == sliding(both)
 
 
-def run(spark, rows, method="auto"):
+def test_building_the_plan_starts_no_job(spark, tx):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("plan", "no job may start")
+    features.sliding_features(tx)
+    assert not tracker.getJobIdsForGroup("plan")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def run(spark, rows, method="hours"):
     return features_of(features.sliding_features(spark.createDataFrame(rows, TX), method))
 
 
-@pytest.mark.parametrize("method", ["frames", "hours", "cells"])
+@pytest.mark.parametrize("method", ["hours", "cells"])
 def test_known_cases(spark, method):
     one = run(spark, [("t1", "u", START, 10000, "5411")], method)
     assert one["t1"] == (1, 10000, 10000, 1, -1.0, START)
@@ -154,7 +161,7 @@ def test_running_totals_without_keys(tx, rows):
     assert {r["tx_id"]: r["s"] for r in out.collect()} == want
 
 
-@pytest.mark.parametrize("method", ["frames", "hours"])
+@pytest.mark.parametrize("method", ["hours"])
 def test_windows_over_rows_never_cover_a_whole_user(tx, method):
     """They are partitioned by (user, cell); only the table with a row per cell goes by user alone."""
     plan = features.sliding_features(tx, method)._jdf.queryExecution().optimizedPlan().toString()
@@ -191,3 +198,41 @@ def test_weekday_hour_map(spark):
     df = spark.createDataFrame([("t1", "u", START, 1, "a"), ("t2", "u", START + 60_000, 1, "a"), ("t3", "u", START + 25 * HOUR, 1, "a")], TX)
     row = features.weekday_hour_map(df).first()
     assert row["weekday_hour"] == {"2-0": 2, "3-1": 1}
+
+
+ODD = [("t1", "u", START, 100, "a"), ("t2", None, START, 5, "a"), ("t3", "u", None, 7, "b"), ("t4", "u", START + 60_000, 2000, "a"), ("t5", "", START, 1, None)]
+
+
+def test_rows_without_key_or_time_are_kept_and_seen_by_no_other(spark):
+    df = spark.createDataFrame(ODD, TX)
+    placed = df.filter("tx_id IN ('t1', 't4', 't5')")
+
+    def both(apply, column):
+        whole = {r["tx_id"]: r[column] for r in apply(df).collect()}
+        alone = {r["tx_id"]: r[column] for r in apply(placed).collect()}
+        assert sorted(whole) == ["t1", "t2", "t3", "t4", "t5"]
+        assert {k: whole[k] for k in alone} == alone
+        assert whole["t2"] in (None, False) and whole["t3"] in (None, False)
+
+    both(lambda d: cells.previous_row(d, ["user_id"], "ts_ms", "tx_id", ["amount_minor"]), "prev_amount_minor")
+    both(lambda d: cells.neighbour_times(d, ["user_id"], "ts_ms", "tx_id"), "next_ts")
+    both(lambda d: cells.run_position(d, "user_id", "ts_ms", "tx_id", HOUR, "n"), "n")
+    both(lambda d: cells.trailing(d, "user_id", {"n": (HOUR, F.lit(1))}), "n")
+    both(lambda d: cells.trailing_max(d, "user_id", "amount_minor", HOUR, "n"), "n")
+    both(lambda d: cells.trailing_distinct(d, "user_id", "mcc", HOUR, "n"), "n")
+    both(lambda d: features.prior_outcomes(d, {"n": F.col("amount_minor") > 50}), "n")
+    both(lambda d: features.travel(d.withColumns({"lat": F.lit(1.0), "lon": F.col("amount_minor").cast("double")})), "distance_from_last_km")
+    both(detect.fat_finger, "fat_finger")
+
+
+def test_a_missing_time_leaves_the_profile_of_the_user(spark):
+    df = spark.createDataFrame([("t0", "u", None, 1, "a"), ("t1", "u", START, 1, "a"), ("t2", "u", START + 5, 1, "b")], TX)
+    out = history.profile_versions(df, "user_id", ["mcc"]).orderBy("valid_from").collect()
+    assert [(r["mcc"], r["valid_from"], r["is_current"]) for r in out] == [("a", START, False), ("b", START + 5, True)]
+
+
+def test_spikes_look_at_the_busy_slots_before(spark):
+    counts = {0: 4, 1: 2, 3: 12, 70: 5, 71: 20}
+    rows = [(f"{slot}-{i}", "u", slot * 60_000 + i, 1, "a") for slot, n in counts.items() for i in range(n)]
+    out = {r["slot_start_ms"] // 60_000: (r["tx_count"], r["usual"], r["spike"]) for r in history.spikes(spark.createDataFrame(rows, TX)).collect()}
+    assert out == {0: (4, None, False), 1: (2, 4.0, False), 3: (12, 3.0, True), 70: (5, None, False), 71: (20, 5.0, True)}

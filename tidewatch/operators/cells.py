@@ -6,7 +6,8 @@ fixed width. Work inside a cell runs as a window over (key, cell) with running f
 the sort. What earlier cells contribute is a small table, one row per (key, cell), scanned per key and joined back
 on the same (key, cell) partitioning. The cell width bounds the rows of one task; results do not depend on it.
 
-Key columns must not be null (callers route such rows around).
+A row without a key or a time has no place on a time line: it passes through with nulls in the added columns, and no
+other row sees it.
 """
 
 from __future__ import annotations
@@ -25,6 +26,14 @@ def cell_of(ts: Column, cell_ms: int) -> Column:
     return F.floor(ts / F.lit(cell_ms))
 
 
+def placed_rows(df: DataFrame, keys: list[str], ts: str) -> tuple[DataFrame, DataFrame]:
+    """The rows with a place on a time line, and the others."""
+    known = F.col(ts).isNotNull()
+    for key in keys:
+        known = known & F.col(key).isNotNull()
+    return df.filter(known), df.filter(~known)
+
+
 def running_totals(df: DataFrame, keys: list[str], cell: str, order: list[Column], sums: dict[str, Column]) -> DataFrame:
     """Adds running sums (current row included) along ``order``, which must agree with the order of ``cell``.
 
@@ -66,7 +75,8 @@ def previous_row(
     df: DataFrame, keys: list[str], ts: str, tie: str, columns: list[str], cell_ms: int = DAY_MS
 ) -> DataFrame:
     """Adds ``prev_<column>``: the value in the row before, per key in order of (ts, tie); null for the first."""
-    cut = df.withColumn("_cell", cell_of(F.col(ts), cell_ms))
+    placed, others = placed_rows(df, keys, ts)
+    cut = placed.withColumn("_cell", cell_of(F.col(ts), cell_ms))
     inside = Window.partitionBy(*keys, "_cell").orderBy(ts, tie)
     over_cells = Window.partitionBy(*keys).orderBy("_cell")
     image = F.struct(ts, tie, *[F.col(c).alias(f"_p_{c}") for c in columns])
@@ -75,7 +85,7 @@ def previous_row(
         .agg(F.max(image).alias("_last"))
         .select(*keys, "_cell", F.lag("_last").over(over_cells).alias("_carry"))
     )
-    return (
+    found = (
         cut.withColumn("_first", F.row_number().over(inside) == 1)
         .select("*", *[F.lag(c).over(inside).alias(f"_in_{c}") for c in columns])
         .join(carry, [*keys, "_cell"])
@@ -87,11 +97,13 @@ def previous_row(
             ],
         )
     )
+    return found.unionByName(others, allowMissingColumns=True)
 
 
 def neighbour_times(df: DataFrame, keys: list[str], ts: str, tie: str, cell_ms: int = DAY_MS) -> DataFrame:
     """Adds ``prev_ts`` and ``next_ts``: the times of the rows before and after within the key."""
-    cut = df.withColumn("_cell", cell_of(F.col(ts), cell_ms))
+    placed, others = placed_rows(df, keys, ts)
+    cut = placed.withColumn("_cell", cell_of(F.col(ts), cell_ms))
     inside = Window.partitionBy(*keys, "_cell").orderBy(ts, tie)
     over_cells = Window.partitionBy(*keys).orderBy("_cell")
     carry = (
@@ -104,7 +116,7 @@ def neighbour_times(df: DataFrame, keys: list[str], ts: str, tie: str, cell_ms:
             F.lead("_lo").over(over_cells).alias("_carry_next"),
         )
     )
-    return (
+    found = (
         cut.select("*", F.lag(ts).over(inside).alias("_prev"), F.lead(ts).over(inside).alias("_next"))
         .join(carry, [*keys, "_cell"])
         .select(
@@ -113,11 +125,13 @@ def neighbour_times(df: DataFrame, keys: list[str], ts: str, tie: str, cell_ms:
             F.coalesce("_next", "_carry_next").alias("next_ts"),
         )
     )
+    return found.unionByName(others, allowMissingColumns=True)
 
 
 def run_position(df: DataFrame, key: str, ts: str, tie: str, gap_ms: int, name: str, cell_ms: int = HOUR_MS) -> DataFrame:
     """Adds the position (from 1) of a row in its run: a run ends when the next row is more than ``gap_ms`` later."""
-    cut = df.withColumn("_cell", cell_of(F.col(ts), cell_ms))
+    placed, others = placed_rows(df, [key], ts)
+    cut = placed.withColumn("_cell", cell_of(F.col(ts), cell_ms))
     inside = Window.partitionBy(key, "_cell").orderBy(ts, tie)
     cut = cut.select(
         "*",
@@ -150,7 +164,8 @@ def run_position(df: DataFrame, key: str, ts: str, tie: str, gap_ms: int, name:
         F.when(F.col("_joined"), F.lag(F.col("_tails") - F.col("_base")).over(over_cells)).otherwise(F.lit(0)).alias("_carry"),
     )
     position = F.coalesce(F.col("_n") - F.col("_begin_n") + 1, F.col("_n") + F.col("_carry"))
-    return cut.join(carry, [key, "_cell"]).select(*df.columns, position.cast("long").alias(name))
+    found = cut.join(carry, [key, "_cell"]).select(*df.columns, position.cast("long").alias(name))
+    return found.unionByName(others, allowMissingColumns=True)
 
 
 def trailing(
@@ -167,10 +182,10 @@ def trailing(
     Every row enters the running sum when it happens and leaves it ``horizon`` later, so a trailing sum is one
     running sum over arrivals and departures. Rows are taken one at a time in order of (ts, tie): of two rows with
     the same time the first does not see the second. Values must be integers, so that leaving undoes entering.
-    ``include_current=False`` takes the row's own value out again. Rows without a key get nulls.
+    ``include_current=False`` takes the row's own value out again. Rows without a key or a time get nulls.
     """
     horizons = sorted({h for h, _ in sums.values()})
-    keyed = df.filter(F.col(key).isNotNull())
+    keyed, others = placed_rows(df, [key], ts)
     values = keyed.select("*", *[F.coalesce(v, F.lit(0)).cast("long").alias(f"_x_{n}") for n, (_, v) in sums.items()])
 
     def moment(kind: int, at: Column, sign: dict[str, int]) -> Column:
@@ -192,8 +207,7 @@ def trailing(
     out = running_totals(moments, ["_key"], "_cell", order, {n: F.col(f"_d_{n}") for n in sums})
     own = {n: F.lit(0) if include_current else F.col(f"_d_{n}") for n in sums}
     result = out.filter("_kind = 1").select("_row.*", *[(F.col(n) - own[n]).alias(n) for n in sums])
-    keyless = df.filter(F.col(key).isNull()).select("*", *[F.lit(None).cast("long").alias(n) for n in sums])
-    return result.unionByName(keyless)
+    return result.unionByName(others, allowMissingColumns=True)
 
 
 def trailing_max(
@@ -214,7 +228,7 @@ def trailing_max(
     if horizon_ms % cell_ms:
         raise ValueError("the cell width must divide the horizon")
     whole_cells = horizon_ms // cell_ms - 1
-    keyed = df.filter(F.col(key).isNotNull())
+    keyed, others = placed_rows(df, [key], ts)
     rows = keyed.select(
         F.col(key).alias("_key"),
         F.col(value).alias("_value"),
@@ -243,9 +257,7 @@ def trailing_max(
         rows = rows.join(carry, ["_key", "_cell"])
         parts.append("_between")
     out = rows.select("_row.*", F.greatest(*parts).alias(name))
-    return out.unionByName(
-        df.filter(F.col(key).isNull()).select("*", F.lit(None).cast(df.schema[value].dataType).alias(name))
-    )
+    return out.unionByName(others, allowMissingColumns=True)
 
 
 def trailing_distinct(
@@ -265,7 +277,8 @@ def trailing_distinct(
     set of values is ever collected.
     """
     # the cells of (key, value) need not be as fine as those of the key
-    keyed = df.filter(F.col(key).isNotNull()).withColumn("_value", F.coalesce(F.col(value).cast("string"), F.lit("")))
+    keyed, others = placed_rows(df, [key], ts)
+    keyed = keyed.withColumn("_value", F.coalesce(F.col(value).cast("string"), F.lit("")))
     near = neighbour_times(keyed, [key, "_value"], ts, tie, max(cell_ms, DAY_MS))
     present = F.col(value).isNotNull()
     starts = present & (F.col("prev_ts").isNull() | (F.col(ts) - F.col("prev_ts") >= horizon_ms))
@@ -288,4 +301,4 @@ def trailing_distinct(
     order = [F.col("_at"), F.col("_kind"), F.col(f"_row.{tie}")]
     out = running_totals(moments, ["_key"], "_cell", order, {name: F.col("_d")})
     result = out.filter("_kind = 1").select("_row.*", name)
-    return result.unionByName(df.filter(F.col(key).isNull()).select("*", F.lit(None).cast("long").alias(name)))
+    return result.unionByName(others, allowMissingColumns=True)

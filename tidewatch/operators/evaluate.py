@@ -16,11 +16,14 @@ from tidewatch.operators.cells import running_totals
 
 def value_bounds(df: DataFrame, column: str, cells: int) -> list[float]:
     """Increasing bounds that split the rows into about equal parts; at most ``cells`` numbers come to the driver."""
-    found = df.agg(F.percentile_approx(F.col(column).cast("double"), [i / cells for i in range(1, cells)]).alias("b")).first()
+    number = F.col(column).cast("double")
+    finite = F.when(~F.isnan(number) & (F.abs(number) < float("inf")), number)
+    found = df.agg(F.percentile_approx(finite, [i / cells for i in range(1, cells)]).alias("b")).first()
     return sorted({b for b in found["b"] or []})
 
 
 def with_value_cell(df: DataFrame, column: str, bounds: list[float]) -> DataFrame:
+    """Adds ``_cell``: infinite values fall into the outer cells, NaN into one after the last, as Spark sorts it."""
     splits = [float("-inf"), *(bounds or [0.0]), float("inf")]
     double = df.withColumn("_number", F.col(column).cast("double"))
     out = Bucketizer(splits=splits, inputCol="_number", outputCol="_cell", handleInvalid="keep").transform(double)
@@ -104,8 +107,8 @@ def confusion(df: DataFrame, score: str = "score", label: str = "label", thresho
 
 
 def calibration(df: DataFrame, score: str = "score", label: str = "label", bins: int = 10) -> DataFrame:
-    """Reliability table over bins of equal width in [0, 1]."""
-    number = F.least(F.floor(F.col(score) * bins), F.lit(bins - 1)).cast("int")
+    """Reliability table over bins of equal width in [0, 1]; scores outside fall into the first or the last bin."""
+    number = F.greatest(F.least(F.floor(F.col(score) * bins), F.lit(bins - 1)), F.lit(0)).cast("int")
     return (
         df.filter(F.col(score).isNotNull())
         .groupBy(number.alias("bin"))

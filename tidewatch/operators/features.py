@@ -11,6 +11,7 @@ from tidewatch.operators.cells import (
     DAY_MS,
     HOUR_MS,
     cell_of,
+    placed_rows,
     previous_row,
     running_totals,
     trailing,
@@ -21,8 +22,6 @@ from tidewatch.session import cut_lineage
 
 MINUTE_MS = 60_000
 TEN_MINUTES_MS = 10 * MINUTE_MS
-#: Room for events of one user in the same millisecond.
-_TIE_SPACE = 1 << 20
 
 #: Feature columns of the online table.
 ONLINE_FEATURES = [
@@ -96,94 +95,25 @@ def stream_defaults(df: DataFrame, now_ms: Column | None = None) -> DataFrame:
     )
 
 
-#: A user with more events than this in some hour counts as dense: trailing frames would re-read too many rows.
-DENSE_HOUR = 200
-#: At most this many dense users are named to every task; beyond that all rows take the way for dense ones.
-MOST_DENSE_USERS = 10_000
-
-
-def sliding_features(df: DataFrame, method: str = "auto", cell_ms: int = TEN_MINUTES_MS) -> DataFrame:
+def sliding_features(df: DataFrame, method: str = "hours", cell_ms: int = TEN_MINUTES_MS) -> DataFrame:
     """Adds the online features as they stood right after each event of the user, the event included.
 
     ``tx_count_10m`` counts over (t - 10 min, t]; sum, maximum and distinct mcc go over (t - 1 h, t]. Events count
     one at a time in order of (ts_ms, tx_id). Input has one row per tx_id. Rows without user pass with null features.
 
-    No method puts a whole user into one task; they differ in what a busy hour costs. ``frames``: plain trailing
-    frames over (user, day), quadratic in the events of an hour. ``hours``: running frames over (user, hour), linear.
-    ``cells``: as ``hours``, in cells as small as need be, in more shuffles. ``auto`` counts events per user and hour
-    first (one aggregation, run at once) and sends dense users to ``hours``, the others to ``frames``.
+    Neither method puts a whole user into one task, and both are linear in the events of a window. ``hours``: running
+    frames over (user, hour), one shuffle. ``cells``: as ``hours``, in cells of ``cell_ms``, in more shuffles; for
+    users with more events in an hour than a task should sort.
     """
     df = stream_defaults(df)
     keyed = df.filter(F.col("user_id").isNotNull() & (F.col("user_id") != ""))
-    if method == "auto":
-        featured = _by_density(keyed)
-    else:
-        featured = {"frames": _by_frames, "hours": _by_hour, "cells": lambda d: _by_small_cells(d, cell_ms)}[method](keyed)
+    featured = {"hours": _by_hour, "cells": lambda d: _by_small_cells(d, cell_ms)}[method](keyed)
     nothing = [F.lit(None).cast(featured.schema[c].dataType).alias(c) for c in ONLINE_FEATURES]
     # a plain condition, which the scan can check against the statistics of the files
     keyless = df.filter(F.col("user_id").isNull() | (F.col("user_id") == ""))
     return featured.unionByName(keyless.select("*", *nothing))
 
 
-def _by_density(keyed: DataFrame) -> DataFrame:
-    dense = (
-        keyed.groupBy("user_id", cell_of(F.col("ts_ms"), HOUR_MS).alias("_hour"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") > DENSE_HOUR)
-        .select("user_id")
-        .distinct()
-    )
-    users = dense.limit(MOST_DENSE_USERS + 1).collect()
-    if not users:
-        return _by_frames(keyed)
-    if len(users) > MOST_DENSE_USERS:
-        return _by_hour(keyed)
-    named = F.broadcast(keyed.sparkSession.createDataFrame(users, "user_id string"))
-    busy, others = keyed.join(named, "user_id", "left_semi"), keyed.join(named, "user_id", "left_anti")
-    return _by_hour(busy).unionByName(_by_frames(others))
-
-
-def _by_frames(keyed: DataFrame) -> DataFrame:
-    """Trailing frames over (user, day). The last hour of a day is also sent to the next day, as rows that only count."""
-    t = F.col("ts_ms")
-    day = cell_of(t, DAY_MS)
-    both = F.array(F.struct(day.alias("cell"), F.lit(True).alias("own")), F.struct((day + 1).alias("cell"), F.lit(False).alias("own")))
-    near_midnight = cell_of(t + HOUR_MS, DAY_MS) > day
-    seen = keyed.select("*", F.explode(F.when(near_midnight, both).otherwise(F.slice(both, 1, 1))).alias("_in"))
-    seen = seen.select(*keyed.columns, "_in.cell", "_in.own")
-    in_day = Window.partitionBy("user_id", "cell")
-    one_by_one = in_day.orderBy("ts_ms", "tx_id")
-    # a unique key in order of (ts_ms, tx_id), so that a frame of values takes events one at a time; the position
-    # minus the rank tells ties apart
-    tie = F.row_number().over(one_by_one) - F.rank().over(in_day.orderBy("ts_ms"))
-    seen = seen.select("*", F.lag("ts_ms").over(one_by_one).alias("_before"), (t * _TIE_SPACE + tie).alias("_k"))
-    day_order = in_day.orderBy("_k")
-
-    def last(horizon_ms: int):
-        return day_order.rangeBetween(-((horizon_ms - 1) * _TIE_SPACE + _TIE_SPACE // 2), 0)
-
-    seen = seen.select(
-        "*",
-        F.count(F.lit(1)).over(last(TEN_MINUTES_MS)).alias("tx_count_10m"),
-        F.sum("amount_minor").over(last(HOUR_MS)).alias("amt_sum_1h"),
-        F.max("amount_minor").over(last(HOUR_MS)).alias("_max"),
-        F.size(F.collect_set("mcc").over(last(HOUR_MS))).cast("long").alias("distinct_mcc_1h"),
-    ).filter("own")
-    # the previous event may be days away: last time per (user, day), handed to the user's next active day
-    days = keyed.groupBy("user_id", day.alias("cell")).agg(F.max("ts_ms").alias("_last"))
-    days = days.select("user_id", "cell", F.lag("_last").over(Window.partitionBy("user_id").orderBy("cell")).alias("_carried"))
-    gap = seconds_2(t - F.coalesce("_before", "_carried"))
-    return seen.join(days, ["user_id", "cell"]).select(
-        *keyed.columns,
-        "tx_count_10m",
-        "amt_sum_1h",
-        F.greatest("_max", F.lit(0)).alias("max_amt_1h"),
-        "distinct_mcc_1h",
-        F.coalesce(gap, F.lit(-1.0)).alias("seconds_since_last_tx"),
-        t.alias("last_updated_ms"),
-    )
-
-
 def _by_small_cells(keyed: DataFrame, cell_ms: int) -> DataFrame:
     sums = {"tx_count_10m": (TEN_MINUTES_MS, F.lit(1)), "amt_sum_1h": (HOUR_MS, F.col("amount_minor"))}
     # each step reads its input twice (cells and rows), so the steps are cut apart
@@ -411,11 +341,15 @@ def weekday_hour_map(df: DataFrame) -> DataFrame:
 
 
 def prior_outcomes(df: DataFrame, outcomes: dict[str, Column], cell_ms: int = DAY_MS) -> DataFrame:
-    """Number of earlier transactions of the user with each outcome (chargebacks, challenges), the current one left out."""
-    cut = df.withColumn("_cell", cell_of(F.col("ts_ms"), cell_ms))
+    """Number of earlier transactions of the user with each outcome (chargebacks, challenges), the current one left out.
+
+    Rows without user or time get nulls."""
+    placed, others = placed_rows(df, ["user_id"], "ts_ms")
+    cut = placed.withColumn("_cell", cell_of(F.col("ts_ms"), cell_ms))
     flags = {name: F.coalesce(c, F.lit(False)).cast("long") for name, c in outcomes.items()}
     out = running_totals(cut, ["user_id"], "_cell", [F.col("ts_ms"), F.col("tx_id")], flags)
-    return out.select(*df.columns, *[(F.col(name) - flag).alias(name) for name, flag in flags.items()])
+    counted = out.select(*df.columns, *[(F.col(name) - flag).alias(name) for name, flag in flags.items()])
+    return counted.unionByName(others, allowMissingColumns=True)
 
 
 def distinct_sketch(df: DataFrame, key: str, value: str) -> DataFrame:

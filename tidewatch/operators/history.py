@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewatch.functions.scalars import clock_text, money_text, round_2
-from tidewatch.operators.cells import DAY_MS, cell_of, neighbour_times, previous_row, running_totals
+from tidewatch.operators.cells import DAY_MS, cell_of, neighbour_times, placed_rows, previous_row, running_totals, trailing
+
+#: Slots of time that one task looks through.
+SLOTS_PER_CELL = 10_000
 
 
 def deduplicate(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -74,8 +77,12 @@ def totals_over_users(features: DataFrame, n_users: int | None = None) -> DataFr
 
 
 def profile_versions(df: DataFrame, key: str, tracked: list[str], ts: str = "ts_ms", tie: str = "tx_id") -> DataFrame:
-    """Slowly changing profile (type 2): one row per stretch of unchanged values, valid in [valid_from, valid_to)."""
-    marked = previous_row(df.select(key, ts, tie, *tracked).withColumn("_seen", F.lit(True)), [key], ts, tie, [*tracked, "_seen"])
+    """Slowly changing profile (type 2): one row per stretch of unchanged values, valid in [valid_from, valid_to).
+
+    Rows without a key or a time say nothing about when a value held, and are left out.
+    """
+    placed, _ = placed_rows(df, [key], ts)
+    marked = previous_row(placed.select(key, ts, tie, *tracked).withColumn("_seen", F.lit(True)), [key], ts, tie, [*tracked, "_seen"])
     same = F.lit(True)
     for c in tracked:
         same = same & F.col(c).eqNullSafe(F.col(f"prev_{c}"))
@@ -157,9 +164,10 @@ def guardrails(
 def spikes(df: DataFrame, size_ms: int = 60_000, history: int = 60, factor: float = 3.0) -> DataFrame:
     """Time slots whose traffic is at least ``factor`` times the mean of the busy slots among the ``history`` before."""
     slots = df.groupBy(F.floor(F.col("ts_ms") / size_ms).alias("slot")).agg(F.count(F.lit(1)).alias("tx_count"))
-    # one row per slot of time, so few rows however large the table
-    past = Window.partitionBy(F.lit(0)).orderBy("slot").rangeBetween(-history, -1)
-    slots = slots.withColumn("usual", F.avg("tx_count").over(past))
+    slots = slots.withColumn("_all", F.lit(0))
+    sums = {"_sum": (history + 1, F.col("tx_count")), "_slots": (history + 1, F.lit(1))}
+    slots = trailing(slots, "_all", sums, ts="slot", tie="slot", cell_ms=SLOTS_PER_CELL, include_current=False)
+    slots = slots.withColumn("usual", F.try_divide("_sum", "_slots"))
     return slots.select(
         (F.col("slot") * size_ms).alias("slot_start_ms"),
         "tx_count",

@@ -31,12 +31,14 @@ def model_input(df: DataFrame, features: list[str] = MODEL_FEATURES) -> DataFram
 def stratified_split(df: DataFrame, label: str, test_size: float = 0.2, seed: int = 42, key: str = "user_id") -> DataFrame:
     """Adds ``is_test``: of each class exactly round(n * test_size) rows, chosen by a hash of the key.
 
-    Rows are ranked per class along their hash, cut into 1,024 hash cells, so no class is sorted in one task.
+    A null label is a class of its own. Rows are ranked per class along their hash, cut into 65,536 hash cells, so no
+    class is sorted in one task.
     """
-    hashed = df.withColumn("_hash", F.xxhash64(F.lit(seed), F.col(key))).withColumn("_cell", F.shiftright("_hash", 54))
-    ranked = running_totals(hashed, [label], "_cell", [F.col("_hash"), F.col(key)], {"_rank": F.lit(1)})
-    sizes = df.groupBy(label).agg(F.round(F.count(F.lit(1)) * test_size).alias("_cut"))
-    return ranked.join(sizes, label).select(*df.columns, (F.col("_rank") <= F.col("_cut")).alias("is_test"))
+    hashed = df.withColumn("_hash", F.xxhash64(F.lit(seed), F.col(key))).withColumn("_cell", F.shiftright("_hash", 48))
+    hashed = hashed.withColumn("_class", F.struct(F.col(label).alias("label")))  # a struct of null equals itself
+    ranked = running_totals(hashed, ["_class"], "_cell", [F.col("_hash"), F.col(key)], {"_rank": F.lit(1)})
+    sizes = hashed.groupBy("_class").agg(F.round(F.count(F.lit(1)) * test_size).alias("_cut"))
+    return ranked.join(sizes, "_class").select(*df.columns, (F.col("_rank") <= F.col("_cut")).alias("is_test"))
 
 
 def group_split(df: DataFrame, shares: dict[str, float], key: str = "user_id", seed: int = 42) -> DataFrame:
@@ -106,14 +108,22 @@ def feature_importance(spark, model: Model, features: list[str] = MODEL_FEATURES
     return spark.createDataFrame([(f, float(v)) for f, v in zip(features, importances)], "feature string, importance double")
 
 
-def metrics_record(scored: DataFrame, score: str = "score", target: str = "target", features: list[str] = MODEL_FEATURES) -> DataFrame:
-    """One row about a test: AUC, recall at 1 % false positives, sizes, share of positives, weight."""
+def metrics_record(
+    scored: DataFrame, split: DataFrame, score: str = "score", target: str = "target", features: list[str] = MODEL_FEATURES
+) -> DataFrame:
+    """One row about a test: AUC, recall at 1 % false positives, sizes, share of positives, weight.
+
+    ``scored`` is the test fold, ``split`` all rows with ``is_test``. The share of positives is taken over all rows, the
+    weight over the training fold.
+    """
     ranking = auc(scored, score, target).select(F.round("auc", 4).alias("auc"), F.lit(1).alias("_one"))
     recall = recall_at_fpr(scored, [0.01], score, target).select(F.round("recall", 4).alias("recall_at_1pct_fpr"), F.lit(1).alias("_one"))
-    balance = class_balance(scored, target).select(
-        (F.col("n_pos") + F.col("n_neg")).alias("test_size"),
-        F.round(F.try_divide(F.col("n_pos"), F.col("n_pos") + F.col("n_neg")), 6).alias("fraud_rate"),
-        F.round("scale_pos_weight", 2).alias("scale_pos_weight"),
+    positive, train = F.col(target) == 1, ~F.col("is_test")
+    balance = split.agg(
+        F.count_if(train).alias("train_size"),
+        F.count_if("is_test").alias("test_size"),
+        F.round(F.try_divide(F.count_if(positive), F.count(F.lit(1))), 6).alias("fraud_rate"),
+        F.round(F.count_if(train & ~positive) / F.greatest(F.count_if(train & positive), F.lit(1)), 2).alias("scale_pos_weight"),
         F.lit(1).alias("_one"),
     )
     out = reduce(lambda a, b: a.join(b, "_one"), [ranking, recall, balance])  # one row each

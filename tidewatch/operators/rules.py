@@ -115,12 +115,15 @@ def score_batch(
     Each call counts its own transaction first. The count goes on through the user's calls until 600 s pass without
     one. ``additive`` adds it to the stored counts; ``reference`` lets it hide the stored 30-day count, as a store
     would where online values win. Stored sums may hold the amount being scored (if the transactions bring their
-    sliding features along); it is taken out unless ``include_current_amount``.
+    sliding features along); it is taken out unless ``include_current_amount``. A transaction without a user (null or
+    blank) or without a time has no calls; it is decided by its own values and what is stored for its user.
     """
     if count_mode not in ("additive", "reference"):
         raise ValueError(count_mode)
-    keyed = tx.filter(F.col("user_id").isNotNull())
-    calls = run_position(keyed, "user_id", "ts_ms", "tx_id", CALL_MEMORY_MS, "_calls")
+    blank = F.trim(F.coalesce(F.col("user_id"), F.lit(""))) == ""
+    named = tx.withColumn("_user", F.when(~blank, F.col("user_id")))
+    calls = run_position(named, "_user", "ts_ms", "tx_id", CALL_MEMORY_MS, "_calls").drop("_user")
+    calls = calls.withColumn("_calls", F.coalesce("_calls", F.lit(0)))
     carries_sliding = "amt_sum_1h" in tx.columns
     out = merged_features(calls, online, offline, RULE_FEATURES)
     if carries_sliding:
@@ -301,3 +304,17 @@ def image_quality_rules(metrics: DataFrame) -> DataFrame:
     )
     out = metrics.withColumn("violations", F.array_compact(violations)).withColumn("warnings", F.array_compact(warnings))
     return out.withColumn("is_valid", F.size("violations") == 0)
+
+
+# -- risk of addresses -----------------------------------------------------------------------------------------
+
+
+def with_ip_risk(tx: DataFrame, risk: DataFrame, default: float = 0.0, key: str = "ip_hash") -> DataFrame:
+    """Adds ``ip_risk``: the risk that a table (``ip_hash``, ``risk``) states for the address, else ``default``.
+
+    Of several statements about an address the highest counts. A transaction without an address gets the default.
+    The table has a row per address after grouping, so the join can be split by the address on the other side.
+    """
+    known = risk.filter(F.col("ip_hash").isNotNull()).groupBy(F.col("ip_hash").alias("_ip")).agg(F.max("risk").alias("_risk"))
+    joined = tx.join(known, F.col(key) == F.col("_ip"), "left")
+    return joined.withColumn("ip_risk", F.coalesce(F.col("_risk"), F.lit(default))).drop("_ip", "_risk")

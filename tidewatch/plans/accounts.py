@@ -30,7 +30,7 @@ def payment_edges(spark, folder):
     return graph.edges(transfers(spark, folder))
 
 
-ROUNDS = 5
+ROUNDS = 20
 
 
 def _pagerank_sql() -> str:

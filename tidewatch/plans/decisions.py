@@ -314,3 +314,13 @@ def champion_and_challenger(spark, folder):
         F.when(F.abs("lat") / 60 < 0.7, "APPROVE").otherwise(F.lit("DECLINE")).alias("challenger"),
     )
     return back_test(both, "champion", "challenger")
+
+
+@query(
+    f"WITH {EV}, r AS (SELECT device_fp AS ip, round(avg(label), 9) AS risk FROM ev GROUP BY device_fp HAVING avg(label) > 0.19)"
+    " SELECT tx_id, coalesce(risk, 0.05) AS ip_risk FROM ev LEFT JOIN r ON ev.device_fp = r.ip"
+)
+def ip_risk_lookup(spark, folder):
+    tx = events_as_tx(spark, folder)
+    risk = tx.groupBy(F.col("device_fp").alias("ip_hash")).agg(F.round(F.avg("label"), 9).alias("risk")).filter(F.col("risk") > 0.19)
+    return ops.with_ip_risk(tx, risk, 0.05, key="device_fp").select("tx_id", "ip_risk")

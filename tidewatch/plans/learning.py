@@ -219,36 +219,67 @@ def model_inputs(spark, folder):
     return out.select("user_id", F.size(v).alias("size"), v.getItem(0).alias("first_input"), v.getItem(11).alias("last_input"))
 
 
+#: Features are taken before the middle of the orders' years, the target in the year after it.
+ORDERS_MIDDLE_MS = 803_347_200_000
+TARGET_END_MS = ORDERS_MIDDLE_MS + 366 * 86_400_000
+
+
 def trained(spark, folder, trees=10):
-    """Users with a high share of label 1 as the target; trees, test fold and its scores."""
-    features = offline_features(orders_as_tx(spark, folder)).withColumn("target", (F.col("fraud_rate_user") >= 0.35).cast("int"))
-    split = ops.stratified_split(features, "target")
+    """Features of earlier orders, a label among later ones as the target: trees, scores of the test fold, and all rows
+    with their fold."""
+    tx = orders_as_tx(spark, folder)
+    features = offline_features(tx.filter(F.col("ts_ms") < ORDERS_MIDDLE_MS)).drop("has_fraud_label")
+    later = tx.filter((F.col("ts_ms") >= ORDERS_MIDDLE_MS) & (F.col("ts_ms") < TARGET_END_MS)).groupBy("user_id").agg(F.max("label").alias("has_fraud_label"))
+    split = ops.stratified_split(ops.clean_target(features.join(later, "user_id", "left")), "target")
     model = ops.train_boosted_trees(split.filter(~F.col("is_test")), trees=trees, depth=4)
-    return model, ops.score_with(model, split.filter("is_test"))
+    return model, ops.score_with(model, split.filter("is_test")), split
+
 
+_FOLDS = f"""{ORD}, f AS (SELECT DISTINCT user_id FROM od WHERE ts_ms < {ORDERS_MIDDLE_MS}),
+t AS (SELECT f.user_id, coalesce(max(label) = 1, false)::INTEGER AS target
+  FROM f LEFT JOIN od ON od.user_id = f.user_id AND ts_ms >= {ORDERS_MIDDLE_MS} AND ts_ms < {TARGET_END_MS} GROUP BY ALL),
+c AS (SELECT target, count(*) AS n, round(count(*) * 0.2)::BIGINT AS n_test FROM t GROUP BY target)"""
 
-@query()
+
+@query(f"WITH {_FOLDS} SELECT target, n_test AS n, true AS are_probabilities, n_test AS users FROM c")
 def boosted_tree_scores(spark, folder):
-    _, test = trained(spark, folder)
-    return test.select("user_id", "target", "score")
+    _, test, _ = trained(spark, folder)
+    return test.groupBy("target").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.bool_and(F.col("score").between(0, 1)).alias("are_probabilities"),
+        F.countDistinct("user_id").alias("users"),
+    )
 
 
-@query()
+@query(
+    f"WITH {_FOLDS} SELECT true AS auc_in_range, true AS recall_in_range, sum(n - n_test)::BIGINT AS train_size, sum(n_test)::BIGINT AS test_size,"
+    " round(sum(n) FILTER (target = 1) / sum(n)::DOUBLE, 6) AS fraud_rate, round(coalesce(sum(n - n_test) FILTER (target = 0), 0)"
+    " / greatest(coalesce(sum(n - n_test) FILTER (target = 1), 0), 1)::DOUBLE, 2) AS scale_pos_weight, 12 AS n_features FROM c"
+)
 def model_metrics(spark, folder):
-    _, test = trained(spark, folder)
-    return ops.metrics_record(test)
+    _, test, split = trained(spark, folder)
+    record = ops.metrics_record(test, split).drop("feature_columns")
+    return record.withColumns(
+        {"auc_in_range": F.col("auc").between(0, 1), "recall_in_range": F.col("recall_at_1pct_fpr").between(0, 1)}
+    ).drop("auc", "recall_at_1pct_fpr")
 
 
-@query()
+@query("SELECT 12::BIGINT AS features, 12::BIGINT AS names, true AS none_negative, 1::DOUBLE AS total")
 def model_feature_importance(spark, folder):
-    model, _ = trained(spark, folder)
-    return ops.feature_importance(spark, model)
+    model, _, _ = trained(spark, folder)
+    return ops.feature_importance(spark, model).agg(
+        F.count(F.lit(1)).alias("features"),
+        F.countDistinct("feature").alias("names"),
+        (F.min("importance") >= 0).alias("none_negative"),
+        F.round(F.sum("importance"), 6).alias("total"),
+    )
 
 
-@query()
+@query(f"WITH {EV} SELECT tx_id, true AS is_probability FROM ev")
 def blended_by_regression(spark, folder):
     tx = events_as_tx(spark, folder).select("tx_id", F.col("label").cast("int").alias("target"), tied_score().alias("a"), (F.abs("lat") / 60).alias("b"))
     model = ops.blend_model(tx, ["a", "b"])
     from pyspark.ml.functions import vector_to_array
 
-    return model.transform(tx).select("tx_id", vector_to_array("probability").getItem(1).alias("p_fraud"))
+    p = vector_to_array("probability").getItem(1)
+    return model.transform(tx).select("tx_id", p.between(0, 1).alias("is_probability"))
