@@ -95,7 +95,10 @@ def mixed(
     )
     plan = stored(plan, "budgets")
     place = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("epoch").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    placed = rows.join(plan, LEVELS).withColumn("place", place).withColumn("cell", F.substring("place", 1, DIGITS))
+    # joined on the leaf as one struct: the join may split a leaf with very many rows, since what follows is dealt out anew
+    leaf = F.struct(*LEVELS).alias("leaf")
+    leafed = rows.select("*", leaf)
+    placed = leafed.join(plan.select(leaf, "epoch", "rest"), "leaf").withColumn("place", place).withColumn("cell", F.substring("place", 1, DIGITS))
     cells = placed.groupBy(*LEVELS, "rest", "cell").agg(F.sum("n_tokens").alias("n"))
     upto = Window.partitionBy(*LEVELS).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     ends = (
@@ -105,7 +108,7 @@ def mixed(
         .agg(F.max(F.struct("cell", "before")).alias("end"))
     )
     cut = stored(plan.join(ends, LEVELS, "left").select(*LEVELS, "epoch", "rest", F.col("end.cell").alias("end"), F.col("end.before").alias("before")), "cuts")
-    dealt = rows.join(cut, LEVELS).withColumn("place", place).withColumn("cell", F.substring("place", 1, DIGITS))
+    dealt = leafed.join(cut.select(leaf, "epoch", "rest", "end", "before"), "leaf").withColumn("place", place).withColumn("cell", F.substring("place", 1, DIGITS))
     out = ["doc_id", *LEVELS, "n_tokens"]
     inner = Window.partitionBy(*LEVELS).orderBy("place", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
     reached = F.col("before") + F.coalesce(F.sum("n_tokens").over(inner), F.lit(0))
