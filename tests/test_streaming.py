@@ -62,6 +62,13 @@ def test_late_and_repeated_events(spark, folder):
     assert sorted(r["amt_sum_1h"] for r in again) == [1000, 1500]  # the repeat replaces, it does not add
 
 
+def test_an_event_beyond_the_lateness_passes_with_null_features(spark, folder):
+    put(spark, [("t1", "u", START, 100, "a"), ("t9", "u", START + 3_600_000, 900, "b")], f"{folder}/topic")
+    put(spark, [("t5", "u", START + 300_000, 500, "c"), ("t6", "u", START + 3_500_000, 5, "c")], f"{folder}/topic")
+    got = run(spark, S.stream_features(events(spark, f"{folder}/topic")), f"{folder}/out", f"{folder}/state")
+    assert got["t5"] == (None,) * 6 and got["t6"][0] == 1 and got["t9"][:2] == (1, 900)
+
+
 def test_keyless_rows_pass_without_state(spark, folder):
     put(spark, [("t1", None, START, 5, "a"), ("t2", "", START, 5, "a"), ("t3", "u", START, 5, "a")], f"{folder}/topic")
     source = events(spark, f"{folder}/topic")

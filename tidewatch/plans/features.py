@@ -30,6 +30,24 @@ def offline_features_orders(spark, folder):
     return rounded(ops.offline_features(orders_as_tx(spark, folder)), DIGITS)
 
 
+#: Every numeric column of the offline features.
+PROFILED = [
+    "tx_count_30d",
+    "amt_mean_30d",
+    "amt_std_30d",
+    "amt_max_30d",
+    "amt_min_30d",
+    "distinct_mcc_30d",
+    "distinct_merchant_30d",
+    "distinct_country_30d",
+    "fraud_rate_user",
+    "pct_ecommerce",
+    "pct_card_present",
+    "pct_mobile",
+    "avg_seconds_between_tx",
+]
+
+
 @query(
     f"WITH {EV}, recent AS (SELECT * FROM ev WHERE ts_ms > {AS_OF_MS - 7 * DAY_MS} AND ts_ms <= {AS_OF_MS})"
     f" SELECT {OFFLINE_COLUMNS} FROM ({offline('recent')})"
@@ -40,14 +58,13 @@ def offline_features_last_week(spark, folder):
 
 @query(
     f"WITH {EV}, f AS ({offline('ev')})"
-    " SELECT 'tx_count_30d' AS \"column\", round(avg(tx_count_30d), 6) AS mean, round(stddev_samp(tx_count_30d), 6) AS stddev FROM f"
-    " UNION ALL SELECT 'amt_mean_30d', round(avg(amt_mean_30d), 6), round(stddev_samp(amt_mean_30d), 6) FROM f"
-    " UNION ALL SELECT 'amt_max_30d', round(avg(amt_max_30d), 6), round(stddev_samp(amt_max_30d), 6) FROM f"
-    " UNION ALL SELECT 'pct_mobile', round(avg(pct_mobile), 6), round(stddev_samp(pct_mobile), 6) FROM f"
+    + " UNION ALL ".join(
+        f" SELECT '{c}' AS \"column\", round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS stddev FROM f" for c in PROFILED
+    )
 )
 def feature_profile(spark, folder):
     features = ops.offline_features(events_as_tx(spark, folder))
-    return rounded(ops.table_profile(features, ["tx_count_30d", "amt_mean_30d", "amt_max_30d", "pct_mobile"]), ["mean", "stddev"])
+    return rounded(ops.table_profile(features, PROFILED), {"mean": 4, "stddev": 4})
 
 
 @query(f"WITH {EV} SELECT count(*) AS row_count, count(DISTINCT user_id) AS users FROM ev")
@@ -113,12 +130,12 @@ def reject_ratio_24h(spark, folder):
 
 
 @query(
-    f"WITH {EV}, w AS (SELECT tx_id, label, CAST(sum(label) OVER {frame(7 * DAY_MS, 'merchant_id')} AS BIGINT) - label AS bad,"
-    f" count(*) OVER {frame(7 * DAY_MS, 'merchant_id')} - 1 AS n FROM ({_BY_MERCHANT}))"
+    f"WITH {EV}, w AS (SELECT tx_id, label, CAST(sum(label) OVER {frame(30 * DAY_MS, 'merchant_id')} AS BIGINT) - label AS bad,"
+    f" count(*) OVER {frame(30 * DAY_MS, 'merchant_id')} - 1 AS n FROM ({_BY_MERCHANT}))"
     " SELECT tx_id, round(CAST(bad AS DOUBLE) / nullif(n, 0), 6) AS fraud_rate_merchant FROM w"
 )
 def merchant_fraud_rate(spark, folder):
-    out = ops.past_rate(events_as_tx(spark, folder), "merchant_id", "fraud_rate_merchant", 7)
+    out = ops.past_rate(events_as_tx(spark, folder), "merchant_id", "fraud_rate_merchant", 30)
     return rounded(out.select("tx_id", "fraud_rate_merchant"), ["fraud_rate_merchant"])
 
 

@@ -94,8 +94,7 @@ def stream_live_kpis(spark, folder):
 def stream_newest(spark, folder):
     path, checkpoint = new_folder(spark, "newest"), new_folder(spark, "newest-state")
     events = event_stream(spark, folder).select("tx_id", "ts_ms")
-    sinks.write_batches(events, sinks.keep_recent(path, 50), checkpoint).awaitTermination()
-    last = 0
-    while sinks.snapshot(spark, path, last + 1) is not None:
-        last += 1
+    run = sinks.write_batches(events, sinks.keep_recent(path, 50), checkpoint)
+    run.awaitTermination()
+    last = max(p.batchId for p in run.recentProgress if p.numInputRows)
     return sinks.snapshot(spark, path, last).select(F.col("tx_id"), F.col("ts_ms"))

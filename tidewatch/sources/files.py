@@ -18,7 +18,7 @@ def read_raw(
 ) -> DataFrame:
     """Header CSV of a raw dataset with its declared types; other columns of the file come along as text.
 
-    A folder is read whole; ``first_only`` keeps the file whose path sorts first. ``row_index`` numbers the rows in
+    A text that is not of its column's type becomes null. A folder is read whole; ``first_only`` keeps the file whose path sorts first. ``row_index`` numbers the rows in
     file order, from 0.
     """
     # the header is read to match columns by name; the rows are not scanned for types
@@ -31,7 +31,7 @@ def read_raw(
     if missing:
         raise ValueError(f"{dataset}: missing columns {missing}")
     out = with_row_index(header) if row_index else header
-    typed = [F.col(c).cast(declared[c]).alias(c) if c in declared else F.col(c) for c in out.columns]
+    typed = [F.col(c).try_cast(declared[c]).alias(c) if c in declared else F.col(c) for c in out.columns]
     return out.select(*typed)
 
 

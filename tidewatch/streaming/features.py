@@ -20,16 +20,19 @@ FEATURES = (
 )
 _HELD = ["ts_ms", "tx_id", "amount_minor", "mcc"]
 _OUT = ["tx_id", "user_id", "amount_minor", "mcc", "ts_ms", *ONLINE_FEATURES]
+_NOTHING = (None,) * len(ONLINE_FEATURES)
 
 
 class SlidingFeatures(StatefulProcessor):
     """State per user: the events of the last hour (plus the allowed lateness) and the time of the last event.
 
-    A late event within the allowed lateness sees the events up to its own time, not later ones. An event whose
-    tx_id is still held replaces the held one. State of users who stay away is freed by its time to live.
+    A late event within the allowed lateness sees the events up to its own time, not later ones. What it should see of
+    an event that is later than that is gone, so such an event passes with null features; a filter on them makes the
+    side table of what came too late. An event whose tx_id is still held replaces the held one. State of users who
+    stay away is freed by its time to live.
     """
 
-    def __init__(self, lateness_ms: int = 0, state_ttl_ms: int = 2 * HOUR_MS, last_ttl_ms: int = 24 * HOUR_MS):
+    def __init__(self, lateness_ms: int = TEN_MINUTES_MS, state_ttl_ms: int = 2 * HOUR_MS, last_ttl_ms: int = 24 * HOUR_MS):
         self.lateness_ms = lateness_ms
         self.state_ttl_ms = state_ttl_ms
         self.last_ttl_ms = last_ttl_ms
@@ -52,7 +55,9 @@ class SlidingFeatures(StatefulProcessor):
         newest = max(events[-1][0], last or 0)
         self.held.put([e[:4] for e in events if e[0] > newest - HOUR_MS - self.lateness_ms])
         self.last.update((newest,))
-        yield pd.DataFrame([(e[1], key[0], e[2], e[3], e[0], *f) for e, f in walk(events, last)], columns=_OUT)
+        floor = -1 if last is None else last - self.lateness_ms
+        told = [(e[1], key[0], e[2], e[3], e[0], *(f if e[0] >= floor else _NOTHING)) for e, f in walk(events, last)]
+        yield pd.DataFrame(told, columns=_OUT)
 
     def close(self) -> None:
         pass
@@ -99,7 +104,7 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
 
 
-def stream_features(events: DataFrame, lateness_ms: int = 0, state_ttl_ms: int = 2 * HOUR_MS) -> DataFrame:
+def stream_features(events: DataFrame, lateness_ms: int = TEN_MINUTES_MS, state_ttl_ms: int = 2 * HOUR_MS) -> DataFrame:
     """Adds the online features to a stream of events. Rows without a user are not kept here: see ``keyless``.
 
     The state of a user is bounded by the last hour; the rows of a micro-batch by the rate limit of the source.

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
@@ -35,11 +34,8 @@ def enriched(events: DataFrame, profile: DataFrame) -> DataFrame:
 
 
 def snapshot(spark: SparkSession, path: str, version: int) -> DataFrame | None:
-    """A version of a keyed table, or None if there is none yet."""
-    try:
-        return spark.read.parquet(f"{path}/v={version}")
-    except AnalysisException:
-        return None
+    """A version of a keyed table; None before the first. Any other version that can't be read is an error."""
+    return spark.read.parquet(f"{path}/v={version}") if version >= 0 else None
 
 
 def upsert_latest(path: str, key: str = "user_id", order: tuple[str, ...] = ("ts_ms", "tx_id"), buckets: int = 64):
