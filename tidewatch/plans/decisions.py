@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewatch.operators import rules as ops
-from tidewatch.operators.evaluate import action_rates, back_test, decision_mix
-from tidewatch.operators.features import ONLINE_FEATURES, offline_features, sliding_features
+from tidewatch.operators.detect import fat_finger
+from tidewatch.operators.evaluate import action_rates, back_test, compare_decisions, decision_mix
+from tidewatch.operators.features import ONLINE_FEATURES, offline_features, prior_outcomes, sliding_features
 from tidewatch.operators.history import latest_per_key, recent_alerts
 from tidewatch.plans import query
 from tidewatch.plans.views import EV, ORD, offline, sliding
@@ -130,16 +131,73 @@ def action_shares(spark, folder):
     return action_rates(scored_events(spark, folder))
 
 
+_DRY_RUN = [
+    ("Amount exceeds maximum", "hard", "amount_minor > 1000000"),
+    ("High fraud probability", "hard", "score > 0.9"),
+    ("Velocity spike (Card Testing)", "hard", "tx_count_10m > 5"),
+    ("New Account High Velocity", "hard", "tx_count_30d <= 5 AND tx_count_10m >= 3"),
+    ("Suspiciously high score", "soft", "score > 0.7"),
+    ("International high amount", "soft", "country <> 'US' AND amount_minor > 50000"),
+    ("Smurfing detected", "soft", "amt_sum_1h > 4000000"),
+    ("New Account Early Activity", "soft", "tx_count_30d <= 5 AND tx_count_10m >= 2"),
+]
+
+
 @query(
-    f"WITH {EV}, x AS (SELECT *, {SCORE_SQL} AS score FROM ev)"
-    " SELECT 'Amount exceeds maximum' AS rule, 'hard' AS tier, count(*) FILTER (amount_minor > 1000000) AS fired FROM x"
-    " UNION ALL SELECT 'High fraud probability', 'hard', count(*) FILTER (score > 0.9) FROM x"
-    " UNION ALL SELECT 'Suspiciously high score', 'soft', count(*) FILTER (score > 0.7) FROM x"
-    " UNION ALL SELECT 'International high amount', 'soft', count(*) FILTER (country <> 'US' AND amount_minor > 50000) FROM x"
+    f"WITH {EV}, s AS ({sliding('ev')}), f AS ({offline('ev')}), x AS (SELECT s.*, f.tx_count_30d, {SCORE_SQL} AS score FROM s JOIN f USING (user_id))"
+    + " UNION ALL".join(f" SELECT '{rule}' AS rule, '{tier}' AS tier, count(*) FILTER ({when}) AS fired FROM x" for rule, tier, when in _DRY_RUN)
 )
 def rule_dry_run(spark, folder):
-    rules = [r for r in ops.DEFAULT_RULES if "tx_count" not in r.when and "amt_sum" not in r.when]
-    return ops.rule_counts(events_as_tx(spark, folder).withColumn("score", amount_score()), rules)
+    tx = events_as_tx(spark, folder)
+    known = offline_features(tx).select("user_id", "tx_count_30d")
+    return ops.rule_counts(sliding_features(tx).join(known, "user_id").withColumn("score", amount_score()), ops.DEFAULT_RULES)
+
+
+@query(
+    f"WITH {_SLIDING_SCORED}, c2 AS ({sql_calls('ev')}), x2 AS (SELECT *, 0 AS amt_sum_1h, calls AS tx_count_10m, calls AS tx_count_30d, {SCORE_SQL} AS score FROM c2),"
+    f" d2 AS ({sql_rules('x2')}) SELECT d.action AS champion, d2.action AS challenger, count(*) AS n FROM d JOIN d2 USING (tx_id) GROUP BY ALL"
+)
+def back_test_of_two_tables(spark, folder):
+    plain = ops.score_batch(events_as_tx(spark, folder), score=amount_score())
+    return compare_decisions(scored_events(spark, folder), plain)
+
+
+#: Some events without a user, with a blank one, or without a time.
+_GAPS = """
+gaps AS (SELECT * REPLACE (CASE WHEN tx_id::BIGINT % 7 = 0 THEN NULL WHEN tx_id::BIGINT % 11 = 0 THEN ' ' ELSE user_id END AS user_id,
+  CASE WHEN tx_id::BIGINT % 13 = 0 THEN NULL ELSE ts_ms END AS ts_ms) FROM ev),
+placed AS (SELECT * FROM gaps WHERE trim(user_id) <> '' AND ts_ms IS NOT NULL),
+others AS (SELECT * FROM gaps WHERE coalesce(trim(user_id), '') = '' OR ts_ms IS NULL)"""
+
+
+def events_with_gaps(spark, folder):
+    n = F.col("tx_id").cast("long")
+    return events_as_tx(spark, folder).withColumns(
+        {
+            "user_id": F.when(n % 7 == 0, F.lit(None)).when(n % 11 == 0, F.lit(" ")).otherwise(F.col("user_id")),
+            "ts_ms": F.when(n % 13 != 0, F.col("ts_ms")),
+        }
+    )
+
+
+@query(
+    f"WITH {EV}, {_GAPS}, c AS (SELECT tx_id, amount_minor, country, calls FROM ({sql_calls('placed')}) UNION ALL SELECT tx_id, amount_minor, country, 0 FROM others),"
+    f" x AS (SELECT *, 0 AS amt_sum_1h, calls AS tx_count_10m, calls AS tx_count_30d, {SCORE_SQL} AS score FROM c), d AS ({sql_rules('x')})"
+    " SELECT tx_id, action, score, rules FROM d"
+)
+def score_with_gaps(spark, folder):
+    return shown(ops.score_batch(events_with_gaps(spark, folder), score=amount_score()))
+
+
+@query(
+    f"WITH {EV}, {_GAPS}, g AS (SELECT * FROM gaps WHERE user_id IS NOT NULL AND ts_ms IS NOT NULL),"
+    " p AS (SELECT tx_id, lag(amount_minor) OVER w AS before, coalesce(sum(label) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS errors"
+    " FROM g WINDOW w AS (PARTITION BY user_id ORDER BY ts_ms, tx_id))"
+    " SELECT tx_id, coalesce(before > 0 AND amount_minor >= 3 * before, false) AS fat_finger, errors FROM gaps LEFT JOIN p USING (tx_id)"
+)
+def detectors_with_gaps(spark, folder):
+    out = fat_finger(events_with_gaps(spark, folder), factor=3.0)
+    return prior_outcomes(out, {"errors": F.col("label") == 1}).select("tx_id", "fat_finger", "errors")
 
 
 _FLAGS = "amount_minor > 30000 AS hard_denied, country = 'NG' AS step_up_required"
