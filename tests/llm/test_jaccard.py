@@ -60,7 +60,10 @@ def test_linked_sets_share_a_key(per_cent):
             drop, add = int(rng.integers(0, max(1, n * (100 - per_cent) // 100 + 1))), int(rng.integers(0, largest + 1))
             y = np.unique(np.concatenate([rng.permutation(x)[drop:], rng.integers(0, 1 << 63, add).astype(np.uint64)]))
             if len(y) and jaccard.linked(x, y, per_cent) and len(np.setxor1d(x, y)):
-                assert np.intersect1d(jaccard.candidate_keys(x, per_cent), jaccard.candidate_keys(y, per_cent)).size
+                for share in (0, 0.3, 0.9):
+                    often = rng.random(jaccard.SLOTS) < share
+                    keys = [jaccard.candidate_keys(s, per_cent, often) for s in (x, y)]
+                    assert np.intersect1d(*keys).size
 
 
 def test_trees_lose_no_link():
@@ -81,8 +84,9 @@ def test_components_agree_with_brute_force_whole_and_in_parts(spark, monkeypatch
     rows = near_copies(random.Random(9))
     rows += [(500, None), (501, " \n"), (3, rows[3][1]), (3, "another text of the same doc"), (None, rows[5][1]), (None, "alone with no name")]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).withColumn("node", F.lit(1)).withColumn("class", F.lit(2))
-    for sets, size, per_cent in ((2_000, 3, 90), (6, 5, 80)):
+    for sets, size, per_cent, often in ((2_000, 3, 90, 64), (6, 5, 80, 2)):
         monkeypatch.setattr(jaccard, "BLOCK_SETS", sets)
+        monkeypatch.setattr(jaccard, "OFTEN_LEAST", often)
         got = sorted((tuple(r) for r in jaccard.jaccard_components(df, size, per_cent).collect()), key=repr)
         assert got == brute(rows, size, per_cent)
 

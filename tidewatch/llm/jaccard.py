@@ -2,8 +2,8 @@
 
 1. Each text becomes the set of its shingle hashes; equal sets are one class, known by a 128-bit digest.
 2. Classes that may link meet in blocks. The shingle universe is cut into more segments than two linked sets can
-   differ in, so linked sets agree in at least one whole segment. Agreement on a segment makes two classes
-   candidates, and the connected candidates of the corpus are a block. Of the classes of a task that agree on a segment
+   differ in, so linked sets agree in at least one whole segment; shingles that very many texts have are left out of
+   the segments of texts that have enough others. Agreement on a segment makes two classes candidates, and the connected candidates of the corpus are a block. Of the classes of a task that agree on a segment
    only the first is told to the rest of the corpus, with the others tied to it once, so a segment that a third of all
    rows agree on has a row per task; stars around the smallest class are written, never pairs.
 3. In each block a signature tree is built: its nodes hold OR-combined bitmaps of shingles (with the most shingles of
@@ -29,6 +29,10 @@ from tidewatch.llm.words import mix, pieces, shingle_sets, texts_of
 
 BLOCK_SETS = 2_000
 BLOCK_SHINGLES = 2_000_000
+#: Shingles are counted in so many slots; a slot is frequent when its count exceeds the mean by ``OFTEN`` times the
+#: mean's root and ``OFTEN_LEAST``. This decides only which way candidates meet, not which are found.
+SLOTS = 1 << 19
+OFTEN, OFTEN_LEAST = 6, 8
 #: Keys that a task gathers before it tells them.
 TOLD_KEYS = 4_000_000
 #: Levels of segment counts rise by a half.
@@ -50,27 +54,55 @@ def levels(most: int) -> list[int]:
     return ends
 
 
-def segment_keys(shingles: np.ndarray, most: int) -> np.ndarray:
-    """One key per segment that the set has elements in, for partners that differ in at most ``most`` elements.
+def slots_of(shingles: np.ndarray) -> np.ndarray:
+    return ((shingles >> np.uint64(8)) & np.uint64(SLOTS - 1)).astype(np.int64)
 
-    A set with elements in more than ``most`` segments agrees with each partner in one of those; a set with elements
-    in fewer also gives keys for its empty segments.
-    """
-    segments = most + 2 + most // 16
-    at = (shingles >> np.uint64(32)) * np.uint64(segments) >> np.uint64(32)  # rises with the sorted shingles
-    first = np.flatnonzero(np.diff(at, prepend=np.uint64(segments)))
+
+def segments_of(shingles: np.ndarray, most: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """A key for each segment that holds ``least`` of the sorted shingles or more, and those segments."""
+    if not len(shingles):
+        return np.empty(0, np.uint64), np.empty(0, np.uint64)
+    at = (shingles >> np.uint64(32)) * np.uint64(segment_count(most)) >> np.uint64(32)  # rises with the shingles
+    first = np.flatnonzero(np.diff(at, prepend=np.uint64(segment_count(most))))
     sums = np.add.reduceat(mix(shingles + np.uint64(1)), first)
-    keys = mix(sums + mix(at[first] + np.uint64(most << 32)))
-    if len(first) <= most:
-        empty = np.setdiff1d(np.arange(segments, dtype=np.uint64), at[first])
-        keys = np.concatenate([keys, mix(mix(empty + np.uint64(most << 32)) ^ np.uint64(0x5EED))])
-    return keys
+    full = np.diff(first, append=len(shingles)) >= least
+    first = first[full]
+    return mix(sums[full] + mix(at[first] + np.uint64((8 * most + least) << 32))), at[first]
+
+
+def segment_count(most: int) -> int:
+    return most + 2 + most // 3
+
 
+def full_segment(per_cent: int) -> int:
+    """How many shingles a segment should hold to count, from how many the segments of a set hold in the mean."""
+    return max(1, (100 + per_cent) * 2 // (9 * (100 - per_cent)))
 
-def candidate_keys(shingles: np.ndarray, per_cent: int) -> np.ndarray:
+
+def segment_keys(shingles: np.ndarray, rare: np.ndarray, most: int, least: int) -> np.ndarray:
+    """Keys for partners that differ in at most ``most`` elements.
+
+    Segments are filled with rare shingles only, and those with fewer than ``least`` don't count, so that texts don't
+    meet for a passage that very many have or for five words in common. A set with more than ``most`` segments that
+    count agrees with each partner in one of those. Any other set also gives keys for the segments of all its shingles,
+    the empty ones included; two such sets meet there.
+    """
+    keys, filled = segments_of(rare, most, least)
+    if len(filled) > most:
+        return keys
+    whole, filled = segments_of(shingles, most, 1)
+    whole = mix(whole)
+    if len(filled) > most:
+        return np.concatenate([keys, whole])
+    empty = np.setdiff1d(np.arange(segment_count(most), dtype=np.uint64), filled)
+    return np.concatenate([keys, whole, mix(mix(empty + np.uint64(most << 32)) ^ np.uint64(0x5EED))])
+
+
+def candidate_keys(shingles: np.ndarray, per_cent: int, frequent: np.ndarray | None = None) -> np.ndarray:
     """Keys such that two different linked sets share one; none for sets too small to link with a different one.
 
     Two sets meet on the level that holds what they may differ in; a set gives keys for the levels of all its partners.
+    ``frequent`` says which slots of shingles are frequent; any choice that is the same for all sets is right.
     """
     n = len(shingles)
     largest = most_apart(n + n * 100 // per_cent, per_cent)
@@ -78,7 +110,9 @@ def candidate_keys(shingles: np.ndarray, per_cent: int) -> np.ndarray:
         return np.empty(0, np.uint64)
     smallest = max(1, most_apart(n + -(-n * per_cent // 100), per_cent))
     ends = levels(largest)
-    return np.concatenate([segment_keys(shingles, e) for e in ends[int(np.searchsorted(ends, smallest)) :]])
+    rare = shingles if frequent is None else shingles[~frequent[slots_of(shingles)]]
+    least = full_segment(per_cent)
+    return np.concatenate([segment_keys(shingles, rare, e, least) for e in ends[int(np.searchsorted(ends, smallest)) :]])
 
 
 def digest(shingles: np.ndarray) -> bytes:
@@ -90,24 +124,54 @@ def node_of(name: bytes) -> int:
     return int.from_bytes(name[:8], "little", signed=True)
 
 
+ROWS = "doc_id long, n_shingles long, class binary, node long, counts binary"
+
+
 def _classes(size: int):
+    def batch_of(ids, sets, names, counts):
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary())
+        columns = (ids, [len(s) if s is not None else None for s in sets], names, [n and node_of(n) for n in names], counts)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[f.split()[0] for f in ROWS.split(", ")])
+
     def run(batches):
+        seen, counts = set(), np.zeros(SLOTS, np.int64)
         for batch in pieces(batches, 1):
             sets = shingle_sets(texts_of(batch.column(1)), size)
             names = [digest(s) for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array(names, pa.binary()),
-                    pa.array([node_of(n) for n in names], pa.int64()),
-                ],
-                names=["doc_id", "n_shingles", "class", "node"],
-            )
+            new = [s for n, s in dict(zip(names, sets)).items() if n not in seen]
+            seen.update(names)
+            counts += np.bincount(slots_of(np.concatenate([*new, np.empty(0, np.uint64)])), minlength=SLOTS)
+            yield batch_of(batch.column(0).to_pylist(), sets, names, [None] * len(sets))
+        if seen:  # one more row: how many sets of this task have a shingle in each slot
+            yield batch_of([None], [None], [None], [counts.tobytes()])
 
     return run
 
 
+def _slot_counts(batches):
+    counts = np.zeros(SLOTS, np.int64)
+    for batch in batches:
+        for row in batch.column(0).to_pylist():
+            counts += np.frombuffer(row, np.int64)
+    at = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["slot", "n"])
+
+
+def frequent_slots(counts: DataFrame) -> np.ndarray:
+    """Which slots have clearly more shingles than the mean of all, from the counts of all tasks.
+
+    A passage that very many texts have stands out however large the corpus is. At most ``SLOTS`` numbers reach the
+    driver, and only those of frequent slots.
+    """
+    sums = counts.mapInArrow(_slot_counts, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    sums = stored(sums, "slots")
+    mean = sums.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] / SLOTS
+    frequent = np.zeros(SLOTS, bool)
+    for row in sums.where(F.col("n") > mean + OFTEN * mean**0.5 + OFTEN_LEAST).select("slot").collect():
+        frequent[row[0]] = True
+    return frequent
+
+
 def combined(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The same agreements in fewer rows: each key once, with its first node, and each other node tied to that."""
     order = np.argsort(keys, kind="stable")
@@ -119,7 +183,7 @@ def combined(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.concatenate([keys[first], names, names]), np.concatenate([nodes[first], tied[0], tied[1]])
 
 
-def _told(size: int, per_cent: int):
+def _told(size: int, per_cent: int, frequent: np.ndarray):
     def out(keys, nodes):
         told = combined(np.concatenate(keys), np.concatenate(nodes))
         return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in told], names=["key", "node"])
@@ -131,7 +195,7 @@ def _told(size: int, per_cent: int):
                 name = digest(s)
                 if name not in seen:
                     seen.add(name)
-                    keys.append(candidate_keys(s, per_cent))
+                    keys.append(candidate_keys(s, per_cent, frequent))
                     nodes.append(np.full(len(keys[-1]), node_of(name), np.int64).view(np.uint64))
                     n += len(keys[-1])
             if n >= TOLD_KEYS:
@@ -267,8 +331,10 @@ def jaccard_components(docs: DataFrame, size: int = 5, per_cent: int = 80) -> Da
     links are left reaches the driver.
     """
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    rows = stored(docs.mapInArrow(_classes(size), "doc_id long, n_shingles long, class binary, node long"), "sets")
-    told = docs.select("text").mapInArrow(_told(size, per_cent), "key long, node long")
+    found = stored(docs.mapInArrow(_classes(size), ROWS), "sets")
+    frequent = frequent_slots(found.where("counts IS NOT NULL").select("counts"))
+    rows = found.where("class IS NOT NULL").drop("counts")
+    told = docs.select("text").mapInArrow(_told(size, per_cent, frequent), "key long, node long")
     least = F.min("node").over(Window.partitionBy("key")).alias("least")
     blocks = components(told.select("node", least).where("least <> node"))
     classes = (

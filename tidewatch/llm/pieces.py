@@ -70,7 +70,7 @@ class Machine:
         every = [self.scores[k] for k in self.ids.values()]
         self.tied = max((x for x, n in Counter(every).items() if n > 1), default=-float("inf"))
         self.spines = Remembered(self._spines, len(self.ids))
-        self.apart = Remembered(self._apart, 2 * REMEMBERED)
+        self.apart = Remembered(self._apart, 2 * REMEMBERED, 0)
         self.words = Remembered(self.path_of, REMEMBERED, LONG)
         apart = "" if "\n" in self.own else "\n"  # without a piece a line end parts the lattice, too
         self.cut = re.compile(f"{SPACE}*[^{SPACE}{apart}]+|{SPACE}+|\n")
@@ -120,8 +120,8 @@ class Machine:
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
         return [*left, (piece, -float("inf"))], [*right, (piece, -float("inf"))]
 
-    def _apart(self, pair: tuple[int, int]) -> bool:
-        first, second = self.names[pair[0]], self.names[pair[1]]
+    def _apart(self, pair: int) -> bool:
+        first, second = (self.names[k] for k in divmod(pair, len(self.names)))
         a, b = self.spines[first], self.spines[second]
         if a is None or b is None:
             return self.merged(first + second) == [first, second]
@@ -146,13 +146,13 @@ class Machine:
 
     def shortest(self, text: str) -> list[int]:
         """Pieces of the shortest path over characters that all have pieces; the lattice comes ordered by ends."""
-        sizes, apart, scores = self.sizes, self.apart, self.scores
+        sizes, apart, scores, size = self.sizes, self.apart, self.scores, len(self.names)
         last: list = [None] * len(text)
         if self.kind == BPE:
             for end, piece in self.arcs.iter(text):
                 if last[end] is None:
                     start = end - sizes[piece]
-                    if start < 0 or apart[last[start], piece]:
+                    if start < 0 or apart[last[start] * size + piece]:
                         last[end] = piece
         else:
             weight = [float("inf")] * len(text)

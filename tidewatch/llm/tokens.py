@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewatch.llm.grammar import Shard, pack
-from tidewatch.llm.words import REMEMBERED, Remembered, pieces, texts_of
+from tidewatch.llm.words import Remembered, pieces, texts_of
 
 #: A shard ends with the document that reaches so many tokens.
 SHARD_TOKENS = 1 << 20
 MARKS = ".,;:!?"
+#: Words, and runs of letters, remembered per worker.
+REMEMBERED = 400_000
 
 
 class WordIds:

@@ -11,11 +11,11 @@ import pyarrow.compute as pc
 import xxhash
 
 #: Words remembered per worker between batches; beyond it, rarer words are hashed anew.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 
 class Remembered(dict):
-    """``make(word)`` for each word, remembered for the first ``limit`` words that are no longer than ``longest``."""
+    """``make(word)`` for each word, remembered for the first ``limit`` words that are no longer than ``longest`` (0: of any kind)."""
 
     def __init__(self, make, limit: int = REMEMBERED, longest: int = 100):
         super().__init__()
@@ -23,7 +23,7 @@ class Remembered(dict):
 
     def __missing__(self, word):
         value = self.make(word)
-        if len(self) < self.limit and len(word) <= self.longest:
+        if len(self) < self.limit and (not self.longest or len(word) <= self.longest):
             self[word] = value
         return value
 
@@ -32,7 +32,7 @@ word_hashes = Remembered(xxhash.xxh3_64_intdigest)
 
 
 #: Bytes of texts that are cut into words at a time.
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 2 << 20
 
 
 def pieces(batches, column: int):
