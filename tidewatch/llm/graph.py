@@ -12,7 +12,7 @@ from tidewatch.session import new_folder
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The table written to the cluster's shared folder and read back: cut lineage that survives lost executors."""
     path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -20,7 +20,7 @@ from tidewatch.llm.graph import stored
 from tidewatch.llm.hmm import CLASSES, ROUNDS, STATES, Lattice, Model, maximise, runs
 from tidewatch.llm.words import pieces, texts_of
 
-BLOCK_TOKENS = 1 << 21
+BLOCK_TOKENS = 1 << 20
 FOLDS, HELD_OUT = 7, 2
 #: Stands for the end of a text; no word is empty.
 END = b""
@@ -96,10 +96,10 @@ def _expected(model: Model):
                 own, tokens, sizes, held = (batch.column(k)[row] for k in range(4))
                 own, tokens = np.frombuffer(own.as_py(), "<u2"), np.frombuffer(tokens.as_py(), "<i4")
                 starts = np.concatenate([[0], np.cumsum(sizes.as_py())])
-                held = np.array(held.as_py())
+                held, tokens = np.array(held.as_py()), own[tokens]
                 for some in runs(starts):
                     if len(some := some[~held[some]]):
-                        Lattice(own[tokens], starts, some).expect(model, emitted, moved, started)
+                        Lattice(tokens, starts, some).expect(model, emitted, moved, started)
         used = np.flatnonzero(emitted.any(axis=1))
         keys = np.concatenate([used, -1 - np.arange(states), [-1 - states]])
         values = np.concatenate([emitted[used], moved, started[None, :]])
