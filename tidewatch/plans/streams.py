@@ -44,6 +44,15 @@ def stream_online_table(spark, folder):
     return sinks.read_latest(spark, path).select("user_id", "tx_id", "ts_ms", *ONLINE_FEATURES)
 
 
+@query(f"WITH {EV}, {_ONLINE} SELECT user_id, tx_id, ts_ms FROM o WHERE ts_ms > (SELECT max(ts_ms) FROM ev) - 86400000")
+def stream_online_unexpired(spark, folder):
+    path, checkpoint = new_folder(spark, "online"), new_folder(spark, "online-state")
+    events = event_stream(spark, folder)
+    sinks.write_batches(events, sinks.upsert_latest(path), checkpoint).awaitTermination()
+    newest = sinks.read_latest(spark, path).agg(F.max("ts_ms")).first()[0]
+    return sinks.read_latest(spark, path, now_ms=newest).select("user_id", "tx_id", "ts_ms")
+
+
 @query(f"WITH {EV} SELECT tx_id, amount_minor FROM ev")
 def stream_without_repeats(spark, folder):
     features.use_rocksdb(spark)

@@ -90,10 +90,22 @@ def _newest_buckets(
     return spark.read.option("basePath", path).parquet(*folders).drop("v")
 
 
-def read_latest(spark: SparkSession, path: str) -> DataFrame | None:
-    """The keyed table as the sink left it: the newest version of every bucket."""
+# Fixed value: how long the online store keeps a user's features after the last event.
+ONLINE_TTL_MS = 24 * 3_600_000
+
+
+def read_latest(
+    spark: SparkSession, path: str, now_ms: int | None = None, ttl_ms: int = ONLINE_TTL_MS
+) -> DataFrame | None:
+    """The keyed table as the sink left it: the newest version of every bucket.
+
+    With ``now_ms``, only keys whose newest row (``ts_ms``) is less than ``ttl_ms`` old: the others have expired.
+    """
     out = _newest_buckets(spark, path)
-    return None if out is None else out.drop("bucket")
+    if out is None:
+        return None
+    alive = out if now_ms is None else out.filter(F.col("ts_ms") > now_ms - ttl_ms)
+    return alive.drop("bucket")
 
 
 def keep_recent(path: str, n: int):
