@@ -25,10 +25,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewatch.llm.graph import apart, components, stored
+from tidewatch.llm.sieve import possible, sieve
 from tidewatch.llm.words import mix, pieces, shingle_sets, texts_of
 
-BLOCK_SETS = 2_000
-BLOCK_SHINGLES = 2_000_000
+BLOCK_SETS = 8_000
+BLOCK_SHINGLES = 6_000_000
 #: Shingles are counted in so many slots; a slot is frequent when its count exceeds the mean by ``OFTEN`` times the
 #: mean's root and ``OFTEN_LEAST``. This decides only which way candidates meet, not which are found.
 SLOTS = 1 << 19
@@ -71,7 +72,7 @@ def segments_of(shingles: np.ndarray, most: int, least: int) -> tuple[np.ndarray
 
 
 def segment_count(most: int) -> int:
-    return most + 2 + most // 3
+    return most + 2 + most // 4
 
 
 def full_segment(per_cent: int) -> int:
@@ -120,8 +121,9 @@ def digest(shingles: np.ndarray) -> bytes:
 
 
 def node_of(name: bytes) -> int:
-    """The number of a class among candidates; classes themselves are compared by their digests."""
-    return int.from_bytes(name[:8], "little", signed=True)
+    """The number of a class among candidates, of six bytes to keep the shuffle small. Two classes with one number only
+    share a block; classes themselves are compared by their digests."""
+    return int.from_bytes(name[:6], "little")
 
 
 ROWS = "doc_id long, n_shingles long, class binary, node long, counts binary"
@@ -327,7 +329,8 @@ def jaccard_components(docs: DataFrame, size: int = 5, per_cent: int = 80) -> Da
 
     The join of texts with candidates is a sort-merge join at every size: the candidates grow with the copies in the
     corpus. Memory: a task holds two parts of a block at most. Shuffled: the keys (16 bytes; about a fifth of the
-    shingles at 90 per cent, two fifths at 80) and the texts. Nothing but whether
+    shingles at 90 per cent, three fifths at 80), and the texts of
+    candidates (with a bitmap of fixed size that says which rows are none). Nothing but whether
     links are left reaches the driver.
     """
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
@@ -356,7 +359,8 @@ def jaccard_components(docs: DataFrame, size: int = 5, per_cent: int = 80) -> Da
         "first_doc",
     )
     wanted = members.select("first_doc", "class").hint("merge")
-    texts = docs.join(wanted, docs["doc_id"].eqNullSafe(F.col("first_doc"))).select("class", "text")
+    candidates = docs.where(possible(sieve(members.select("first_doc")), F.col("doc_id")))
+    texts = candidates.join(wanted, candidates["doc_id"].eqNullSafe(F.col("first_doc"))).select("class", "text")
     work = spread.join(texts, "class").select("block", "i", "j", "class", "side", "text")
     links = (
         work.repartition("block", "i", "j")
