@@ -28,8 +28,8 @@ from tidewatch.llm.graph import apart, components, stored
 from tidewatch.llm.sieve import possible, sieve
 from tidewatch.llm.words import mix, pieces, shingle_sets, texts_of
 
-BLOCK_SETS = 8_000
-BLOCK_SHINGLES = 6_000_000
+BLOCK_SETS = 16_000
+BLOCK_SHINGLES = 12_000_000
 #: Shingles are counted in so many slots; a slot is frequent when its count exceeds the mean by ``OFTEN`` times the
 #: mean's root and ``OFTEN_LEAST``. This decides only which way candidates meet, not which are found.
 SLOTS = 1 << 19
