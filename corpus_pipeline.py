@@ -7,9 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.llm import chunks, jaccard, langid, mixing, pieces
-from tidewatch.llm.graph import stored
+from tidewatch.llm.graph import apart, stored
 from tidewatch.llm.queries import DOMAIN, EPOCHS, SHARE, WEIGHTS
 from tidewatch.llm.sieve import possible, sieve
+from tidewatch.llm.words import text_digest
 from tidewatch.session import new_folder
 
 
@@ -25,24 +26,30 @@ def in_a_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five words, 0.8): the one with the smallest doc_id.
+    """One text of each group of near-duplicates (five words, 0.8): the one with the smallest doc_id, and of that the
+    smallest digest.
 
-    Texts without words are in no group and stay. Of the rows of one doc_id that stay, one does. Rows without a
-    doc_id have no name to go by: of those with equal texts one stays.
+    Rows go and stay by doc_id and digest of the text, so different texts of one doc_id are judged each by its own
+    group. Texts without a doc_id come after all others. Texts without words are in no group and stay. Of rows that
+    repeat doc_id and text one stays.
 
-    Only rows whose doc_id may be one that goes, or may be repeated, are dealt out for the exact join.
+    Only rows that may be one that goes, or may be repeated, are dealt out for the exact join.
     """
-    linked = stored(jaccard.jaccard_components(docs, size=5, per_cent=80).where("doc_id IS NOT NULL"), "linked")
-    told = linked.groupBy("doc_id").agg(
-        F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("stays"), F.count("*").alias("rows")
+    groups = jaccard.jaccard_groups(docs, size=5, per_cent=80)
+    told = stored(groups.groupBy("doc_id", "version").agg(F.max("root").alias("root"), F.count("*").alias("rows")), "linked")
+    place = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "version")
+    first = apart(told.where("root IS NOT NULL").groupBy("root").agg(F.min(place).alias("first")), "root")
+    judged = told.join(first, F.struct(F.col("root").alias("k")) == F.col("key"), "left").select(
+        F.col("doc_id").alias("_id"), F.col("version").alias("_of"), F.coalesce(place == F.col("first"), F.lit(True)).alias("stays"), "rows"
     )
-    doubtful = stored(told.where("stays = 0 OR rows > 1"), "doubtful")
-    seen = sieve(doubtful.select("doc_id"))
-    named = docs.where("doc_id IS NOT NULL").withColumn("_doubt", possible(seen, F.col("doc_id")))
-    clear = named.where("NOT _doubt").drop("_doubt")
-    rest = named.where("_doubt").drop("_doubt").join(doubtful.where("stays = 0").hint("merge"), "doc_id", "left_anti")
-    nameless = docs.where("doc_id IS NULL").dropDuplicates(["text"])
-    return clear.unionByName(rest.dropDuplicates(["doc_id"])).unionByName(nameless)
+    doubtful = stored(judged.where("NOT stays OR rows > 1"), "doubtful")
+    seen = sieve(doubtful.select(F.xxhash64("_id", "_of")))
+    named = docs.withColumn("_version", text_digest())
+    named = named.withColumn("_doubt", possible(seen, F.xxhash64("doc_id", "_version")))
+    clear, rest = (named.where(c).drop("_doubt") for c in ("NOT _doubt", "_doubt"))
+    gone = doubtful.where("NOT stays").hint("merge")
+    rest = rest.join(gone, rest["doc_id"].eqNullSafe(gone["_id"]) & (rest["_version"] == gone["_of"]), "left_anti")
+    return clear.unionByName(rest.dropDuplicates(["doc_id", "_version"])).drop("_version")
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -80,3 +80,20 @@ def test_cutting_leaves_the_rest_as_it_was(spark, odd, none):
     assert cut.columns == odd.columns and cut.count() == odd.count()
     assert chunks.repeated_spans(none).count() == 0
     assert chunks.without_spans(none, chunks.repeated_spans(none)).count() == 0
+
+
+def test_many_texts_of_one_doc_id_or_none_are_told_apart(spark):
+    rng = random.Random(6)
+
+    def text(n):
+        return " ".join("%x" % rng.randrange(1 << 40) for _ in range(n))
+
+    shared = text(90)
+    for name in (7, None):
+        # 1,000 texts make some 15 pairs with equal 15 bits; half of the texts hold the passage at their ends
+        texts = [f"{text(60)} {shared}" if k % 2 else text(40) for k in range(1000)]
+        df = spark.createDataFrame([(name, t, k) for k, t in enumerate(texts)], "doc_id long, text string, k int")
+        out = {r.k: r.text for r in chunks.without_spans(df, chunks.repeated_spans(df)).collect()}
+        assert all(out[k] == t for k, t in enumerate(texts) if k % 2 == 0)
+        cut = [k for k, t in enumerate(texts) if out[k] != t]
+        assert len(cut) == 499 and all(out[k].startswith(" ".join(texts[k].split()[:55])) for k in cut)

@@ -1,3 +1,5 @@
+import random
+
 import corpus_pipeline
 import duckdb
 import public_tokenizers
@@ -57,3 +59,12 @@ def test_run_is_all_stages(spark):
     out = corpus_pipeline.run(spark, FOLDER)
     assert out.columns == ["doc_id", "lang", "source", "ids", "n_tokens", "ids_crc32", "round_trip"] and out.count() > 0
     assert chunks.MIN_WORDS <= 50
+
+
+def test_different_texts_of_one_doc_id_are_judged_each_by_its_own_group(spark):
+    rng = random.Random(3)
+    a, b, c, d = (" ".join("%x" % rng.randrange(1 << 40) for _ in range(60)) for _ in range(4))
+    rows = [(1, a), (5, f"{a} tail"), (5, b), (5, c), (5, c), (6, f"{c} tail"), (None, d), (None, f"{b} tail"), (None, d), (8, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = sorted(((r.doc_id, r.text) for r in corpus_pipeline.one_of_each_group(spark, df, FOLDER).collect()), key=repr)
+    assert out == sorted([(1, a), (5, b), (5, c), (8, ""), (None, d)], key=repr)

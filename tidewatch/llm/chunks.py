@@ -14,7 +14,6 @@ A passage that repeats loses at its ends the words up to its first chunk and aft
 from __future__ import annotations
 
 import re
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidewatch.llm.words import hashed_words, mix, pieces, texts_of
+from tidewatch.llm.words import hashed_words, mix, pieces, text_digest, texts_of
 
 SHIFT = 21
 REACH = 2
@@ -67,13 +66,11 @@ def double_chunks(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 def _told(batches):
     for batch in pieces(batches, 1):
-        texts = texts_of(batch.column(1))
-        text, digest, word, n = double_chunks(texts)
-        # rows of one doc_id with different texts are kept apart by 15 bits of their checksum
-        version = np.array([zlib.crc32(t) & 0x7FFF for t in texts], np.int64)
-        at = (version[text] << 48) | (word << 8) | np.minimum(n, 255)
+        text, digest, word, n = double_chunks(texts_of(batch.column(1)))
+        of, at = pa.array(text), (word << 8) | np.minimum(n, 255)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(digest), batch.column(0).take(pa.array(text)), pa.array(at)], names=["digest", "doc_id", "at"]
+            [pa.array(digest), batch.column(0).take(of), batch.column(2).take(of), pa.array(at)],
+            names=["digest", "doc_id", "version", "at"],
         )
 
 
@@ -82,37 +79,33 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     ``doc_id, version, start_word, n_words, first_doc_id``: words (runs of bytes other than 0x20 and 0x09-0x0D) of the
     text from ``start_word`` on; ``first_doc_id`` is the smallest document that a part of the span was first seen in,
-    which is the document itself where it repeats its own words. ``version`` is a checksum that tells texts of one
-    doc_id apart.
+    which is the document itself where it repeats its own words. ``version`` is a 64-bit digest of the text that
+    tells texts of one doc_id apart.
 
     Null, empty and short texts give no span. Rows that repeat doc_id and text are one document. Documents without a
-    doc_id come last, and among each other by position. Equal texts keep the smallest doc_id's. An empty table gives
+    doc_id come last, and texts of one doc_id (or of none) by their digests. Equal texts keep the smallest doc_id's. An empty table gives
     an empty one.
 
     A digest's first occurrence is a grouped minimum, combined before the shuffle; the join back is on digests that
     occur twice, and the adaptive skew join splits a digest with very many occurrences. A document's repeats meet in
     one task.
     """
-    told = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        _told, "digest long, doc_id long, at long"
-    )
-    place = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", F.shiftright("at", 8).alias("at"))
+    told = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_digest().alias("version")
+    ).mapInArrow(_told, "digest long, doc_id long, version long, at long")
+    word = F.shiftright("at", 8)
+    place = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "version", word.alias("word"))
     first = (
         told.groupBy("digest")
-        .agg(F.min(place).alias("first"), F.max(place).alias("last"))
-        .where("first <> last")
-        .select("digest", F.col("first.doc_id").alias("first_doc_id"), F.col("first.at").alias("first_at"))
+        .agg(F.min(place).alias("first"), F.count("*").alias("n"))
+        .where("n > 1")
+        .select("digest", *[F.col(f"first.{c}").alias(f"first_{c}") for c in ("doc_id", "version", "word")])
     )
+    itself = F.col("doc_id").eqNullSafe(F.col("first_doc_id")) & (F.col("version") == F.col("first_version")) & (word == F.col("first_word"))
     repeats = (
         told.join(first, "digest")
-        .where(~(F.col("doc_id").eqNullSafe(F.col("first_doc_id")) & (F.shiftright("at", 8) == F.col("first_at"))))
-        .select(
-            "doc_id",
-            F.shiftright("at", 48).cast("int").alias("version"),
-            F.shiftright("at", 8).bitwiseAND(F.lit((1 << 40) - 1)).alias("word"),
-            F.col("at").bitwiseAND(F.lit(255)).alias("n"),
-            "first_doc_id",
-        )
+        .where(~itself)
+        .select("doc_id", "version", word.alias("word"), F.col("at").bitwiseAND(F.lit(255)).alias("n"), "first_doc_id")
         .groupBy("doc_id", "version", "word")
         .agg(F.max("n").alias("n"), F.min("first_doc_id").alias("first_doc_id"))
     )
@@ -159,9 +152,8 @@ def without_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
         .agg(F.collect_list("start_word").alias("starts"), F.collect_list("n_words").alias("sizes"))
         .withColumnRenamed("doc_id", "_id")
     )
-    version = F.crc32(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit(0x7FFF)).cast("int")
     named = docs.select(
-        F.col("text").cast("binary").alias("_text"), version.alias("_v"), *[F.col(f"`{f.name}`").alias(n) for n, f in others]
+        F.col("text").cast("binary").alias("_text"), text_digest().alias("_v"), *[F.col(f"`{f.name}`").alias(n) for n, f in others]
     )
     doc = dict(zip(docs.columns, names))["doc_id"]
     joined = named.join(cuts, named[doc].eqNullSafe(cuts["_id"]) & (named["_v"] == cuts["version"]), "left")

@@ -26,7 +26,7 @@ from pyspark.sql.window import Window
 
 from tidewatch.llm.graph import apart, components, stored
 from tidewatch.llm.sieve import possible, sieve
-from tidewatch.llm.words import mix, pieces, shingle_sets, texts_of
+from tidewatch.llm.words import mix, pieces, shingle_sets, text_digest, texts_of
 
 BLOCK_SETS = 16_000
 BLOCK_SHINGLES = 12_000_000
@@ -126,13 +126,13 @@ def node_of(name: bytes) -> int:
     return int.from_bytes(name[:6], "little")
 
 
-ROWS = "doc_id long, n_shingles long, class binary, node long, counts binary"
+ROWS = "doc_id long, version long, n_shingles long, class binary, node long, counts binary"
 
 
 def _classes(size: int):
-    def batch_of(ids, sets, names, counts):
-        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary())
-        columns = (ids, [len(s) if s is not None else None for s in sets], names, [n and node_of(n) for n in names], counts)
+    def batch_of(ids, versions, sets, names, counts):
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary())
+        columns = (ids, versions, [len(s) if s is not None else None for s in sets], names, [n and node_of(n) for n in names], counts)
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[f.split()[0] for f in ROWS.split(", ")])
 
     def run(batches):
@@ -143,9 +143,9 @@ def _classes(size: int):
             new = [s for n, s in dict(zip(names, sets)).items() if n not in seen]
             seen.update(names)
             counts += np.bincount(slots_of(np.concatenate([*new, np.empty(0, np.uint64)])), minlength=SLOTS)
-            yield batch_of(batch.column(0).to_pylist(), sets, names, [None] * len(sets))
+            yield batch_of(*(batch.column(k).to_pylist() for k in (0, 2)), sets, names, [None] * len(sets))
         if seen:  # one more row: how many sets of this task have a shingle in each slot
-            yield batch_of([None], [None], [None], [counts.tobytes()])
+            yield batch_of([None], [None], [None], [None], [counts.tobytes()])
 
     return run
 
@@ -316,25 +316,10 @@ def _blocks(size: int, per_cent: int):
     return run
 
 
-def jaccard_components(docs: DataFrame, size: int = 5, per_cent: int = 80) -> DataFrame:
-    """Per row of ``docs`` (``doc_id``, ``text``; other columns are ignored): ``doc_id, n_shingles, component_id``.
-
-    Two documents link when ``100 * |both| >= per_cent * |either|`` for their distinct ``size``-word shingles of the
-    text with A-Z lower-cased. ``component_id`` is the smallest doc_id that links reach.
-
-    A null or empty text, or one without words, has no shingles and is linked with nothing: its component is its own
-    doc_id. Fewer than ``size`` words are one shingle. Repeated rows come back as often as they came; rows of one
-    doc_id with different texts are documents of their own. A null doc_id is the component of its row only where no
-    other doc_id is reached. An empty table gives an empty one.
-
-    The join of texts with candidates is a sort-merge join at every size: the candidates grow with the copies in the
-    corpus. Memory: a task holds two parts of a block at most. Shuffled: the keys (16 bytes; about a fifth of the
-    shingles at 90 per cent, three fifths at 80), and the texts of
-    candidates (with a bitmap of fixed size that says which rows are none). Nothing but whether
-    links are left reaches the driver.
-    """
+def _rooted(docs: DataFrame, size: int, per_cent: int) -> tuple[DataFrame, DataFrame]:
+    """The rows with their classes, and the classes with the roots of their components."""
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    found = stored(docs.mapInArrow(_classes(size), ROWS), "sets")
+    found = stored(docs.withColumn("version", text_digest()).mapInArrow(_classes(size), ROWS), "sets")
     frequent = frequent_slots(found.where("counts IS NOT NULL").select("counts"))
     rows = found.where("class IS NOT NULL").drop("counts")
     told = docs.select("text").mapInArrow(_told(size, per_cent, frequent), "key long, node long")
@@ -369,7 +354,41 @@ def jaccard_components(docs: DataFrame, size: int = 5, per_cent: int = 80) -> Da
     )
     roots = components(links)
     known = classes.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    return rows, known
+
+
+def jaccard_components(docs: DataFrame, size: int = 5, per_cent: int = 80) -> DataFrame:
+    """Per row of ``docs`` (``doc_id``, ``text``; other columns are ignored): ``doc_id, n_shingles, component_id``.
+
+    Two documents link when ``100 * |both| >= per_cent * |either|`` for their distinct ``size``-word shingles of the
+    text with A-Z lower-cased. ``component_id`` is the smallest doc_id that links reach.
+
+    A null or empty text, or one without words, has no shingles and is linked with nothing: its component is its own
+    doc_id. Fewer than ``size`` words are one shingle. Repeated rows come back as often as they came; rows of one
+    doc_id with different texts are documents of their own. A null doc_id is the component of its row only where no
+    other doc_id is reached. An empty table gives an empty one.
+
+    The join of texts with candidates is a sort-merge join at every size: the candidates grow with the copies in the
+    corpus. Memory: a task holds two parts of a block at most. Shuffled: the keys (16 bytes; about a fifth of the
+    shingles at 90 per cent, three fifths at 80), and the texts of
+    candidates (with a bitmap of fixed size that says which rows are none). Nothing but whether
+    links are left reaches the driver.
+    """
+    rows, known = _rooted(docs, size, per_cent)
     least = known.groupBy("root").agg(F.min("first_doc").alias("component_id"))
     named = known.join(apart(least, "root"), F.struct(F.col("root").alias("k")) == F.col("key")).select("class", "component_id")
     alone = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return rows.where("n_shingles > 0").join(named, "class").select("doc_id", "n_shingles", "component_id").union(alone)
+
+
+def jaccard_groups(docs: DataFrame, size: int = 5, per_cent: int = 80) -> DataFrame:
+    """Per row of ``docs``: ``doc_id, version, root``, by the links of ``jaccard_components``.
+
+    ``version`` is the digest of the row's text, so that texts of one doc_id (or of none) are told apart; ``root`` is the
+    same for the texts of one component, and null for a text without shingles.
+    """
+    rows, known = _rooted(docs, size, per_cent)
+    of = apart(known.select("class", "root"), "class")
+    named = rows.where("n_shingles > 0").join(of, F.struct(F.col("class").alias("k")) == F.col("key"))
+    alone = rows.where("n_shingles = 0").select("doc_id", "version", F.lit(None).cast("binary").alias("root"))
+    return named.select("doc_id", "version", "root").union(alone)

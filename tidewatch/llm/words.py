@@ -9,6 +9,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 #: Words remembered per worker between batches; beyond it, rarer words are hashed anew.
 REMEMBERED = 200_000
@@ -52,6 +54,11 @@ def texts_of(column) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.large_binary()).to_pylist()]
 
 
+def text_digest(column: str = "text") -> Column:
+    """64 bits of a text, by which rows of one doc_id (or of none) with different texts are told apart."""
+    return F.xxhash64(F.col(column).cast("string"))
+
+
 def hashed_words(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of all texts on end, and where each text begins (with the total last)."""
     starts, words = [0], []
