@@ -91,6 +91,16 @@ def test_components_agree_with_brute_force_whole_and_in_parts(spark, monkeypatch
         assert got == brute(rows, size, per_cent)
 
 
+def test_a_part_against_an_empty_one_has_no_links():
+    words = [b"%d" % k for k in range(50)]
+    texts = [b" ".join(words + [b"x%d" % k]) for k in range(2)]
+    names = [jaccard.digest(s) for s in jaccard.shingle_sets(texts, 3)]
+    for side, found in ((0, 0), (1, 0), (-1, 1)):
+        columns = [[7, 7], [0, 0], [0 if side < 0 else 1] * 2, names, [side] * 2, texts]
+        batch = jaccard.pa.RecordBatch.from_arrays([jaccard.pa.array(c) for c in columns], names=list("bijcst"))
+        assert sum(b.num_rows for b in jaccard._blocks(3, 90)([batch])) == found
+
+
 def test_odd_and_empty_tables(odd, none):
     rows = jaccard.jaccard_components(odd).collect()
     assert len(rows) == odd.count()

@@ -291,6 +291,8 @@ def _blocks(size: int, per_cent: int):
         sets, sides = [r[1] for r in rows], np.array([r[2] for r in rows])
         if sides.min() < 0:  # a whole block, or one part with itself
             roots = joined(sets, np.arange(len(sets)), None, per_cent)
+        elif sides.min() == sides.max():  # the other part has no sets
+            return []
         else:
             roots = joined(sets, np.flatnonzero(sides == 0), np.flatnonzero(sides == 1), per_cent)
         return [(names[k], names[r]) for k, r in enumerate(roots.tolist()) if k != r]
