@@ -61,3 +61,29 @@ def test_notices_are_found_changed_moved_and_twice(spark, odd, none):
 def test_every_line_with_a_notice_in_the_documents_is_found(docs):
     given = {r.doc_id for r in docs.collect() if any(t in r.text for t in licenses.TEMPLATES.values())}
     assert given <= {r.doc_id for r in licenses.license_spans(docs).collect()}
+
+
+def test_real_headers_and_full_texts_are_found_commented_and_changed(spark):
+    rng = random.Random(7)
+    texts = {k: v for k, v in licenses.all_templates().items() if k.endswith(("-notice", "-text")) or k == "CC-BY-SA-4.0"}
+    assert len(texts) > 20
+    rows, want = [], []
+    for k, (name, text) in enumerate(texts.items()):
+        commented = "int x;\n" + "\n".join(f" * {line}" for line in text.splitlines()) + "\nint main() {}"
+        changed = " ".join(w for w in text.split() if rng.random() > 0.07)
+        rows += [(2 * k, commented), (2 * k + 1, f"lead in {changed if len(text) > 300 else text} lead out")]
+        want += [name, name]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {}
+    for r in licenses.license_spans(df).collect():
+        found.setdefault(r.doc_id, set()).add(r.license)
+    for k, name in enumerate(want):
+        rivals = {n for n in found.get(k, ()) if licenses.rivals(n) == licenses.rivals(name)}
+        assert rivals == {name}, (k, name, found.get(k))
+
+
+def test_common_is_the_longest_common_subsequence():
+    rng = random.Random(8)
+    for _ in range(100):
+        a, b = ([b"%d" % rng.randrange(9) for _ in range(rng.randrange(1, 30))] for _ in range(2))
+        assert licenses.Template("t", b" ".join(a).decode(), 0.8).common(b) == longest_common(a, b)

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections import Counter
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,7 +25,7 @@ LEAST_COVERAGE = 0.8
 ROOM = 1.5
 EDGES = b".,;:!?()[]{}\"'*#/<>-_|$%&"
 
-# Notices as their licenses word them.
+# Short sentences that refer to a license.
 TEMPLATES = {
     "MIT": "Released under the MIT License.",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -43,6 +44,30 @@ TEMPLATES = {
         " substantial portions of the Software."
     ),
 }
+#: The licenses' own notices and full texts, a file each; those named -notice or -text of one place are rivals.
+TEXTS = Path(__file__).with_name("license_texts")
+
+
+def all_templates() -> dict[str, str]:
+    return TEMPLATES | {f.stem: f.read_text(encoding="utf-8") for f in sorted(TEXTS.glob("*.txt"))}
+
+
+def rivals(name: str) -> str:
+    """Templates of one group share most of their words, so of their matches that overlap the best one counts."""
+    if name in ("CC-BY-4.0", "CC-BY-SA-4.0"):
+        return "cc"
+    end = name.rsplit("-", 1)[-1]
+    return end if end in ("notice", "text") else name
+
+
+def best(found: list[tuple]) -> list[tuple]:
+    """Of matches ``(license, start, words, matched, ...)`` of rivals that overlap, the one with most matched words,
+    then the shortest template."""
+    kept: list[tuple] = []
+    for m in sorted(found, key=lambda m: (-m[3], m[4], m[0], m[1])):
+        if all(rivals(m[0]) != rivals(k[0]) or m[0] == k[0] or m[1] + m[2] <= k[1] or k[1] + k[2] <= m[1] for k in kept):
+            kept.append(m)
+    return [m for m in found if m in kept]
 
 
 def normal(words: list[bytes]) -> list[bytes]:
@@ -109,19 +134,49 @@ class Template:
             self.keys.append(word)
             covered += self.counts[word]
 
+        self.least_bytes = sum(sorted(map(len, self.words))[: self.need]) + self.need - 1
+        self.bits: dict[bytes, int] = {}
+
+    def common(self, words: list[bytes]) -> int:
+        """The length of the longest common subsequence of the words and the template, by bit-parallel rows."""
+        if not self.bits:
+            for k, w in enumerate(self.words):
+                self.bits[w] = self.bits.get(w, 0) | 1 << k
+        full = row = (1 << len(self.words)) - 1
+        for w in words:
+            if hit := row & self.bits.get(w, 0):
+                row = (row + hit | row - hit) & full
+        return len(self.words) - row.bit_count()
+
     def matches(self, words: list[bytes]):
-        """``(first word, words, matched)`` of each part of the text that covers the template, from left to right."""
-        at = 0
-        while at < len(words):
-            if words[at] in self.front:
-                window = words[at : at + self.room]
-                if (self.counts & Counter(window)).total() >= self.need:
-                    pairs = aligned(window, self.words)
-                    if len(pairs) >= self.need:
-                        first, last = pairs[0][0], pairs[-1][0]
-                        yield at + first, last - first + 1, len(pairs)
-                        at += last
-            at += 1
+        """``(first word, words, matched)`` of each part of the text that covers the template, from left to right.
+
+        A window that fails with a longest common subsequence of so many words can't reach the need before as many
+        steps as are missing, so those starts are passed over.
+        """
+        at = upto = both = 0
+        held = dict.fromkeys(self.counts, 0)
+        while len(words) - at >= self.need:
+            end, step = min(len(words), at + self.room), 1
+            for w in words[upto:end]:
+                if w in held:
+                    held[w] += 1
+                    both += held[w] <= self.counts[w]
+            upto = end
+            if both >= self.need and words[at] in self.front:
+                window = words[at:end]
+                pairs = aligned(window, self.words)
+                if len(pairs) >= self.need:
+                    first, last = pairs[0][0], pairs[-1][0]
+                    yield at + first, last - first + 1, len(pairs)
+                    step = last + 1
+                else:
+                    step = max(1, self.need - self.common(window))
+            for w in words[at : at + step]:
+                if w in held:
+                    both -= held[w] <= self.counts[w]
+                    held[w] -= 1
+            at += step
 
 
 def license_spans(docs: DataFrame, templates: dict[str, str] | None = None, least: float = LEAST_COVERAGE) -> DataFrame:
@@ -130,26 +185,26 @@ def license_spans(docs: DataFrame, templates: dict[str, str] | None = None, leas
     ``doc_id, license, start_word, n_words, matched, template_words, coverage``. Words are runs of bytes other than
     0x20 and 0x09-0x0D, compared in lower case without punctuation at their ends. A notice counts as found when
     ``least`` of its template's words are matched in order within a window of ``ROOM`` times its length; matches of
-    one template don't overlap, and those of different templates may.
+    one template don't overlap, and those of different templates may; of overlapping matches of rival notices or rival
+    full texts (versions of the GPL, clauses of the BSD license) the best is told.
 
     Null and empty texts have no notice. Repeated rows give their notices each. An empty table gives an empty one.
     """
-    known = [Template(name, text, least) for name, text in (templates or TEMPLATES).items()]
+    known = [Template(name, text, least) for name, text in (templates or all_templates()).items()]
+    keys = {k for t in known for k in t.keys}
     schema = "license string, start_word long, n_words long, matched long, template_words long, coverage double"
 
     def run(batches):
         for batch in pieces(batches, 1):
             rows, found = [], []
             for row, text in enumerate(texts_of(batch.column(1))):
-                low = text.lower()
-                likely = [t for t in known if any(k in low for k in t.keys)]
-                if not likely:
-                    continue
-                words = normal(low.split())
-                for t in likely:
-                    for start, n, matched in t.matches(words):
-                        rows.append(row)
-                        found.append((t.name, start, n, matched, len(t.words), matched / len(t.words)))
+                words = normal(text.lower().split())
+                present = keys.intersection(words)
+                likely = [t for t in known if len(text) >= t.least_bytes and not present.isdisjoint(t.keys)] if present else []
+                matches = [(t.name, a, n, m, len(t.words), m / len(t.words)) for t in likely for a, n, m in t.matches(words)]
+                told = best(matches)
+                rows += [row] * len(told)
+                found += told
             columns = list(zip(*found)) if found else [[]] * 6
             types = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
             yield pa.RecordBatch.from_arrays(
