@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tidewatch.llm import chat, chunks, jaccard, langid, licenses, mixing, pieces, quality_rules, scoring, tokens, vectors
+from tidewatch.llm import align, chat, chunks, jaccard, langid, licenses, mixing, pieces, quality_rules, scoring, tokens, vectors
 from tidewatch.llm.graph import stored
 from tidewatch.llm.registry import query
 from tidewatch.session import new_folder
@@ -222,3 +222,9 @@ def op13_chat_formatting(spark, folder):
         F.lit(CONTROL).alias("text"),
     )
     return chat.digests(stored(chat.formatted(rows.unionByName(own)), "chat"))
+
+
+@query()
+def op12_cross_tokenizer_alignment(spark, folder):
+    names = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return align.alignment(table(spark, folder, "documents"), *names)
