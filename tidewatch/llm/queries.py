@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tidewatch.llm import align, chat, chunks, jaccard, langid, licenses, mixing, pieces, quality_rules, scoring, tokens, vectors
+from tidewatch.llm import align, chat, chunks, jaccard, langid, licenses, mixing, negatives, pieces, quality_rules, scoring, tokens, vectors
 from tidewatch.llm.graph import stored
 from tidewatch.llm.registry import query
 from tidewatch.session import new_folder
@@ -228,3 +228,23 @@ def op13_chat_formatting(spark, folder):
 def op12_cross_tokenizer_alignment(spark, folder):
     names = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
     return align.alignment(table(spark, folder, "documents"), *names)
+
+
+@query("""
+WITH r AS (
+  SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS own, list_inner_product(a.v, b.v)::BIGINT AS score
+  FROM r a JOIN r b ON len(a.v) = len(b.v) AND a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT * FROM s WHERE own QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT p.anchor_id, p.other AS positive_id, row_number() OVER w::INTEGER AS rank, n.other AS negative_id, p.score AS positive_score,
+       n.score AS negative_score
+FROM p JOIN s n ON n.anchor_id = p.anchor_id AND NOT n.own AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score
+WINDOW w AS (PARTITION BY p.anchor_id, p.other ORDER BY n.score DESC, n.other)
+QUALIFY rank <= 10""")
+def op11_hard_negatives(spark, folder):
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, folder, "embeddings").withColumn("label", moved))
