@@ -36,7 +36,7 @@ def got(df):
 
 @pytest.fixture()
 def small(monkeypatch):
-    for name, value in (("ANCHORS", 3), ("STRIP", 40), ("CHUNK", 16), ("STEP", 2)):
+    for name, value in (("ANCHORS", 3), ("STRIP", 40), ("STEP", 2)):
         monkeypatch.setattr(negatives, name, value)
 
 

@@ -1,9 +1,9 @@
 """Hard-negative mining by a vertical scan (BOND): columns in the anchor's order, rows dropped by their bounds.
 
 Vectors are whole numbers (floor of 256 times each component) and scores are integer inner products, so results are
-exact. A task meets a block of anchors with a strip of rows and reads the strip in chunks, column by column. For each
+exact. A task meets a block of anchors with a strip of rows and reads the rows of a label column by column. For each
 anchor the columns come by descending magnitude of its own components. What the columns not yet read may add to any
-row of the chunk lies between two sums, from the least and largest value of each column; so every row has bounds, and a
+row of the label lies between two sums, from the least and largest value of each column; so every row has bounds, and a
 row whose bounds fit none of the anchor's windows, or not its best rows so far, leaves the bitmap of candidates. The
 scores of those left at the end are whole, and fill the windows.
 
@@ -21,9 +21,9 @@ from pyspark.sql.window import Window
 
 from tidewatch.llm.graph import stored
 
-#: Anchors in a block, rows in a strip, rows of a strip that are scanned at a time.
-ANCHORS, STRIP, CHUNK = 512, 8_192, 2_048
-#: Columns that are read before bounds are taken again.
+#: Anchors in a block, rows in a strip.
+ANCHORS, STRIP = 512, 8_192
+#: Columns that are read before bounds are taken first; then twice as many each time.
 STEP = 8
 #: Most tasks that pairs of block and strip are dealt to.
 TASKS = 50_000
@@ -32,7 +32,7 @@ EXACT = 2.0**53
 
 
 def scan(anchor: np.ndarray, columns: np.ndarray, least: np.ndarray, most: np.ndarray, windows: list[tuple], best: list[list], names, keep: int):
-    """Fills ``best`` (per window, the ``keep`` best (-score, name) so far, in order) from a chunk.
+    """Fills ``best`` (per window, the ``keep`` best (-score, name) so far, in order) from some rows.
 
     ``columns``: a row per component, with the least and largest value of each; ``windows``: (lowest, highest) score.
     """
@@ -40,21 +40,24 @@ def scan(anchor: np.ndarray, columns: np.ndarray, least: np.ndarray, most: np.nd
     ends = anchor[order] * least[order], anchor[order] * most[order]
     low, high = np.minimum(*ends), np.maximum(*ends)
     rest_low, rest_high = ([*np.cumsum(c[::-1])[::-1], 0] for c in (low, high))
+    # a row that is to come into any window needs this score, and must not need more than that one
+    floor = min(max(low, -some[-1][0]) if len(some) == keep else low for (low, _), some in zip(windows, best))
+    roof = max(high for _, high in windows)
+    inner = max(low for low, _ in windows), min(high for _, high in windows)  # what is in here is in every window
     alive = np.arange(columns.shape[1])  # the bitmap of candidates, as the places of its ones
-    score = np.zeros(len(alive), columns.dtype)
-    for at in range(0, len(order), STEP):
-        now = order[at : at + STEP]
-        score = score + anchor[now] @ columns[now][:, alive]
-        lower, upper = score + rest_low[at + len(now)], score + rest_high[at + len(now)]
-        fits = np.zeros(len(alive), bool)
-        for (lowest, highest), found in zip(windows, best):
-            may = (upper >= lowest) & (lower <= highest)
-            sure = lower[may & (lower >= lowest) & (upper <= highest)]
-            if len(found) == keep:
-                may &= upper >= -found[-1][0]
+    score, at, step = np.zeros(len(alive), columns.dtype), 0, STEP
+    while at < len(order):
+        now = order[at : at + step]
+        at, step = at + step, 2 * step
+        rows = columns[now] if len(alive) == columns.shape[1] else columns[now][:, alive]
+        score = score + anchor[now] @ rows
+        left = min(at, len(order))
+        lower, upper = score + rest_low[left], score + rest_high[left]
+        if len(alive) > keep:
+            sure = lower[(lower >= inner[0]) & (upper <= inner[1])]
             if len(sure) >= keep:
-                may &= upper >= np.sort(sure)[-keep]
-            fits |= may
+                floor = max(floor, np.partition(sure, len(sure) - keep)[len(sure) - keep])
+        fits = (upper >= floor) & (lower <= roof)
         alive, score = alive[fits], score[fits]
         if not len(alive):
             return
@@ -68,7 +71,7 @@ def scan(anchor: np.ndarray, columns: np.ndarray, least: np.ndarray, most: np.nd
 
 
 class Strip:
-    """A block of anchors that takes the rows of a strip, chunk by chunk."""
+    """A block of anchors that takes the rows of a strip, label by label."""
 
     def __init__(self, keep: int, own: bool):
         self.keep, self.own, self.anchors = keep, own, []
@@ -81,13 +84,11 @@ class Strip:
             self.anchors.append((*who, vector, windows, [[] for _ in windows]))
 
     def add_rows(self, batch: pa.RecordBatch) -> None:
-        for at in range(0, batch.num_rows, CHUNK):
-            some = batch.slice(at, CHUNK)
-            names, versions, labels = (some.column(c).to_numpy() for c in ("vec_id", "version", "label"))
-            vectors = vectors_of(some)
-            for label in np.unique(labels):  # rows come by label, and those of a label are near each other
-                mine = np.flatnonzero(labels == label)
-                self.scan_label(label, names[mine], versions[mine], vectors[mine].T)
+        names, versions, labels = (batch.column(c).to_numpy() for c in ("vec_id", "version", "label"))
+        vectors = vectors_of(batch)
+        for label in np.unique(labels):  # rows come by label, and those of a label are near each other
+            mine = np.flatnonzero(labels == label)
+            self.scan_label(label, names[mine], versions[mine], np.ascontiguousarray(vectors[mine].T))
 
     def scan_label(self, label: int, names: np.ndarray, versions: np.ndarray, columns: np.ndarray) -> None:
         anchors = [a for a in self.anchors if (a[2] == label) == self.own]
