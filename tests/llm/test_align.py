@@ -116,13 +116,34 @@ def test_runs_are_the_groups_between_common_ends():
         ]
 
 
-def test_texts_cut_in_parts_give_the_same_ids(tools, monkeypatch):
+def test_units_and_parts_give_the_ids_of_the_whole(tools, monkeypatch):
     rng = random.Random(8)
-    words = ["a", "the", "it's", "x1", "  ", "don't", "\n", "ü", "日本", "Mc", "end.", "</s>", "1 2", "o' er", "-", " "]
-    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(1, 400))).encode() for _ in range(300)]
-    whole = tools.encode(texts)
-    monkeypatch.setattr(align, "PART_BYTES", 5)
-    assert tools.encode(texts) == whole
+    words = ["a", "the", "it's", "x1", "  ", "don't", "\n", "ü", "日本", "Mc", "end.", "</s>", "1 2", "o' er", "-", " ", "", "▁x", "y▁", "\u00a0", "\x1c", "\u3000z"]
+    tok = Tokenizer.from_file(A)
+    tok.encode_special_tokens = True
+    sp = sentencepiece.SentencePieceProcessor(model_file=B)
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(1, 12))) for _ in range(3000)]
+    monkeypatch.setattr(align, "REMEMBERED", 40)
+
+    def whole_of(text):
+        a, b = tok.encode(" " + text, add_special_tokens=False).ids, sp.encode(text)
+        bytes_of = [b"".join(x[i] for i in ids) for x, ids in ((tools.bytes_a, a), (tools.bytes_b, b))]
+        return align.Aligned(np.array(a), np.array(b), tools).cut(None)[0] if bytes_of == [(" " + text).encode()] * 2 else None
+
+    want = [whole_of(text) for text in texts]
+    got = [None if x is None else (*x[:4], x[4].tobytes()) for k in range(0, 3000, 7) for x in tools.aligned(texts[k : k + 7])]
+    assert got == want
+    monkeypatch.setattr(align, "PART_CHARS", 5)
+    assert all(" ".join(align._units(text)) == text == " ".join(align._parts(text)) for text in texts)
+
+
+def test_documents_in_parts_are_aligned_as_a_whole(spark, docs, monkeypatch, tools):
+    texts = [r.text for r in docs.limit(30).collect()] + ["", "one▁two " * 9]
+    whole = [tuple(map(str, d)) for d in align._documents(texts, tools, True)]
+    named = [d[-1] for d in align._documents(texts, tools, False)]
+    monkeypatch.setattr(align, "PART_CHARS", 50)
+    assert [tuple(map(str, d)) for d in align._documents(texts, tools, True)] == whole
+    assert [d[-1] for d in align._documents(texts, tools, False)] == named
 
 
 def test_a_long_text_and_a_hot_pair(spark, tools):

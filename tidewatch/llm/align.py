@@ -6,6 +6,10 @@ the same shift are equal, and a stretch of any length is passed by comparing sli
 bit in which two slices differ says where the stretch ends. Where ends differ, the smaller end steps on until both meet again: that is one irregular group,
 and the shift behind it is the new one.
 
+Units of text between single spaces come back all the time, so their alignment is remembered: the units that a worker
+has not seen lately are joined to one text, encoded and walked, and cut apart again at the spaces, where tokens of both
+sides end wherever the unit stands. A document is its units on end.
+
 A pair of ids is counted once for each document that holds it linked. Texts are taken in blocks; a block carries its
 distinct pairs, so that counts are summed over blocks and come back to blocks, not to documents.
 """
@@ -13,6 +17,7 @@ distinct pairs, so that counts are summed over blocks and come back to blocks, n
 from __future__ import annotations
 
 import hashlib
+import os
 from functools import lru_cache
 from itertools import chain
 
@@ -28,29 +33,48 @@ from tidewatch.llm.words import pieces, texts_of
 BLOCK_LINKS = 1 << 19
 #: Tokens that are compared first on a diagonal.
 FIRST_STEP = 8
-#: Bytes of a text that go to a tokenizer at once.
-PART_BYTES = 1 << 16
+#: Characters of a text that are aligned at once.
+PART_CHARS = 1 << 20
+#: Units remembered per worker (as many again until that many new ones have come), and how long they may be.
+REMEMBERED, LONGEST = 150_000, 100
+BLANKS = {c for c in map(chr, range(0x3001)) if c.isspace()} | {"\u2581"}
 
 
-def _parts(text: str) -> list[str]:
-    """The text in parts of about ``PART_BYTES``, each to be read with a space in front.
+def _units(text: str) -> list[str]:
+    """The text cut at every space between two other characters, and nowhere else.
 
-    Both kinds of tokenizers begin a new token at a single space between ASCII letters, whatever stands around it; so
-    a text may be cut there, and the space that is dropped is the one that is put in front of the next part.
+    At such a space both kinds of tokenizers begin a new token, whatever stands around it: a byte-level pattern takes a
+    space only in front of what follows, and no piece has one behind other characters. So a unit with a space in front
+    has the same tokens anywhere.
     """
-    if len(text) <= PART_BYTES:
-        return [text]
+    cut = text.split(" ")
+    odd = [k for k, unit in enumerate(cut) if not unit or unit[0] in BLANKS or unit[-1] in BLANKS]
+    if not odd:
+        return cut
     out, at = [], 0
-    while len(text) - at > PART_BYTES:
-        cut = at + PART_BYTES
-        while True:
-            cut = text.find(" ", cut, len(text) - 1)
-            if cut < 0:
-                return [*out, text[at:]]
-            before, after = text[cut - 1], text[cut + 1]
-            if before.isascii() and before.isalpha() and after.isascii() and after.isalpha():
-                break
-            cut += 1
+    for k in odd:  # a space next to a blank, or at an end, is no cut
+        out += cut[at:k]
+        unit = cut[k]
+        if out and k and (not unit or unit[0] in BLANKS or not out[-1] or out[-1][-1] in BLANKS):
+            out[-1] += " " + unit
+        else:
+            out.append(unit)
+        at = k + 1
+        if at < len(cut) and (not out[-1] or out[-1][-1] in BLANKS):
+            out[-1] += " " + cut[at]
+            cut[at] = out.pop()
+    return out + cut[at:]
+
+
+def _parts(text: str) -> list[str]:
+    """A long text in parts of about ``PART_CHARS``, cut as ``_units`` does."""
+    out, at = [], 0
+    while len(text) - at > PART_CHARS:
+        cut = text.find(" ", at + PART_CHARS, len(text) - 1)
+        while cut > 0 and (text[cut - 1] in BLANKS or text[cut + 1] in BLANKS):
+            cut = text.find(" ", cut + 1, len(text) - 1)
+        if cut < 0:
+            break
         out.append(text[at:cut])
         at = cut + 1
     return [*out, text[at:]]
@@ -63,6 +87,7 @@ class Pair:
         import sentencepiece
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.a = Tokenizer.from_file(a)
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=b)
@@ -77,6 +102,8 @@ class Pair:
         self.bytes_b = [self._piece(i) for i in range(self.b.get_piece_size())]
         self.sizes_a = np.array([len(x) for x in self.bytes_a], np.int64)
         self.sizes_b = np.array([len(x) for x in self.bytes_b], np.int64)
+        self.known: dict[str, tuple | None] = {}
+        self.before = self.known  # what was known until it was too much
         self.names_a = [str(i) for i in range(len(self.bytes_a))]
         self.names_b = [str(i) for i in range(len(self.bytes_b))]
 
@@ -84,19 +111,54 @@ class Pair:
         piece = self.b.id_to_piece(i)
         return bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode()
 
-    def encode(self, texts: list[bytes]) -> list[tuple[list[int], list[int]]]:
-        """Ids of A and of B for each text; none where a tokenizer doesn't give the bytes back."""
-        cut = [_parts(text.decode("utf-8", "replace")) if text else [] for text in texts]
-        flat = list(chain.from_iterable(cut))
-        every_a = iter([x.ids for x in self.a.encode_batch_fast([" " + part for part in flat], add_special_tokens=False)])
-        every_b = iter(self.b.encode(flat, num_threads=1))
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of A and B for a text with a space in front; None if either does not give its bytes back."""
+        a = self.a.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids
+        b = self.b.encode(text)
+        whole = b" " + text.encode("utf-8", "replace")
+        if b"".join(map(self.bytes_a.__getitem__, a)) == whole == b"".join(map(self.bytes_b.__getitem__, b)):
+            return np.array(a, np.int64), np.array(b, np.int64)
+        return None
+
+    def _learn(self, units: list[str]) -> dict[str, tuple | None]:
+        """Units aligned, many of them as one text that is cut again where they end."""
+        found = {}
+        alone = [u for u in units if not u or u[0] in BLANKS or u[-1] in BLANKS]  # they begin or end a text
+        units = list(set(units).difference(alone))
+        for at in range(0, len(units), 256):
+            some = units[at : at + 256]
+            ids = self.encode(" ".join(some))
+            if ids is None:  # one of them at least doesn't come back
+                alone += some
+                continue
+            bounds = np.cumsum([1 + len(u.encode("utf-8", "replace")) for u in some])
+            found.update(zip(some, Aligned(*ids, self).cut(bounds), strict=True))
+        for unit in alone:
+            own = self.encode(unit)
+            found[unit] = None if own is None else Aligned(*own, self).cut(None)[0]
+        return found
+
+    def aligned(self, texts: list[str]) -> list[tuple | None]:
+        """``(n_a, n_b, n_groups, groups, codes)`` of each text, ``codes`` being the id pair of every link; None where a
+        tokenizer doesn't give the bytes back. Units that were seen lately are remembered."""
+        cut = [_units(text) for text in texts]
+        every = set(chain.from_iterable(cut))
+        found = {u: self.before[u] for u in every - self.known.keys() if u in self.before}
+        found |= self._learn(list(every - self.known.keys() - found.keys()))
+        if len(self.known) + len(found) > REMEMBERED:
+            found |= {u: self.known[u] for u in every if u in self.known}
+            self.before, self.known = self.known, {}
+        self.known |= found
         out = []
-        for text, some in zip(texts, cut):
-            a = list(chain.from_iterable(next(every_a) for _ in some))
-            b = list(chain.from_iterable(next(every_b) for _ in some))
-            whole = b" " + text
-            same = b"".join(map(self.bytes_a.__getitem__, a)) == whole == b"".join(map(self.bytes_b.__getitem__, b))
-            out.append((a, b) if some and same else ([], []))
+        for units in cut:
+            coded = list(map(self.known.__getitem__, units))
+            if None in coded:
+                out.append(None)
+                continue
+            n_a, n_b, n_groups, told, codes = zip(*coded)
+            out.append((sum(n_a), sum(n_b), sum(n_groups), ";".join(told), np.frombuffer(b"".join(codes), np.int64)))
+        for unit in [u for u in found if len(u) > LONGEST]:
+            del self.known[unit]
         return out
 
 
@@ -138,33 +200,50 @@ def runs(x: np.ndarray, y: np.ndarray):
 
 
 class Aligned:
-    """One text's groups as text, and its links as positions in A and in B."""
-
-    def __init__(self, a: list[int], b: list[int], tools: Pair):
-        x, y = np.cumsum(tools.sizes_a[a]), np.cumsum(tools.sizes_b[b])
-        names_a, names_b = list(map(tools.names_a.__getitem__, a)), list(map(tools.names_b.__getitem__, b))
-        ends_x, ends_y = x.tolist(), y.tolist()
-        told, links = [], []  # links: a position in A and in B, and how many one-to-one links follow each other from there
-        self.n_groups = 0
-        for i, j, m, n in runs(x, y):
+    """The groups of one text, and its links as positions in A and in B."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray, tools: Pair):
+        self.a, self.b = a, b
+        self.x, self.y = np.cumsum(tools.sizes_a[a]), np.cumsum(tools.sizes_b[b])
+        names_a, names_b = list(map(tools.names_a.__getitem__, a.tolist())), list(map(tools.names_b.__getitem__, b.tolist()))
+        ends_x, ends_y = self.x.tolist(), self.y.tolist()
+        self.groups, self.last = [], []  # each group as text, and its last token in A
+        links = []  # a position in A and in B, and how many one-to-one links follow each other from there
+        for i, j, m, n in runs(self.x, self.y):
             if not n:
-                self.n_groups += m
-                told += map("|".join, zip(names_a[i : i + m], names_b[j : j + m]))
+                self.groups += map("|".join, zip(names_a[i : i + m], names_b[j : j + m]))
+                self.last += range(i, i + m)
                 links += i, j, m
                 continue
-            self.n_groups += 1
-            told.append(",".join(names_a[i : i + m]) + "|" + ",".join(names_b[j : j + n]))
+            self.groups.append(",".join(names_a[i : i + m]) + "|" + ",".join(names_b[j : j + n]))
+            self.last.append(i + m - 1)
             for _ in range(m + n - 1):  # tokens overlap from each end to the next of either side
                 links += i, j, 1
                 if ends_x[i] < ends_y[j]:
                     i += 1
                 else:
                     j += 1
-        self.text = ";".join(told)
         left, right, many = np.array(links, np.int64).reshape(-1, 3).T
         ahead = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
         self.left, self.right = np.repeat(left, many) + ahead, np.repeat(right, many) + ahead
 
+    def cut(self, bounds: np.ndarray | None) -> list[tuple[int, int, int, str, bytes]]:
+        """``n_a, n_b, n_groups, groups, codes`` of each stretch of bytes that ends at ``bounds``, where both sides have
+        an end; of the whole without ``bounds``."""
+        bounds = self.x[-1:] if bounds is None else bounds
+        to_a, to_b = np.searchsorted(self.x, bounds) + 1, np.searchsorted(self.y, bounds) + 1
+        if not ((self.x[to_a - 1] == bounds).all() and (self.y[to_b - 1] == bounds).all()):
+            raise AssertionError("a unit does not end where tokens end")
+        to_group = np.searchsorted(np.array(self.last), to_a - 1) + 1
+        to_link = np.searchsorted(self.left, to_a - 1, "right")
+        codes = ((self.a[self.left] << 32) | self.b[self.right]).tobytes()
+        steps = [[0, *s.tolist()] for s in (to_a, to_b, to_group, to_link)]
+        out = []
+        for k in range(len(bounds)):
+            (a, a2), (b, b2), (g, g2), (c, c2) = (s[k : k + 2] for s in steps)
+            out.append((a2 - a, b2 - b, g2 - g, ";".join(self.groups[g:g2]), codes[8 * c : 8 * c2]))
+        return out
+
 
 _DOCS = [
     ("doc_ids", pa.list_(pa.int64())),
@@ -204,24 +283,42 @@ def _block(rows: list[tuple], codes: list[np.ndarray]) -> pa.RecordBatch:
     )
 
 
+def _documents(texts: list[str], tools: Pair, hashed: bool):
+    """``n_a, n_b, n_groups``, the id pairs of all links, and the groups of each text; a long text in parts."""
+    if all(len(text) <= PART_CHARS for text in texts):
+        every = zip(texts, ([part] for part in tools.aligned(texts)))
+    else:
+        every = ((text, (tools.aligned([part])[0] for part in _parts(text))) for text in texts)
+    for text, parts in every:
+        counts, codes, told, digest = np.zeros(3, np.int64), [], [], hashlib.sha256()
+        for part in parts if text else ():
+            if part is None:
+                codes = []
+                break
+            counts += part[:3]
+            if hashed:
+                digest.update((";" * bool(codes) + part[3]).encode())
+            else:
+                told.append(part[3])
+            codes.append(part[4])
+        if codes:
+            yield *counts.tolist(), np.concatenate(codes), digest.hexdigest() if hashed else ";".join(told)
+        else:
+            yield 0, 0, 0, np.empty(0, np.int64), ""
+
+
 def aligned_blocks(docs: DataFrame, a: str, b: str, hashed: bool = True) -> DataFrame:
     """Blocks of documents with their alignment, see ``_DOCS``; ``groups`` as text or as its SHA-256."""
 
     def run(batches):
         tools = pair(a, b)
-        ids_a, ids_b = np.arange(len(tools.bytes_a), dtype=np.int64) << 32, np.arange(len(tools.bytes_b), dtype=np.int64)
         rows, codes, links = [], [], 0
         for batch in pieces(batches, 1):
-            names, texts = batch.column(0).to_pylist(), texts_of(batch.column(1))
-            for name, (x, y) in zip(names, tools.encode(texts)):
-                if x:
-                    at = Aligned(x, y, tools)
-                    code = ids_a[np.array(x)[at.left]] | ids_b[np.array(y)[at.right]]
-                    text = hashlib.sha256(at.text.encode()).hexdigest() if hashed else at.text
-                    rows.append((name, len(x), len(y), at.n_groups, len(code), text))
-                else:
-                    code = np.empty(0, np.int64)
-                    rows.append((name, 0, 0, 0, 0, ""))
+            names = batch.column(0).to_pylist()
+            texts = [text.decode("utf-8", "replace") for text in texts_of(batch.column(1))]
+            for name, found in zip(names, _documents(texts, tools, hashed)):
+                *numbers, code, text = found
+                rows.append((name, *numbers, len(code), text))
                 codes.append(code)
                 links += len(code)
                 if links >= BLOCK_LINKS or len(rows) >= BLOCK_LINKS // 16:
