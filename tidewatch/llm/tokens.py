@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import zlib
+from array import array
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -17,46 +20,96 @@ from tidewatch.llm.words import Remembered, pieces, texts_of
 
 #: A shard ends with the document that reaches so many tokens.
 SHARD_TOKENS = 1 << 20
-MARKS = ".,;:!?"
-#: Words, and runs of letters, remembered per worker.
-REMEMBERED = 400_000
+MARKS = b".,;:!?"
+#: Words remembered per worker: as many again that were seen before them stay until that many new ones have come.
+REMEMBERED = 300_000
+#: Longer words are not remembered.
+LONGEST = 100
 
 
 class WordIds:
-    """Ids of the words of a tokenizer that drops white space, each word encoded by the tokenizers library once.
+    """Ids of the words of a tokenizer that drops white space.
 
-    Words are cut at ASCII white space, which the tokenizer's own pattern also does; a word of letters with
-    punctuation behind it is two words to that pattern.
+    Words are cut at ASCII white space, which the tokenizer's own pattern also does. The words of some texts that are
+    not known yet go to the tokenizers library together, in one call.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
         self.terminals = self.tokenizer.get_vocab_size()
         self.model = self.tokenizer.model
-        self.letters = Remembered(self._letters, REMEMBERED)
-        self.marks = Remembered(self._any, 10_000)
-        self.words = Remembered(self._word, REMEMBERED)
-
-    def _any(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _letters(self, text: str) -> bytes:
-        if text.isascii():  # lower case already: normalising and byte mapping leave it as it is
-            return np.array([t.id for t in self.model.tokenize(text)], "<u4").tobytes()
-        return self._any(text)
-
-    def _word(self, word: bytes) -> bytes:
-        text = word.decode("utf-8", "replace")
-        body = text.rstrip(MARKS)
-        if not body.isalpha():
-            return self._any(text)
-        ids = self.letters[body.lower() if body.isascii() else body]
-        return ids if len(body) == len(text) else ids + self.marks[text[len(body) :]]
+        self.ends = np.zeros(self.terminals, bool)  # tokens that end a word
+        for token, i in self.tokenizer.get_vocab().items():
+            self.ends[i] = token.endswith(self.model.end_of_word_suffix or " ")
+        self.marks = Remembered(lambda marks: self._ids([marks.decode()])[0], 10_000)
+        self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}  # what was known until ``known`` was full
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        coded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [array("I", x.ids).tobytes() for x in coded]
+
+    def _letters(self, words: list[str]) -> list[bytes]:
+        """Words of letters alone, many in one text: each ends with a token that ends a word."""
+        out, size = [], 256
+        for at in range(0, len(words), size):
+            some = words[at : at + size]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(some):
+                flat, bounds = ids.tobytes(), [0, *(4 * ends).tolist()]
+                out += [flat[a:b] for a, b in zip(bounds, bounds[1:])]
+            else:
+                out += self._ids(some)
+        return out
+
+    def _look_up(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """The ids of words that are not in ``known``, for the texts at hand."""
+        found = {w: self.before[w] for w in words if w in self.before}
+        marked, letters, others = [], [], []
+        tokenize, known = self.model.tokenize, self.known
+        for word in words.difference(found):
+            if word.isalpha():  # ASCII: normalising lowers it, and bytes stand for themselves
+                low = word.lower()
+                ids = known.get(low) or found.get(low)
+                if ids is None:
+                    ids = found[low] = array("I", [t.id for t in tokenize(low.decode())]).tobytes()
+                found[word] = ids
+            elif word.rstrip(MARKS).isalpha():
+                marked.append(word)
+            elif word.decode("utf-8", "replace").isalpha():
+                letters.append(word)
+            else:
+                others.append(word)
+        for word in marked:  # to the tokenizer these are two words
+            low = word.rstrip(MARKS).lower()
+            ids = known.get(low) or found.get(low)
+            if ids is None:
+                ids = found[low] = array("I", [t.id for t in tokenize(low.decode())]).tobytes()
+            found[word] = ids + self.marks[word[len(low) :]]
+        found.update(zip(letters, self._letters([w.decode() for w in letters])))
+        found.update(zip(others, self._ids([w.decode("utf-8", "replace") for w in others])))
+        return found
+
+    def encode_all(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text as little-endian 32-bit integers."""
+        cut = [text.split() for text in texts]
+        every = set(chain.from_iterable(cut))
+        found = self._look_up(every - self.known.keys())
+        found |= {w: self.known[w] for w in every if w in self.known} if len(self.known) + len(found) > REMEMBERED else {}
+        if len(self.known) + len(found) > REMEMBERED:
+            self.before, self.known = self.known, {}
+        self.known |= found
+        out = [b"".join(map(self.known.__getitem__, words)) for words in cut]
+        for word in [w for w in found if len(w) > LONGEST]:
+            del self.known[word]
+        return out
 
     def encode(self, text: bytes) -> bytes:
-        return b"".join(map(self.words.__getitem__, text.split()))
+        return self.encode_all([text])[0]
 
 
 @lru_cache(maxsize=2)
@@ -91,9 +144,9 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, end: int) -> None:
 
         names, coded, size = [], [], 0
         for batch in pieces(batches, 1):
-            for name, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1))):
+            for name, ids in zip(batch.column(0).to_pylist(), words.encode_all(texts_of(batch.column(1)))):
                 names.append(name)
-                coded.append(words.encode(text) + mark)
+                coded.append(ids + mark)
                 size += len(coded[-1]) // 4
                 if size >= SHARD_TOKENS:
                     yield shard(names, coded)
