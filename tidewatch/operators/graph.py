@@ -113,3 +113,45 @@ def payment_chains(transfers: DataFrame, hops: int = 3, window_ms: int = 600_000
         if hop < hops - 1:
             step = cut_lineage(step)
     return step.filter("start IS NOT NULL").withColumnRenamed("start", "chain_start_ms")
+
+
+# -- rings of accounts -----------------------------------------------------------------------------------------
+
+
+def hubs(links: DataFrame, value: str = "value", most: int = 1_000) -> DataFrame:
+    """``value, degree``: shared values of more than ``most`` accounts, such as a public proxy or a shop's device.
+
+    What they connect says nothing about a ring, so ``rings`` leaves them out; they are listed here instead.
+    """
+    return links.groupBy(value).agg(F.countDistinct("account").alias("degree")).where(F.col("degree") > most)
+
+
+def rings(links: DataFrame, most: int = 1_000) -> DataFrame:
+    """``account, ring``: accounts that share devices, cards or the like, directly or through others.
+
+    ``links`` has ``account`` and ``value`` (one namespace for all kinds of values; rows with a null are no link). Values
+    of more than ``most`` accounts are hubs and link nothing. ``ring`` is the smallest account of the connected set;
+    an account that shares nothing is a ring of itself, so that every account of ``links`` has a row.
+
+    Every account points at a smaller or equal one. In a round, each value tells its accounts the smallest grandparent
+    among them, and the account, its parent's pointer and its grandparent's are drawn down to that; nothing is paired.
+    Chains halve in each round, stars need two. The pointers, a row per account, are checkpointed every round.
+    """
+    pairs = links.select("account", "value").where("account IS NOT NULL AND value IS NOT NULL").distinct()
+    degree = pairs.groupBy("value").agg(F.count(F.lit(1)).alias("degree")).where(f"degree BETWEEN 2 AND {most}")
+    linked = cut_lineage(pairs.join(degree.select("value"), "value"))
+    accounts = links.where("account IS NOT NULL").select("account").distinct()
+    to = cut_lineage(linked.select("account").distinct().withColumn("parent", F.col("account")))
+    while True:
+        grand = to.join(to.select(F.col("account").alias("parent"), F.col("parent").alias("grand")), "parent").select("account", "parent", "grand")
+        heard = linked.join(grand.select("account", "grand"), "account")
+        least = heard.groupBy("value").agg(F.min("grand").alias("least"))
+        told = linked.join(least, "value").groupBy("account").agg(F.min("least").alias("least"))
+        drawn = grand.join(told, "account")
+        moves = F.explode(F.array(*[F.struct(F.col(c).alias("account"), F.least("least", "grand").alias("parent")) for c in ("account", "parent", "grand")]))
+        new = cut_lineage(drawn.select(moves.alias("m")).select("m.*").groupBy("account").agg(F.min("parent").alias("parent")))
+        same = new.join(to.withColumnRenamed("parent", "before"), "account").where("parent <> before").isEmpty()
+        to = new
+        if same:
+            break
+    return accounts.join(to, "account", "left").select("account", F.coalesce("parent", "account").alias("ring"))

@@ -76,11 +76,8 @@ def totals_over_users(features: DataFrame, n_users: int | None = None) -> DataFr
     )
 
 
-def profile_versions(df: DataFrame, key: str, tracked: list[str], ts: str = "ts_ms", tie: str = "tx_id") -> DataFrame:
-    """Slowly changing profile (type 2): one row per stretch of unchanged values, valid in [valid_from, valid_to).
-
-    Rows without a key or a time say nothing about when a value held, and are left out.
-    """
+def _versions(df: DataFrame, key: str, tracked: list[str], ts: str, tie: str) -> DataFrame:
+    """``key``, ``tracked``, time and tie of the row a version begins with, and the time of the next version's."""
     placed, _ = placed_rows(df, [key], ts)
     marked = previous_row(placed.select(key, ts, tie, *tracked).withColumn("_seen", F.lit(True)), [key], ts, tie, [*tracked, "_seen"])
     same = F.lit(True)
@@ -88,14 +85,37 @@ def profile_versions(df: DataFrame, key: str, tracked: list[str], ts: str = "ts_
         same = same & F.col(c).eqNullSafe(F.col(f"prev_{c}"))
     changed = marked.filter(F.col("prev__seen").isNull() | ~same).select(key, ts, tie, *tracked)
     return neighbour_times(changed, [key], ts, tie).select(
-        key,
-        *tracked,
-        F.col(ts).alias("valid_from"),
-        F.col("next_ts").alias("valid_to"),
-        F.col("next_ts").isNull().alias("is_current"),
+        key, *tracked, F.col(ts).alias("valid_from"), F.col(tie).alias("valid_tie"), F.col("next_ts").alias("valid_to")
     )
 
 
+def profile_versions(df: DataFrame, key: str, tracked: list[str], ts: str = "ts_ms", tie: str = "tx_id") -> DataFrame:
+    """Slowly changing profile (type 2): one row per stretch of unchanged values, valid in [valid_from, valid_to).
+
+    Rows without a key or a time say nothing about when a value held, and are left out.
+    """
+    current = F.col("valid_to").isNull().alias("is_current")
+    return _versions(df, key, tracked, ts, tie).select(key, *tracked, "valid_from", "valid_to", current)
+
+
+def merged_versions(
+    before: DataFrame | None, observed: DataFrame, first: DataFrame, key: str, tracked: list[str], ts: str = "ts_ms", tie: str = "tx_id"
+) -> DataFrame:
+    """A stored history (``key, *tracked, valid_from, valid_tie, valid_to``) with new observations merged in.
+
+    ``first`` has ``key`` and ``_from``, the (time, tie) of the earliest new row of each key that has any; ``observed``
+    are all observations of these keys from there on, old and new. What a key was before its ``_from`` follows from the
+    versions that begin before it, so a late row splits, closes or joins versions without a look at older rows.
+    """
+    later = observed.join(first, key).where(F.struct(ts, tie) >= F.col("_from")).select(key, ts, tie, *tracked)
+    if before is None:
+        return _versions(later, key, tracked, ts, tie)
+    own = before.join(first, key).where(F.struct(F.col("valid_from"), F.col("valid_tie")) < F.col("_from"))
+    kept = own.select(key, F.col("valid_from").alias(ts), F.col("valid_tie").alias(tie), *tracked)
+    others = before.join(first, key, "left_anti")
+    return others.unionByName(_versions(kept.unionByName(later), key, tracked, ts, tie))
+
+
 # -- figures over time -----------------------------------------------------------------------------------------
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.scalars import hash_unit
-from tidewatch.operators.cells import running_totals
+from tidewatch.operators.cells import DAY_MS, cell_of, running_totals
 from tidewatch.operators.evaluate import auc, recall_at_fpr
 from tidewatch.schema import MODEL_FEATURES
 
@@ -166,6 +166,40 @@ def weight_of_evidence(train: DataFrame, column: str, target: str = "target", pr
     return counts.select("value", F.ln(pos_share / neg_share).alias("woe"))
 
 
+def ordered_target_encoding(
+    df: DataFrame,
+    column: str,
+    target: str = "target",
+    name: str = "encoded",
+    order: str | None = None,
+    tie: str = "tx_id",
+    smoothing: float = 20.0,
+    prior: float = 0.5,
+    seed: int = 42,
+    cell_ms: int = DAY_MS,
+) -> DataFrame:
+    """Adds ``name``: the share of positives among the rows of the same value that come before, drawn towards ``prior``.
+
+    Rows come by ``order`` (a time in milliseconds) and ``tie``, or in a seeded order of a hash of ``tie``. A row's own
+    label and later ones stay out, so the whole table may be encoded and trained on. A null value is a value of its own;
+    a null target is neither before nor counted; rows without a time see nothing and are not seen.
+
+    Running totals over cells of the order (days, or 65,536 stretches of the hash), so a value with a third of all rows
+    is not one task's.
+    """
+    lost = F.lit(False) if order is None else F.col(order).isNull()
+    by = [F.xxhash64(F.lit(seed), F.col(tie)) if order is None else F.col(order), F.col(tie)]
+    cell = F.shiftright(by[0], 48) if order is None else cell_of(by[0], cell_ms)
+    known = F.col(target).isNotNull()
+    own, one = F.when(F.col(target) == 1, 1).otherwise(0), known.cast("int")
+    # a struct of null equals itself
+    placed = df.withColumns({"_value": F.struct(F.col(column).alias("v")), "_order": by[0], "_cell": F.coalesce(cell, F.lit(0)), "_lost": lost})
+    ranked = running_totals(placed.where("NOT _lost"), ["_value"], "_cell", [F.col("_order"), F.col(tie)], {"_pos": own, "_n": one})
+    before = (F.col("_pos") - own + smoothing * prior) / (F.col("_n") - one + smoothing)
+    out = ranked.select(*df.columns, before.alias(name))
+    return out.unionByName(placed.where("_lost").select(*df.columns, F.lit(float(prior)).alias(name)))
+
+
 def encode(df: DataFrame, column: str, encoding: DataFrame, value: str, name: str, default: float = 0.0) -> DataFrame:
     """Joins an encoding back; values the training fold did not have get the default."""
     side = encoding.select(F.col("value").alias("_value"), F.col(value).alias(name))

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.ml import Model
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.scalars import number_or_zero
 from tidewatch.operators.cells import run_position
+from tidewatch.operators.model import score_with
+from tidewatch.schema import MODEL_FEATURES
 
 
 @dataclass(frozen=True)
@@ -109,9 +112,14 @@ def score_batch(
     rules: list[Rule] = DEFAULT_RULES,
     count_mode: str = "additive",
     include_current_amount: bool = False,
+    model: Model | None = None,
+    model_features: list[str] = MODEL_FEATURES,
 ) -> DataFrame:
     """Decides every transaction: (tx_id, user_id, action, score, rules_triggered).
 
+    The score is the column ``score``, or the probability that ``model`` (see ``model.train_boosted_trees``) gives the
+    merged features of the user, the counts with their calls included; features that are not there count as 0.
+
     Each call counts its own transaction first. The count goes on through the user's calls until 600 s pass without
     one. ``additive`` adds it to the stored counts; ``reference`` lets it hide the stored 30-day count, as a store
     would where online values win. Stored sums may hold the amount being scored (if the transactions bring their
@@ -125,7 +133,10 @@ def score_batch(
     calls = run_position(named, "_user", "ts_ms", "tx_id", CALL_MEMORY_MS, "_calls").drop("_user")
     calls = calls.withColumn("_calls", F.coalesce("_calls", F.lit(0)))
     carries_sliding = "amt_sum_1h" in tx.columns
-    out = merged_features(calls, online, offline, RULE_FEATURES)
+    if model is not None and score is not None:
+        raise ValueError("a score is given or a model makes it")
+    names = RULE_FEATURES if model is None else list(dict.fromkeys([*RULE_FEATURES, *model_features]))
+    out = merged_features(calls, online, offline, names)
     if carries_sliding:
         # the transaction's own sliding count already holds this call and the ones before it
         ten_minutes = F.greatest(F.col("tx_count_10m"), F.lit(1.0))
@@ -141,8 +152,11 @@ def score_batch(
         out.withColumn("tx_count_10m", ten_minutes)
         .withColumn("tx_count_30d", thirty_days)
         .withColumn("amt_sum_1h", amount)
-        .withColumn("score", F.lit(0.0) if score is None else F.coalesce(score.cast("double"), F.lit(0.0)))
     )
+    if model is not None:
+        out = score_with(model, out, model_features)
+    else:
+        out = out.withColumn("score", F.lit(0.0) if score is None else F.coalesce(score.cast("double"), F.lit(0.0)))
     return evaluate_rules(out, rules).select("tx_id", "user_id", "ts_ms", "amount_minor", "action", "score", "rules_triggered")
 
 

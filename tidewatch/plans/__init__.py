@@ -40,4 +40,6 @@ def load_all() -> None:
         learning,
         quality,
         streams,
+        sharing,
+        timelines,
     )

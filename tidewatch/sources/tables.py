@@ -69,8 +69,9 @@ def transfers(spark: SparkSession, folder: str) -> DataFrame:
     Customer and supplier numbers share one range, so the low accounts both pay and are paid.
     """
     orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_suppkey", "l_extendedprice")
+    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice")
     return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("tx_id"),
         F.col("o_custkey").alias("src"),
         F.col("l_suppkey").alias("dst"),
         _epoch_ms("o_orderdate").alias("ts_ms"),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
-from tidewatch.operators.history import event_time, latest_per_key, per_second, recent, window_totals
+from tidewatch.operators.history import event_time, latest_per_key, merged_versions, per_second, recent, window_totals
 from tidewatch.sources.files import gathered
 
 
@@ -38,12 +38,14 @@ def snapshot(spark: SparkSession, path: str, version: int) -> DataFrame | None:
     return spark.read.parquet(f"{path}/v={version}") if version >= 0 else None
 
 
-def upsert_latest(path: str, key: str = "user_id", order: tuple[str, ...] = ("ts_ms", "tx_id"), buckets: int = 64):
+def upsert_latest(path: str, key: str = "user_id", order: tuple[str, ...] = ("ts_ms", "tx_id"), buckets: int = 64, keep: int = 3):
     """A ``foreachBatch`` sink that keeps the newest row per key in Parquet, split into hash buckets.
 
     Batch n writes ``v=n/bucket=b`` for the buckets it touches only: the newest rows of (that bucket before, batch).
     Where a bucket stands is read from the folder names. A batch that is run again writes the same files again, so
-    the sink is idempotent; untouched buckets cost nothing.
+    the sink is idempotent; untouched buckets cost nothing. Of each bucket the newest ``keep`` versions stay (two at
+    least: a batch that is run again needs the one before), so folders don't pile up; a reader has that many batches
+    of time.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -58,12 +60,68 @@ def upsert_latest(path: str, key: str = "user_id", order: tuple[str, ...] = ("ts
                 merged = latest_per_key(rows.unionByName(before.select(*rows.columns)), key, order)
             target = f"{path}/v={batch_id:010d}"
             gathered(merged, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(target)
+            drop_old_versions(spark, path, keep)
         finally:
             rows.unpersist()
 
     return write
 
 
+def merge_profile(
+    path: str, key: str, tracked: list[str], ts: str = "ts_ms", tie: str = "tx_id", buckets: int = 64, day_ms: int = 86_400_000, keep: int = 3
+):
+    """A ``foreachBatch`` sink (or a function of any batch and its number) that keeps a slowly changing profile.
+
+    ``path/log/bucket=b/day=d`` holds what was observed, ``path/history/v=n/bucket=b`` the versions that follow from it.
+    Batch n adds its rows to the log and writes anew the buckets it touches, from their versions before it and the
+    observations since the earliest new row of each key; of the log, only days from the bucket's earliest new row on are
+    read. Rows may come in any order and batches in any cut: the result is that of ``history.profile_versions`` over
+    all rows. A row observed twice changes nothing, so a batch may be run again. Rows without a key or a time are left
+    out. ``keep`` is as in ``upsert_latest``.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        rows = batch.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).select(key, ts, tie, *tracked)
+        placed = {"bucket": F.pmod(F.xxhash64(key), F.lit(buckets)), "day": F.floor(F.col(ts) / day_ms)}
+        rows = rows.withColumns(placed).persist()
+        try:
+            spans = rows.groupBy("bucket").agg(F.min("day").alias("day")).collect()  # at most ``buckets`` rows
+            if not spans:
+                return
+            gathered(rows, "bucket", "day").write.mode("append").partitionBy("bucket", "day").parquet(f"{path}/log")
+            folders = [f"{path}/log/bucket={r['bucket']}" for r in spans]
+            log = spark.read.option("basePath", f"{path}/log").schema(rows.schema).parquet(*folders)
+            log = log.where(reduce(lambda a, b: a | b, [(F.col("bucket") == r["bucket"]) & (F.col("day") >= r["day"]) for r in spans]))
+            first = rows.groupBy(key).agg(F.min(F.struct(ts, tie)).alias("_from"))
+            before = _newest_buckets(spark, f"{path}/history", batch_id, [r["bucket"] for r in spans])
+            before = None if before is None else before.drop("bucket")
+            merged = merged_versions(before, log, first, key, tracked, ts, tie)
+            merged = merged.withColumn("bucket", placed["bucket"])
+            target = f"{path}/history/v={batch_id:010d}"
+            gathered(merged, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(target)
+            drop_old_versions(spark, f"{path}/history", keep)
+        finally:
+            rows.unpersist()
+
+    return write
+
+
+def read_profile(spark: SparkSession, path: str) -> DataFrame | None:
+    """The history that ``merge_profile`` keeps, as ``history.profile_versions`` gives it; None before the first batch."""
+    out = _newest_buckets(spark, f"{path}/history")
+    return None if out is None else out.drop("bucket", "valid_tie").withColumn("is_current", F.col("valid_to").isNull())
+
+
+def drop_old_versions(spark: SparkSession, path: str, keep: int) -> None:
+    """Deletes all but the newest ``keep`` versions of each bucket."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for versions in _bucket_folders(spark, path).values():
+        for version in sorted(versions)[: -max(2, keep)]:
+            folder = jvm.org.apache.hadoop.fs.Path(versions[version])
+            folder.getFileSystem(conf).delete(folder, True)
+
+
 def _bucket_folders(spark: SparkSession, path: str) -> dict[int, dict[int, str]]:
     """bucket -> version -> folder, from the file system the path lies on."""
     jvm = spark.sparkContext._jvm
