@@ -24,7 +24,9 @@ def clean_target(df: DataFrame, label: str = "has_fraud_label", name: str = "tar
 
 def model_input(df: DataFrame, features: list[str] = MODEL_FEATURES) -> DataFrame:
     """The feature columns as doubles of single precision, missing ones 0, and all of them as one vector."""
-    filled = df.withColumns({c: F.coalesce(F.col(c).cast("float"), F.lit(0.0)).cast("double") for c in features})
+    # by way of double: the optimizer takes a long to float to double for a widening and would leave the float out
+    single = {c: F.col(c).cast("double").cast("float") for c in features}
+    filled = df.withColumns({c: F.coalesce(v, F.lit(0.0)).cast("double") for c, v in single.items()})
     return VectorAssembler(inputCols=features, outputCol="features").transform(filled)
 
 
