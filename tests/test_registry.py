@@ -20,8 +20,12 @@ def sql():
     return con
 
 
+#: What a trained model gives back row by row; queries beside them hold it against SQL.
+BY_MODEL = {"boosted_tree_scores", "model_metrics", "model_feature_importance", "blended_by_regression"}
+
+
 def test_every_oracle_belongs_to_a_query():
-    assert set(ORACLES) == set(QUERIES)
+    assert set(ORACLES) == set(QUERIES) - BY_MODEL
     assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
 
 
@@ -29,6 +33,9 @@ def test_every_oracle_belongs_to_a_query():
 def test_query_agrees_with_its_sql(spark, sql, name):
     df = QUERIES[name](spark, FOLDER)
     got = df.collect()
+    assert got or name not in BY_MODEL
+    if name in BY_MODEL:
+        return
     result = sql.execute(ORACLES[name])
     columns = [d[0] for d in result.description]
     assert sorted(columns) == sorted(df.columns)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.brute import START
-from tidewatch.operators import graph, model, rules, sketches
+from tidewatch.operators import graph, heavy, model, rules, sketches
 from tidewatch.operators.cells import DAY_MS
 from tidewatch.sources import store
 
@@ -132,3 +132,16 @@ def test_a_model_in_the_scoring_path(spark):
     assert out["t3"]["score"] == out["t4"]["score"] < 0.5  # no features count as zeros
     with pytest.raises(ValueError):
         rules.score_batch(tx, score=F.lit(0.1), model=trees)
+
+
+def test_heavy_values_are_all_named_and_never_underrated(spark):
+    rng = random.Random(8)
+    values = [rng.choice([None, "hot", "hot", "warm"]) if rng.random() < 0.2 else f"v{rng.randrange(30_000)}" for _ in range(40_000)]
+    values += [f"edge{k}" for k in range(3) for _ in range(41)]  # just above the bound
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    out = {r["value"]: (r["n"], r["estimate"]) for r in heavy.heavy_hitters(df, "v", 0.001).collect()}
+    counts = {v: values.count(v) for v in ("hot", "warm", "edge0", "edge1", "edge2")}
+    bound = 0.001 * sum(v is not None for v in values)
+    assert out.keys() == {v for v, n in counts.items() if n >= bound}
+    assert all(out[v][0] == counts[v] <= out[v][1] <= counts[v] + 0.002 * len(values) for v in out)
+    assert heavy.heavy_hitters(df.where("v IS NULL"), "v").count() == 0

@@ -3,10 +3,12 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from tidewatch.functions.scalars import hmac_sha256, ulid
 from tidewatch.operators import canonical as C
 from tidewatch.operators import detect, features, graph, history
 from tidewatch.operators.quality import validate_canonical
-from tidewatch.sources import files, generate, topics
+from tidewatch.operators.canonical import to_canonical
+from tidewatch.sources import files, tables, topics
 from tests.brute import START
 
 KEY = "k"
@@ -97,18 +99,20 @@ def test_paysim(spark, folder):
     assert b["attributes"]["isFlaggedFraud"] == "1"
 
 
-def test_generated_rows_are_valid_repeatable_and_about_as_fraudulent_as_asked(spark):
-    df = generate.generate_transactions(spark, 5000, 50, 0.1, seed=99)
-    accepted(df, 5000)
-    share = df.filter("label = 1").count() / 5000
-    assert abs(share - 0.1) < 0.02 and df.select("user_id").distinct().count() == 50
-    again = generate.generate_transactions(spark, 5000, 50, 0.1, seed=99).repartition(3)
-    assert df.drop("attributes").exceptAll(again.drop("attributes")).count() == 0
-    span = df.agg(F.max("ts_ms") - F.min("ts_ms")).first()[0]
-    assert 29 * 86_400_000 < span <= 30 * 86_400_000
-    assert df.filter("label = 1").select("mcc").distinct().count() == 3
+def given_rows(spark):
+    """The smallest events table as canonical transactions."""
+    tx = tables.events_as_tx(spark, "/root/testdata/sf0.001")
+    hashed = hmac_sha256(F.col("user_id"), "k")
+    columns = {c: F.col(c) for c in ("ts_ms", "amount_minor", "currency", "channel", "merchant_id", "mcc", "country", "lat", "lon", "label")}
+    return to_canonical(tx, "synthetic", {"tx_id": ulid(F.col("ts_ms"), F.col("tx_id")), "user_id": hashed, **columns})
+
+
+def test_the_given_events_are_valid_transactions(spark):
+    df = given_rows(spark)
+    accepted(df, df.count())
     users = features.offline_features(df)
-    assert users.count() == 50 and users.filter("fraud_rate_user > 1 OR pct_mobile < 0 OR amt_std_30d < 0").count() == 0
+    assert users.count() == df.select("user_id").distinct().count()
+    assert users.filter("fraud_rate_user > 1 OR pct_mobile < 0 OR amt_std_30d < 0").count() == 0
 
 
 def test_detectors_find_what_they_are_for(spark):
@@ -163,7 +167,7 @@ def test_pagerank_converges_to_the_power_iteration(spark):
 
 
 def test_replay_writes_every_row_in_order_with_nulls(spark, folder):
-    df = generate.generate_transactions(spark, 300, 20, 0.1).withColumn("lat", F.lit(float("nan")))
+    df = given_rows(spark).orderBy("tx_id").limit(300).withColumn("lat", F.lit(float("nan")))
     topics.replay(df, "text", path=f"{folder}/out")
     lines = [r["value"] for r in spark.read.text(f"{folder}/out").collect()]
     first = json.loads(lines[0])
@@ -199,8 +203,8 @@ def test_deduplicate_keeps_the_first(spark):
 def test_replay_in_slices_follows_time(spark, folder):
     import os
 
-    df = generate.generate_transactions(spark, 400, 20, 0.1)
-    topics.replay(df, "parquet", slice_ms=10 * 86_400_000, path=f"{folder}/sliced")
+    df = given_rows(spark).orderBy("tx_id").limit(400)
+    topics.replay(df, "parquet", slice_ms=4 * 86_400_000, path=f"{folder}/sliced")
     names = sorted((f for f in os.listdir(f"{folder}/sliced") if f.endswith(".parquet")), key=lambda f: os.path.getmtime(f"{folder}/sliced/{f}"))
     assert spark.read.parquet(f"{folder}/sliced").count() == 400
     last = [json.loads(r["value"])["ts_ms"] for r in spark.read.parquet(f"{folder}/sliced/{names[-1]}").collect()]

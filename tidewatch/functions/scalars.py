@@ -44,7 +44,9 @@ def ulid(ts_ms: Column, *row_key: Column) -> Column:
     def digits(number: Column, width: int) -> Column:
         return F.lpad(F.conv(number.cast("string"), 10, 32), width, "0")
 
-    halves = [F.xxhash64(F.lit(half), *row_key).bitwiseAND(F.lit((1 << 40) - 1)) for half in ("a", "b")]
+    parts = [F.coalesce(part.cast("string"), F.lit("\\N")) for part in row_key]
+    hashed = F.md5(F.concat_ws("|", *parts))
+    halves = [F.conv(F.substring(hashed, at, 10), 16, 10) for at in (1, 11)]  # 40 bits each
     text = F.concat(digits(ts_ms.cast("long"), 10), *[digits(h, 8) for h in halves])
     # conv counts on from A to V; the letters of an id leave out four of them
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUV", ULID_DIGITS[10:])

@@ -16,12 +16,12 @@ from tidewatch.functions.scalars import (
 from tidewatch.operators import canonical as ops
 from tidewatch.plans import query
 from tidewatch.plans.views import EV, ORD, TR
-from tidewatch.schema import ULID
+from tidewatch.schema import CANONICAL
 from tidewatch.sources.files import union_sources
-from tidewatch.sources.generate import DEFAULT_KEY
 from tidewatch.sources.tables import events_as_tx, orders_as_tx, table, transfers
 
-KEY = DEFAULT_KEY
+#: The key of the registered queries; a user brings their own.
+KEY = "development key"
 _INNER, _OUTER = (pad.hex() for pad in hmac_pads(KEY))
 
 
@@ -32,9 +32,12 @@ def sql_hmac(text: str) -> str:
 DIGITS_SQL = "'0123456789ABCDEFGHJKMNPQRSTVWXYZ'"
 
 
-def sql_ulid_time(ms: str) -> str:
-    """The ten time digits of an id."""
-    return " || ".join(f"substr({DIGITS_SQL}, CAST((({ms}) >> {shift}) & 31 AS INTEGER) + 1, 1)" for shift in range(45, -1, -5))
+def sql_ulid(ms: str, *key: str) -> str:
+    """A whole id: ten digits of time and sixteen of the row key's hash."""
+    text = " || '|' || ".join(f"coalesce(CAST({part} AS VARCHAR), '\\N')" for part in key)
+    halves = [f"CAST('0x' || substr(md5({text}), {at}, 10) AS BIGINT)" for at in (1, 11)]
+    numbers = [(ms, 45), *[(half, 35) for half in halves]]
+    return " || ".join(f"substr({DIGITS_SQL}, CAST((({n}) >> {shift}) & 31 AS INTEGER) + 1, 1)" for n, top in numbers for shift in range(top, -1, -5))
 
 
 @query(f"WITH {EV} SELECT tx_id, {sql_hmac('user_id')} AS user_id, {sql_hmac('coalesce(NULL, device_fp)')} AS device_fp FROM ev")
@@ -43,12 +46,11 @@ def hashed_users(spark, folder):
     return tx.select("tx_id", hmac_sha256(F.col("user_id"), KEY).alias("user_id"), hmac_sha256(F.col("device_fp"), KEY).alias("device_fp"))
 
 
-@query(f"WITH {EV} SELECT tx_id, {sql_ulid_time('ts_ms')} AS time_part, 26 AS length, true AS well_formed FROM ev")
+@query(f"WITH {EV} SELECT tx_id, {sql_ulid('ts_ms', 'tx_id')} AS id, {sql_ulid('ts_ms', 'tx_id', 'NULL')} AS id_of_two FROM ev")
 def ulid_ids(spark, folder):
-    tx = events_as_tx(spark, folder).withColumn("id", ulid(F.col("ts_ms"), F.col("tx_id")))
-    return tx.select(
-        "tx_id", F.substring("id", 1, 10).alias("time_part"), F.length("id").alias("length"), F.col("id").rlike(ULID).alias("well_formed")
-    )
+    tx = events_as_tx(spark, folder)
+    none = F.lit(None).cast("string")
+    return tx.select("tx_id", ulid(F.col("ts_ms"), F.col("tx_id")).alias("id"), ulid(F.col("ts_ms"), F.col("tx_id"), none).alias("id_of_two"))
 
 
 @query(f"WITH {EV} SELECT count(*) AS ids, count(*) AS distinct_ids FROM ev")
@@ -57,24 +59,26 @@ def ulid_uniqueness(spark, folder):
     return ids.agg(F.count("id").alias("ids"), F.countDistinct("id").alias("distinct_ids"))
 
 
-COMMON = [
-    "user_id",
-    "dataset_source",
-    "schema_version",
-    "ts_ms",
-    "amount_minor",
-    "currency",
-    "channel",
-    "device_fp",
-    "email_domain_hash",
-    "card_bin",
-    "merchant_id",
-    "mcc",
-    "country",
-    "lat",
-    "lon",
-    "label",
-]
+#: Every column but the bag of attributes, whose values the queries show one by one.
+COMMON = [name for name in CANONICAL.names if name != "attributes"]
+
+
+def shown(canonical, texts: dict[str, str], numbers: dict[str, str]):
+    """All columns, the sorted names of the attributes, and each attribute as text or (to six decimals) as a number."""
+    bag = F.col("attributes")
+    return canonical.select(
+        *COMMON,
+        F.array_join(F.sort_array(F.map_keys(bag)), ",").alias("attribute_names"),
+        *[bag[key].alias(name) for name, key in texts.items()],
+        *[F.round(bag[key].cast("double"), 6).alias(name) for name, key in numbers.items()],
+    )
+
+
+def names_sql(*names: str) -> str:
+    return f"'{','.join(sorted(names))}' AS attribute_names"
+
+
+NOTHING = "CAST(NULL AS VARCHAR)"
 
 
 def ieee_cis_inputs(spark, folder):
@@ -102,7 +106,9 @@ def ieee_cis_inputs(spark, folder):
 @query(
     "WITH i AS (SELECT l_orderkey, max(l_returnflag) AS d, nullif(min(l_linestatus), 'F') AS b FROM lineitem GROUP BY 1),"
     " j AS (SELECT o.*, c.*, i.d, i.b FROM orders o LEFT JOIN customer c ON o_custkey = c_custkey LEFT JOIN i ON l_orderkey = o_orderkey)"
-    f" SELECT {sql_hmac(chr(39) + 'card1=' + chr(39) + ' || CAST(o_custkey AS VARCHAR)')} AS user_id, 'ieee_cis' AS dataset_source,"
+    f" SELECT {sql_ulid('(epoch_us(o_orderdate) // 1000000 + 1512086400) * 1000', chr(39) + 'ieee_cis' + chr(39), 'o_orderkey')} AS tx_id,"
+    f" {NOTHING} AS ip_hash, {NOTHING} AS ip_country, {names_sql('addr1_zip_prefix')},"
+    f" {sql_hmac(chr(39) + 'card1=' + chr(39) + ' || CAST(o_custkey AS VARCHAR)')} AS user_id, 'ieee_cis' AS dataset_source,"
     " 1 AS schema_version, (epoch_us(o_orderdate) // 1000000 + 1512086400) * 1000 AS ts_ms,"
     " CAST(round_even(o_totalprice * 100, 0) AS BIGINT) AS amount_minor, 'USD' AS currency, 'ecommerce' AS channel,"
     f" {sql_hmac('coalesce(d, ' + chr(39) * 2 + ') || ' + chr(39) + '|' + chr(39) + ' || coalesce(b, ' + chr(39) * 2 + ')')} AS device_fp,"
@@ -115,7 +121,7 @@ def ieee_cis_inputs(spark, folder):
 def canonical_ieee_cis(spark, folder):
     tx, identity = ieee_cis_inputs(spark, folder)
     out = ops.canonicalize_ieee_cis(tx, identity, KEY)
-    return out.select(*COMMON, F.col("attributes")["addr1_zip_prefix"].alias("addr1_zip_prefix"))
+    return shown(out, {"addr1_zip_prefix": "addr1_zip_prefix"}, {})
 
 
 def ulb_input(spark, folder):
@@ -130,18 +136,23 @@ def ulb_input(spark, folder):
     )
 
 
+ULB_NAMES = ["Time", "Amount", *[f"V{n}" for n in range(1, 29)]]
+
+
 @query(
-    f"SELECT {sql_hmac(chr(39) + 'ulb-row-' + chr(39) + ' || CAST(event_id AS VARCHAR)')} AS user_id, 'ulb' AS dataset_source,"
+    f"SELECT {sql_ulid('(event_id + 1700000000) * 1000', chr(39) + 'ulb' + chr(39), 'event_id')} AS tx_id,"
+    f" {NOTHING} AS ip_hash, {NOTHING} AS ip_country, {names_sql(*ULB_NAMES)},"
+    f" {sql_hmac(chr(39) + 'ulb-row-' + chr(39) + ' || CAST(event_id AS VARCHAR)')} AS user_id, 'ulb' AS dataset_source,"
     " 1 AS schema_version, (event_id + 1700000000) * 1000 AS ts_ms, CAST(round_even(value * 100, 0) AS BIGINT) AS amount_minor,"
     " 'EUR' AS currency, 'card_present' AS channel, CAST(NULL AS VARCHAR) AS device_fp, CAST(NULL AS VARCHAR) AS email_domain_hash,"
     " CAST((event_id % 9 + 1) * 100000 + (event_id * 37) % 99999 AS VARCHAR) AS card_bin, CAST(NULL AS VARCHAR) AS merchant_id,"
     " CAST(NULL AS VARCHAR) AS mcc, CAST(NULL AS VARCHAR) AS country, CAST(NULL AS DOUBLE) AS lat, CAST(NULL AS DOUBLE) AS lon,"
-    " CAST(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS TINYINT) AS label, 30 AS attribute_count, round(value + 28, 6) AS v28 FROM events"
+    " CAST(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS TINYINT) AS label, event_id::DOUBLE AS seconds, round(value, 6) AS money,"
+    + ", ".join(f" round(value + {n}, 6) AS v_{n}" for n in range(1, 29)) + " FROM events"
 )
 def canonical_ulb(spark, folder):
     out = ops.canonicalize_ulb(ulb_input(spark, folder), KEY, 1_700_000_000)
-    bag = F.col("attributes")
-    return out.select(*COMMON, F.size(bag).alias("attribute_count"), F.round(bag["V28"].cast("double"), 6).alias("v28"))
+    return shown(out, {}, {"seconds": "Time", "money": "Amount", **{f"v_{n}": f"V{n}" for n in range(1, 29)}})
 
 
 def sparkov_input(spark, folder):
@@ -168,21 +179,24 @@ _CC = "CAST(4000000000000000 + o_custkey * 7919000003 AS VARCHAR)"
 
 @query(
     "WITH j AS (SELECT *, " + _CC + " AS cc FROM orders LEFT JOIN customer ON o_custkey = c_custkey)"
-    f" SELECT {sql_hmac(chr(39) + 'cc=' + chr(39) + ' || cc')} AS user_id, 'sparkov' AS dataset_source, 1 AS schema_version,"
+    f" SELECT {sql_ulid('epoch_us(o_orderdate) // 1000000 * 1000', chr(39) + 'sparkov' + chr(39), 'o_orderkey')} AS tx_id,"
+    f" {NOTHING} AS ip_hash, 'US' AS ip_country, {names_sql('trans_date_trans_time', 'merchant', 'category', 'amt', 'lat', 'long', 'trans_num')},"
+    " strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS at, c_mktsegment AS shop, nullif(o_orderpriority, '5-LOW') AS kind, round(o_totalprice, 6) AS money,"
+    " CASE WHEN c_nationkey = 3 THEN 'n/a' ELSE CAST(c_nationkey * CAST(1.5 AS DOUBLE) AS VARCHAR) END AS north, CAST(c_nationkey * -2 AS VARCHAR) AS east,"
+    f" {sql_hmac(chr(39) + 'cc=' + chr(39) + ' || cc')} AS user_id, 'sparkov' AS dataset_source, 1 AS schema_version,"
     " epoch_us(o_orderdate) // 1000000 * 1000 AS ts_ms, CAST(round_even(o_totalprice * 100, 0) AS BIGINT) AS amount_minor,"
     f" 'USD' AS currency, 'card_present' AS channel, {sql_hmac('cc || ' + chr(39) + '|' + chr(39) + ' || c_name')} AS device_fp,"
     " CAST(NULL AS VARCHAR) AS email_domain_hash, substr(cc, 1, 6) AS card_bin,"
     f" {sql_hmac(chr(39) + 'merch=' + chr(39) + ' || c_mktsegment')} AS merchant_id,"
     " CASE WHEN o_orderpriority = '5-LOW' THEN '' ELSE o_orderpriority END AS mcc, 'US' AS country,"
     " CASE WHEN c_nationkey <> 3 THEN c_nationkey * CAST(1.5 AS DOUBLE) END AS lat, CAST(c_nationkey * -2 AS DOUBLE) AS lon,"
-    " CAST(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS TINYINT) AS label, CAST(o_orderkey AS VARCHAR) AS trans_num,"
-    " false AS names_a_person FROM j"
+    " CAST(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS TINYINT) AS label, CAST(o_orderkey AS VARCHAR) AS number"
+    " FROM j"
 )
 def canonical_sparkov(spark, folder):
     out = ops.canonicalize_sparkov(sparkov_input(spark, folder), KEY, ["trans_num"])
-    bag = F.col("attributes")
-    named = F.map_contains_key(bag, "cc_num") | F.map_contains_key(bag, "first")
-    return out.select(*COMMON, bag["trans_num"].alias("trans_num"), named.alias("names_a_person"))
+    texts = {"at": "trans_date_trans_time", "shop": "merchant", "kind": "category", "north": "lat", "east": "long", "number": "trans_num"}
+    return shown(out, texts, {"money": "amt"})
 
 
 _TYPES = ["PAYMENT", "TRANSFER", "CASH_OUT", "DEBIT", "CASH_IN", "PAY_SALARY", "GIFT"]
@@ -207,13 +221,22 @@ def paysim_input(spark, folder):
     )
 
 
+_PAYER = sql_hmac("'orig=C' || CAST(o_custkey AS VARCHAR)")
+_PAYEE = sql_hmac("'dest=M' || CAST(l_suppkey AS VARCHAR)")
+_PAYSIM_ID = sql_ulid("(l_partkey * 3600 + 1514764800) * 1000", "'paysim'", "l_partkey", "'C' || o_custkey", "'M' || l_suppkey")
+_PAYSIM_NAMES = ["orig_hash", "dest_hash", "oldbalanceOrg", "newbalanceOrig", "oldbalanceDest", "newbalanceDest", "balance_delta", "isFlaggedFraud"]
+
+
 @query(
-    f"SELECT {sql_hmac(chr(39) + 'orig=C' + chr(39) + ' || CAST(o_custkey AS VARCHAR)')} AS user_id, 'paysim' AS dataset_source, 1 AS schema_version,"
+    f"SELECT {_PAYSIM_ID} AS tx_id, {NOTHING} AS ip_hash, {NOTHING} AS ip_country, {names_sql(*_PAYSIM_NAMES)}, {_PAYER} AS payer, {_PAYEE} AS payee,"
+    " CASE WHEN l_returnflag <> 'N' THEN l_quantity END AS payer_before, l_quantity + l_linenumber AS payer_after, 0.0::DOUBLE AS payee_before,"
+    " CAST(NULL AS DOUBLE) AS payee_after,"
+    f" {_PAYER} AS user_id, 'paysim' AS dataset_source, 1 AS schema_version,"
     " (l_partkey * 3600 + 1514764800) * 1000 AS ts_ms, greatest(CAST(round_even((l_extendedprice - 5000) * 100, 0) AS BIGINT), 0) AS amount_minor,"
     " 'USD' AS currency, CASE l_linenumber WHEN 1 THEN 'transfer' WHEN 2 THEN 'transfer' WHEN 3 THEN 'atm' WHEN 4 THEN 'card_present'"
     " WHEN 5 THEN 'atm' WHEN 6 THEN 'transfer' ELSE 'other' END AS channel, CAST(NULL AS VARCHAR) AS device_fp,"
     " CAST(NULL AS VARCHAR) AS email_domain_hash, CAST(NULL AS VARCHAR) AS card_bin,"
-    f" {sql_hmac(chr(39) + 'dest=M' + chr(39) + ' || CAST(l_suppkey AS VARCHAR)')} AS merchant_id,"
+    f" {_PAYEE} AS merchant_id,"
     " CASE l_linenumber WHEN 1 THEN 'PAYMENT' WHEN 2 THEN 'TRANSFER' WHEN 3 THEN 'CASH_OUT' WHEN 4 THEN 'DEBIT' WHEN 5 THEN 'CASH_IN'"
     " WHEN 6 THEN 'PAY_SALARY' ELSE 'GIFT' END AS mcc, CAST(NULL AS VARCHAR) AS country, CAST(NULL AS DOUBLE) AS lat, CAST(NULL AS DOUBLE) AS lon,"
     " CAST(CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END AS TINYINT) AS label,"
@@ -221,9 +244,10 @@ def paysim_input(spark, folder):
     " FROM lineitem JOIN orders ON l_orderkey = o_orderkey"
 )
 def canonical_paysim(spark, folder):
-    out = ops.canonicalize_paysim(paysim_input(spark, folder), KEY)
-    bag = F.col("attributes")
-    return out.select(*COMMON, bag["balance_delta"].cast("double").alias("balance_delta"), bag["isFlaggedFraud"].alias("flagged"))
+    out = ops.canonicalize_paysim(paysim_input(spark, folder), KEY, ["step", "nameOrig", "nameDest"])
+    texts = {"payer": "orig_hash", "payee": "dest_hash", "flagged": "isFlaggedFraud"}
+    balances = {"payer_before": "oldbalanceOrg", "payer_after": "newbalanceOrig", "payee_before": "oldbalanceDest", "payee_after": "newbalanceDest"}
+    return shown(out, texts, {**balances, "balance_delta": "balance_delta"})
 
 
 @query(

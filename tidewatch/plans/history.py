@@ -9,13 +9,15 @@ from tidewatch.operators.cells import DAY_MS
 from tidewatch.operators.features import offline_features, sliding_features
 from tidewatch.plans import query
 from tidewatch.plans.views import EV, ORD, offline, sliding
+from tidewatch.schema import MODEL_FEATURES
 from tidewatch.session import new_folder
 from tidewatch.sources import files
-from tidewatch.sources.tables import events_as_tx, orders_as_tx
+from tidewatch.sources.tables import events_as_tx, orders_as_tx, table
 from tidewatch.sources.topics import as_messages, parse_events
 from tidewatch.streaming.sinks import decision_log
 
 AS_OF_MS = 1_706_659_200_000
+PUBLISHED = [*MODEL_FEATURES, "fraud_rate_user"]
 
 
 @query(f"WITH {EV} SELECT DISTINCT ON (user_id) user_id, tx_id, ts_ms, amount_minor FROM ev ORDER BY user_id, ts_ms DESC, tx_id DESC")
@@ -99,15 +101,16 @@ def live_kpis(spark, folder):
 def _window_sql(size_ms: int, slide_ms: int) -> str:
     copies = size_ms // slide_ms
     return (
-        f"WITH {EV}, w AS (SELECT (ts_ms // {slide_ms} - i) * {slide_ms} AS start_ms, amount_minor FROM ev, range({copies}) r(i))"
+        f"WITH {EV}, w AS (SELECT (ts_ms // {slide_ms} - i) * {slide_ms} AS start_ms, amount_minor, user_id FROM ev, range({copies}) r(i))"
         f" SELECT make_timestamp(start_ms * 1000) AS window_start, make_timestamp((start_ms + {size_ms}) * 1000) AS window_end,"
-        " count(*) AS tx_count, CAST(sum(amount_minor) AS BIGINT) AS amount_minor FROM w GROUP BY start_ms"
+        " count(*) AS tx_count, CAST(sum(amount_minor) AS BIGINT) AS amount_minor, count(DISTINCT user_id) AS users_approx FROM w GROUP BY start_ms"
     )
 
 
 def shown_windows(windows):
     plain = [F.col(c).cast("timestamp_ntz").alias(c) for c in ("window_start", "window_end")]
-    return windows.select(*plain, "tx_count", "amount_minor")
+    # the sketch is exact for the few users of a window; test_sources holds it against larger ones
+    return windows.select(*plain, "tx_count", "amount_minor", "users_approx")
 
 
 @query(_window_sql(10_000, 10_000))
@@ -153,8 +156,8 @@ def retained_days(spark, folder):
 
 
 @query(
-    f"WITH {ORD}, f AS ({offline('od')}) SELECT user_id, CAST(tx_count_30d AS VARCHAR) AS tx_count_30d,"
-    " CAST(amt_max_30d AS VARCHAR) AS amt_max_30d, 13 AS features, false AS has_label FROM f"
+    f"WITH {ORD}, f AS ({offline('od')}) SELECT user_id, {', '.join(f'round({c}::DOUBLE, 3) AS {c}' for c in PUBLISHED)},"
+    " 13 AS features, false AS has_label FROM f"
 )
 def published_offline_features(spark, folder):
     path = new_folder(spark, "offline")
@@ -163,8 +166,7 @@ def published_offline_features(spark, folder):
     bag = F.col("features")
     return store.select(
         "user_id",
-        bag["tx_count_30d"].alias("tx_count_30d"),
-        bag["amt_max_30d"].alias("amt_max_30d"),
+        *[F.round(bag[c].cast("double"), 3).alias(c) for c in PUBLISHED],
         F.size(bag).alias("features"),
         F.map_contains_key(bag, "has_fraud_label").alias("has_label"),
     )
@@ -183,5 +185,59 @@ def replay_messages(spark, folder):
 def parsed_messages(spark, folder):
     tx = events_as_tx(spark, folder).select("tx_id", "user_id", "amount_minor", "mcc", "ts_ms")
     good = as_messages(tx).select(F.col("value").alias("raw"))
-    cut_off = good.select(F.expr("substr(raw, 1, 20)").alias("raw"))
+    cut_off = good.select(F.regexp_replace("raw", r"\}$", "").alias("raw"))  # the last brace is lost
     return parse_events(good.unionByName(cut_off)).select("tx_id", "user_id", "amount_minor", "mcc", "ts_ms", "bad")
+
+
+_LOG = (
+    f"WITH {_DECIDED} SELECT tx_id, ts_ms, action, latency_ms, is_error, 'r7' AS ruleset_version, 'm1' AS model_version, 'p2' AS policy_id,"
+    " CAST(make_timestamp(ts_ms * 1000) AS DATE) AS date, CAST(hour(make_timestamp(ts_ms * 1000)) AS INTEGER) AS hour FROM d"
+)
+
+
+@query(_LOG)
+def decision_log_rows(spark, folder):
+    """Every column of the decision log, from its partitioned table."""
+    path = new_folder(spark, "decisions")
+    log = decision_log(decided(spark, folder), "r7", "m1", "p2")
+    files.gathered(log, "date", "hour").write.partitionBy("date", "hour").parquet(path)
+    return spark.read.parquet(path)
+
+
+@query(f"WITH {EV} SELECT tx_id, user_id, amount_minor, mcc, ts_ms FROM ev UNION ALL SELECT tx_id, user_id, amount_minor, NULL, ts_ms FROM ev WHERE mcc = 'view'")
+def lake_of_two_schemas(spark, folder):
+    """Older files of a lake lack a column that newer ones have."""
+    path = new_folder(spark, "two-schemas")
+    tx = events_as_tx(spark, folder).select("tx_id", "user_id", "amount_minor", "mcc", "ts_ms")
+    tx.write.parquet(f"{path}/part=new")
+    tx.where("mcc = 'view'").drop("mcc").write.parquet(f"{path}/part=old")
+    return files.read_lake(spark, path, merge_schema=True).drop("part")
+
+
+@query(
+    f"WITH {EV} SELECT * FROM (VALUES ('mcc', 'retyped', 'string', 'int', false), ('lat', 'removed', 'double', NULL, false),"
+    " ('asn', 'added', NULL, 'bigint', true)) t(\"column\", change, old_type, new_type, compatible) WHERE (SELECT count(*) FROM ev) > 0"
+)
+def schema_evolution(spark, folder):
+    old = events_as_tx(spark, folder)
+    new = old.drop("lat").withColumns({"mcc": F.length("mcc"), "asn": F.col("ts_ms")})
+    return files.schema_changes(spark, old.schema, new.schema)
+
+
+@query("SELECT l_partkey AS step, CASE WHEN l_linenumber = 1 THEN NULL ELSE l_extendedprice END AS amount, 'C' || l_suppkey AS \"nameOrig\", l_comment FROM (SELECT *, l_returnflag AS l_comment FROM lineitem)")
+def raw_csv_folder(spark, folder):
+    """Order lines as a folder of CSV files of a raw source, read back with its types; an unreadable amount is null."""
+    path = new_folder(spark, "raw")
+    lines = table(spark, folder, "lineitem")
+    amount = F.when(F.col("l_linenumber") == 1, "n/a").otherwise(F.col("l_extendedprice").cast("string"))
+    shaped = lines.select(
+        F.col("l_partkey").alias("step"),
+        F.lit("PAYMENT").alias("type"),
+        amount.alias("amount"),
+        F.concat(F.lit("C"), "l_suppkey").alias("nameOrig"),
+        F.lit("M1").alias("nameDest"),
+        *[F.lit("0").alias(c) for c in ("oldbalanceOrg", "newbalanceOrig", "oldbalanceDest", "newbalanceDest", "isFraud", "isFlaggedFraud")],
+        F.col("l_returnflag").alias("l_comment"),
+    )
+    shaped.write.option("header", True).csv(path)
+    return files.read_raw(spark, "paysim", path).select("step", "amount", "nameOrig", "l_comment")

@@ -401,3 +401,14 @@ def undersampled_share(spark, folder):
         (F.abs(F.col("taken") - F.col("others") * 0.25) <= spread).alias("near_a_quarter"),
         (F.col("rows") == F.col("rows_again")).alias("same_each_time"),
     )
+
+
+@query(
+    f"WITH {EV} SELECT tx_id, amount_minor::DOUBLE AS champion, ts_ms::DOUBLE AS challenger, true AS one_of_them, true AS by_side FROM ev"
+)
+def served_scores(spark, folder):
+    """Both models' scores stay beside the one that is served, which is the challenger's on its side of the traffic."""
+    tx = events_as_tx(spark, folder).select("tx_id", "user_id", F.col("amount_minor").cast("double").alias("champion"), F.col("ts_ms").cast("double").alias("challenger"))
+    out = ops.served_score(ops.traffic_split(tx, 25, "m2"), "champion", "challenger")
+    side = F.when(F.col("uses_challenger"), F.col("score") == F.col("challenger")).otherwise(F.col("score") == F.col("champion"))
+    return out.select("tx_id", "champion", "challenger", F.col("score").isin(F.col("champion"), F.col("challenger")).alias("one_of_them"), side.alias("by_side"))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewatch.operators import history, quality as ops
+from tidewatch.functions.scalars import ulid
+from tidewatch.operators import heavy, history, quality as ops
 from tidewatch.operators.evaluate import quantiles, quick_quantiles
 from tidewatch.operators.features import sliding_features
 from tidewatch.operators.history import latest_per_key
@@ -16,9 +17,13 @@ from tidewatch.sources.tables import events_as_tx, orders_as_tx, table
 
 
 def flawed_canonical(spark, folder):
-    """Events as canonical rows that break several checks, in known numbers."""
+    """Events as canonical rows that break several checks, in known numbers: two events of each ten share an id, and
+    ids of errors have a character too many."""
+    number = F.col("tx_id").cast("long")
+    twin = (number % 10).isin(3, 4)
+    own = ulid(F.when(twin, F.lit(0)).otherwise(F.col("ts_ms")), F.when(twin, F.floor(number / 10)).otherwise(number), twin)
     return events_as_tx(spark, folder).select(
-        F.substring("tx_id", 1, 3).alias("tx_id"),
+        F.concat(own, F.when(F.col("mcc") == "error", "!").otherwise(F.lit(""))).alias("tx_id"),
         F.sha2("user_id", 256).alias("user_id"),
         F.when(F.col("mcc") == "view", "elsewhere").otherwise(F.lit("synthetic")).alias("dataset_source"),
         F.when(F.col("mcc") == "click", 2).otherwise(1).alias("schema_version"),
@@ -35,8 +40,9 @@ def flawed_canonical(spark, folder):
 
 
 @query(
-    f"WITH {EV}, f AS (SELECT *, substr(tx_id, 1, 3) AS t FROM ev), d AS (SELECT t, count(*) AS n FROM f GROUP BY t HAVING count(*) > 1)"
-    " SELECT * FROM (SELECT 'tx_id' AS \"column\", 'pattern' AS \"check\", count(*) AS failures FROM f"
+    f"WITH {EV}, f AS (SELECT *, CASE WHEN tx_id::BIGINT % 10 IN (3, 4) THEN 'twin' || tx_id::BIGINT // 10 ELSE tx_id END || (mcc = 'error') AS t FROM ev),"
+    " d AS (SELECT t, count(*) AS n FROM f GROUP BY t HAVING count(*) > 1)"
+    " SELECT * FROM (SELECT 'tx_id' AS \"column\", 'pattern' AS \"check\", count(*) AS failures FROM f WHERE mcc = 'error'"
     " UNION ALL SELECT 'tx_id', 'unique', CAST(sum(n) AS BIGINT) FROM d"
     " UNION ALL SELECT 'dataset_source', 'allowed', count(*) FROM f WHERE mcc = 'view'"
     " UNION ALL SELECT 'schema_version', 'allowed', count(*) FROM f WHERE mcc = 'click'"
@@ -52,12 +58,41 @@ def validation_report(spark, folder):
     return ops.validate_canonical(flawed_canonical(spark, folder))[1]
 
 
-@query("SELECT count(*) AS valid_rows FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
+@query(
+    f"WITH {EV} SELECT sha256(user_id) AS user_id, ts_ms, amount_minor - 100 AS amount_minor, channel, country, lat * 2 AS lat, lon, label FROM ev"
+    " WHERE mcc NOT IN ('error', 'view', 'click', 'signup') AND amount_minor >= 100 AND country NOT IN ('NG', 'GB') AND channel <> 'atm'"
+    " AND abs(lat * 2) <= 90 AND abs(lon) <= 180"
+)
 def valid_rows(spark, folder):
+    """Of rows that break all kinds of checks, those that break none (but uniqueness, which is not a row's)."""
+    valid, _ = ops.validate_canonical(flawed_canonical(spark, folder))
+    return valid.select("user_id", "ts_ms", "amount_minor", "channel", "country", "lat", "lon", "label")
+
+
+@query("SELECT count(*) AS valid_rows FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
+def valid_transfers(spark, folder):
+    """All rows of a mapped source pass."""
     valid, _ = ops.validate_canonical(canonicalize_paysim(paysim_input(spark, folder), KEY))
     return valid.agg(F.count(F.lit(1)).alias("valid_rows"))
 
 
+@query(f"WITH {EV} SELECT tx_id, user_id, ts_ms, mcc, CAST(NULL AS VARCHAR) AS ip_hash, CAST(NULL AS DOUBLE) AS lon, 'dataset_source,schema_version' AS missing FROM ev")
+def filtered_to_schema(spark, folder):
+    """Unknown columns go, missing ones come as nulls, and required ones that are missing are named."""
+    tx = events_as_tx(spark, folder).drop("lon").withColumn("unknown_extra", F.lit("x"))
+    out, missing = ops.filter_to_schema(tx)
+    return out.select("tx_id", "user_id", "ts_ms", "mcc", "ip_hash", "lon", F.lit(",".join(sorted(missing))).alias("missing"))
+
+
+@query(
+    f"WITH {EV} SELECT tx_id, CASE WHEN merchant_id::INTEGER < 90 THEN (merchant_id::INTEGER + 1) || '.0.0.0' ELSE 'fe80::' || merchant_id END AS ip FROM ev"
+)
+def masked_addresses(spark, folder):
+    k = F.col("merchant_id").cast("int")
+    ip = F.when(k < 90, F.concat_ws(".", k + 1, k, F.lit("7"), F.lit("255"))).otherwise(F.concat(F.lit("fe80::"), "merchant_id"))
+    return events_as_tx(spark, folder).select("tx_id", ops.ip_prefix(ip).alias("ip"))
+
+
 @query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
 def duplicate_keys(spark, folder):
     return ops.duplicates(table(spark, folder, "lineitem"), "l_orderkey", "l_linenumber")
@@ -91,19 +126,20 @@ def top_mcc(spark, folder):
 
 
 @query(
-    f"WITH {EV}, s AS (SELECT *, sha256(user_id) AS u FROM ev), o AS (SELECT 'tx_id not null' AS name,"
+    f"WITH {EV}, s AS (SELECT *, sha256(user_id) AS u FROM ev WHERE mcc <> 'signup'), o AS (SELECT 'tx_id not null' AS name,"
     " CAST(count(*) FILTER (tx_id IS NULL) AS DOUBLE) AS observed, CAST(0 AS DOUBLE) AS lower, CAST(0 AS DOUBLE) AS upper FROM s"
     " UNION ALL SELECT 'user_id pattern', count(*) FILTER (NOT regexp_matches(u, '^[a-fA-F0-9]{64}$')), 0, 0 FROM s"
     " UNION ALL SELECT 'amount_minor range', count(*) FILTER (amount_minor NOT BETWEEN 0 AND 1000000000), 0, 0 FROM s"
     " UNION ALL SELECT 'user_id distinct ratio', round(count(DISTINCT u) / CAST(count(*) AS DOUBLE), 9), 0.05, 0.95 FROM s"
     " UNION ALL SELECT 'row count', count(*), 200000, 1000000 FROM s"
     " UNION ALL SELECT 'device_fp null ratio', avg(CASE WHEN device_fp IS NULL THEN 1.0 ELSE 0.0 END), 0, 0.05 FROM s"
-    " UNION ALL SELECT 'row loss', 0, 0, 0.001)"
+    " UNION ALL SELECT 'row loss', round(1.0 - count(*) / (SELECT count(*) FROM ev)::DOUBLE, 9), 0, 0.001 FROM s)"
     " SELECT *, observed BETWEEN lower AND upper AS passed FROM o"
 )
 def expectation_suite(spark, folder):
-    tx = events_as_tx(spark, folder)
-    hashed = tx.withColumn("user_id", F.sha2("user_id", 256))
+    """The suite over a table that lost its signups on the way."""
+    arrived = events_as_tx(spark, folder).where("mcc <> 'signup'")
+    hashed = arrived.withColumn("user_id", F.sha2("user_id", 256))
     suite = [*ops.canonical_suite(), ops.null_ratio("device_fp"), ops.row_loss(table(spark, folder, "events").count())]
     return ops.expectations(hashed, suite).withColumn("observed", F.round("observed", 9))
 
@@ -169,3 +205,12 @@ def quick_price_quantiles(spark, folder):
     exact = quantiles(lines, "l_extendedprice", _QS)
     quick = quick_quantiles(lines, "l_extendedprice", _QS).withColumnRenamed("value", "quick")
     return exact.join(quick, "q").select("q", (F.abs(F.col("value") - F.col("quick")) <= 0.01 * F.col("value")).alias("near"))
+
+
+@query(
+    "SELECT l_partkey AS value, count(*) AS n, true AS not_too_low FROM lineitem GROUP BY l_partkey HAVING count(*) >= (SELECT count(*) FROM lineitem) * 0.0007"
+)
+def heavy_parts(spark, folder):
+    """Parts of at least seven in ten thousand order lines, out of a count-min sketch, counted again."""
+    out = heavy.heavy_hitters(table(spark, folder, "lineitem"), "l_partkey", 0.0007)
+    return out.select("value", "n", (F.col("estimate") >= F.col("n")).alias("not_too_low"))

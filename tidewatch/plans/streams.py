@@ -62,9 +62,9 @@ def stream_without_repeats(spark, folder):
 
 
 @query(
-    f"WITH {EV}, w AS (SELECT ts_ms // 10000 AS s, amount_minor FROM ev WHERE ts_ms // 10000 * 10000 + 10000 <= (SELECT max(ts_ms) - 5000 FROM ev))"
+    f"WITH {EV}, w AS (SELECT ts_ms // 10000 AS s, amount_minor, user_id FROM ev WHERE ts_ms // 10000 * 10000 + 10000 <= (SELECT max(ts_ms) - 5000 FROM ev))"
     " SELECT make_timestamp(s * 10000000) AS window_start, make_timestamp((s + 1) * 10000000) AS window_end, count(*) AS tx_count,"
-    " CAST(sum(amount_minor) AS BIGINT) AS amount_minor FROM w GROUP BY s"
+    " CAST(sum(amount_minor) AS BIGINT) AS amount_minor, count(DISTINCT user_id) AS users_approx FROM w GROUP BY s"
 )
 def stream_tumbling_windows(spark, folder):
     # windows that the watermark has passed are given out; this needs the empty batch after the last data
