@@ -10,17 +10,23 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewatch.llm.grammar import Shard, pack
-from tidewatch.llm.words import Remembered, pieces, texts_of
+from tidewatch.llm.words import pieces, texts_of
 
 #: A shard ends with the document that reaches so many tokens.
 SHARD_TOKENS = 1 << 20
-MARKS = b".,;:!?"
+# The pattern of the tokenizer, and the characters that byte-level models write bytes as.
+PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTES = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in set(_PRINTED))}
+#: ASCII, and letters whose lower case is one letter, whatever stands around them, and which are composed.
+PLAIN = {c for c in map(chr, [*range(33, 127), *range(0xC0, 0x130), *range(0x131, 0x180)]) if c.isascii() or c.isalpha() and len(c.lower()) == 1}
 #: Words remembered per worker: as many again that were seen before them stay until that many new ones have come.
 REMEMBERED = 300_000
 #: Longer words are not remembered.
@@ -41,10 +47,7 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.terminals = self.tokenizer.get_vocab_size()
         self.model = self.tokenizer.model
-        self.ends = np.zeros(self.terminals, bool)  # tokens that end a word
-        for token, i in self.tokenizer.get_vocab().items():
-            self.ends[i] = token.endswith(self.model.end_of_word_suffix or " ")
-        self.marks = Remembered(lambda marks: self._ids([marks.decode()])[0], 10_000)
+        self.parts: dict[str, bytes] = {}
         self.known: dict[bytes, bytes] = {}
         self.before: dict[bytes, bytes] = {}  # what was known until ``known`` was full
 
@@ -52,46 +55,35 @@ class WordIds:
         coded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", x.ids).tobytes() for x in coded]
 
-    def _letters(self, words: list[str]) -> list[bytes]:
-        """Words of letters alone, many in one text: each ends with a token that ends a word."""
-        out, size = [], 256
-        for at in range(0, len(words), size):
-            some = words[at : at + size]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) == len(some):
-                flat, bounds = ids.tobytes(), [0, *(4 * ends).tolist()]
-                out += [flat[a:b] for a, b in zip(bounds, bounds[1:])]
-            else:
-                out += self._ids(some)
-        return out
+    def _part(self, part: str) -> bytes:
+        """Ids of what the tokenizer's pattern takes as one: a run of letters, a digit, a run of marks.
+
+        It comes lowered, which is all that the normaliser does to Latin letters; its bytes are written as the model
+        knows them.
+        """
+        ids = self.parts.get(part)
+        if ids is None:
+            plain = part if part.isascii() else part.encode().decode("latin-1").translate(BYTES)
+            ids = array("I", [t.id for t in self.model.tokenize(plain)]).tobytes()
+            if len(self.parts) >= REMEMBERED:
+                self.parts.clear()
+            self.parts[part] = ids
+        return ids
 
     def _look_up(self, words: set[bytes]) -> dict[bytes, bytes]:
         """The ids of words that are not in ``known``, for the texts at hand."""
         found = {w: self.before[w] for w in words if w in self.before}
-        marked, letters, others = [], [], []
-        tokenize, known = self.model.tokenize, self.known
+        part, cut = self._part, PATTERN.findall
+        special = []
         for word in words.difference(found):
-            if word.isalpha():  # ASCII: normalising lowers it, and bytes stand for themselves
-                low = word.lower()
-                ids = known.get(low) or found.get(low)
-                if ids is None:
-                    ids = found[low] = array("I", [t.id for t in tokenize(low.decode())]).tobytes()
-                found[word] = ids
-            elif word.rstrip(MARKS).isalpha():
-                marked.append(word)
-            elif word.decode("utf-8", "replace").isalpha():
-                letters.append(word)
+            text = word.decode("utf-8", "replace")
+            if "<|" in text or not (text.isascii() and text.isprintable() or PLAIN.issuperset(text)):
+                special.append(word)
+            elif text.isalpha():
+                found[word] = part(text.lower())
             else:
-                others.append(word)
-        for word in marked:  # to the tokenizer these are two words
-            low = word.rstrip(MARKS).lower()
-            ids = known.get(low) or found.get(low)
-            if ids is None:
-                ids = found[low] = array("I", [t.id for t in tokenize(low.decode())]).tobytes()
-            found[word] = ids + self.marks[word[len(low) :]]
-        found.update(zip(letters, self._letters([w.decode() for w in letters])))
-        found.update(zip(others, self._ids([w.decode("utf-8", "replace") for w in others])))
+                found[word] = b"".join(map(part, cut(text.lower())))
+        found.update(zip(special, self._ids([w.decode("utf-8", "replace") for w in special])))
         return found
 
     def encode_all(self, texts: list[bytes]) -> list[bytes]:
