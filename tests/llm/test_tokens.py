@@ -29,15 +29,6 @@ def test_repeated_pairs_become_rules():
     assert all(a < 16 + k and b < 16 + k for k, (a, b) in enumerate(rules))
 
 
-def test_words_that_leave_the_memory_keep_their_ids(docs, monkeypatch):
-    texts = [r.text.encode() for r in docs.collect()]
-    want = tokens.WordIds(PATH).encode_all(texts)
-    monkeypatch.setattr(tokens, "REMEMBERED", 50)
-    few = tokens.WordIds(PATH)
-    assert [few.encode(t) for t in texts] == want
-    assert len(few.known) + len(few.before) < 60_000
-
-
 def test_words_are_encoded_as_the_library_encodes_texts(docs):
     library, words = Tokenizer.from_file(PATH), tokens.WordIds(PATH)
     texts = [r.text for r in docs.collect()]
