@@ -215,7 +215,7 @@ def previous_transaction(spark, folder):
 @query(f"WITH {EV} SELECT merchant_id, count(DISTINCT user_id) AS users, count(DISTINCT user_id) AS distinct_estimate FROM ev GROUP BY merchant_id")
 def distinct_sketches(spark, folder):
     tx = events_as_tx(spark, folder)
-    # sketches per merchant and country, merged per merchant; exact while they are small, test_windows has large ones
+    # sketches per merchant and country, merged per merchant; exact while they are small
     parts = tx.groupBy("merchant_id", "country").agg(F.hll_sketch_agg("user_id").alias("sketch"))
     exact = tx.groupBy("merchant_id").agg(F.countDistinct("user_id").alias("users"))
     return ops.merge_sketches(parts, "merchant_id").join(exact, "merchant_id").select("merchant_id", "users", "distinct_estimate")
