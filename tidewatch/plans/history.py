@@ -109,7 +109,6 @@ def _window_sql(size_ms: int, slide_ms: int) -> str:
 
 def shown_windows(windows):
     plain = [F.col(c).cast("timestamp_ntz").alias(c) for c in ("window_start", "window_end")]
-    # the sketch is exact for the few users of a window
     return windows.select(*plain, "tx_count", "amount_minor", "users_approx")
 
 
