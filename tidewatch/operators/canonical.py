@@ -41,8 +41,19 @@ def to_canonical(df: DataFrame, source: str, columns: dict[str, Column]) -> Data
     )
 
 
-def attribute_bag(columns: dict[str, Column]) -> Column:
-    return F.create_map(*[x for name, c in columns.items() for x in (F.lit(name), c.cast("string"))])
+def attribute_bag(columns: dict[str, Column], kind: str | None = None) -> Column:
+    """The columns as texts under their names. Where all are of one ``kind``, one loop makes the texts: an expression for
+    each of many columns would be more code than the JVM compiles."""
+    if kind is None:
+        return F.create_map(*[x for name, c in columns.items() for x in (F.lit(name), c.cast("string"))])
+    texts = F.transform(F.array(*[c.cast(kind) for c in columns.values()]), lambda c: c.cast("string"))
+    return F.map_from_arrays(F.array(*[F.lit(name) for name in columns]), texts)
+
+
+def _one_kind(df: DataFrame, names: list[str]) -> str | None:
+    """The type that all these columns have, if they have one."""
+    kinds = {df.schema[name].dataType.simpleString() for name in names}
+    return kinds.pop() if len(kinds) == 1 else None
 
 
 def label_of(column: str) -> Column:
@@ -96,7 +107,7 @@ def canonicalize_ulb(df: DataFrame, key: str, anchor_ts: int, index: str = "row_
             "channel": F.lit("card_present"),
             "card_bin": ((i % 9 + 1) * 100000 + (i * 37) % 99999).cast("string"),
             "label": label_of("Class"),
-            "attributes": attribute_bag({c: F.col(c) for c in kept}),
+            "attributes": attribute_bag({c: F.col(c) for c in kept}, _one_kind(df, kept)),
         },
     )
 

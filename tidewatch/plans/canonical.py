@@ -66,11 +66,14 @@ COMMON = [name for name in CANONICAL.names if name != "attributes"]
 def shown(canonical, texts: dict[str, str], numbers: dict[str, str]):
     """All columns, the sorted names of the attributes, and each attribute as text or (to six decimals) as a number."""
     bag = F.col("attributes")
-    return canonical.select(
+    # the numbers by one loop over their names: an expression for each would be more code than the JVM compiles
+    rounded = F.transform(F.array(*[F.lit(key) for key in numbers.values()]), lambda key: F.round(F.try_element_at(bag, key).cast("double"), 6))
+    told = canonical.withColumn("_rounded", rounded) if numbers else canonical
+    return told.select(
         *COMMON,
         F.array_join(F.sort_array(F.map_keys(bag)), ",").alias("attribute_names"),
         *[bag[key].alias(name) for name, key in texts.items()],
-        *[F.round(bag[key].cast("double"), 6).alias(name) for name, key in numbers.items()],
+        *[F.col("_rounded")[at].alias(name) for at, name in enumerate(numbers)],
     )
 
 
