@@ -243,3 +243,22 @@ def test_bitmaps_count_as_distinct_does(spark):
     assert read(bitmaps.distinct_counts(maps, ["hour", "kind"])) == read(known.groupBy("hour", "kind").agg(F.countDistinct("value")))
     days = bitmaps.rolled_up(maps, {"day": F.floor(F.col("hour") / 24)})
     assert read(bitmaps.distinct_counts(days, ["day"])) == read(known.groupBy(F.floor(F.col("hour") / 24)).agg(F.countDistinct("value")))
+
+
+def test_state_of_many_users_is_kept_in_buckets(spark, folder):
+    users = 2_500
+    rows = [(f"{part}{k}", f"u{k}", START + part * 60_000 + k, k, "m") for part in range(2) for k in range(users)]
+    for part in (rows[:users], rows[users:]):
+        put(spark, part, f"{folder}/topic")
+    out = timers.timed_features(events(spark, f"{folder}/topic"), lateness_ms=HOUR)
+    with stateful(spark):
+        query = sinks.write_stream(out, f"{folder}/out", f"{folder}/state")
+        query.awaitTermination()
+    state = query.lastProgress["stateOperators"][0]
+    assert 0 < state["numRowsTotal"] < users  # a row of state for each user would be more
+
+
+def test_runs_of_state_hold_all_rows():
+    rows = [(f"u{k}", k) for k in range(2 * timers._RUN + 1)]
+    runs = timers._runs(rows)
+    assert [len(r[0]) for r in runs] == [timers._RUN, timers._RUN, 1] and [e for r in runs for e in zip(*r)] == rows
