@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -9,6 +10,7 @@ from tokenizers import Tokenizer
 from tidewatch.llm import grammar, tokens
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
+KEPT = []
 
 
 @settings(max_examples=60, deadline=None)
@@ -56,3 +58,32 @@ def test_documents_in_order_from_the_files(spark, docs, odd, none, folder, monke
     ids = library.encode(some.text, add_special_tokens=False).ids + [2]
     row = tokens.read_range(spark, f"{folder}/0", 7, 5, 20).first()
     assert row.ids == ids[5:25]
+
+
+def test_words_of_all_kinds_and_the_texts_of_a_column():
+    library, words = Tokenizer.from_file(PATH), tokens.WordIds(PATH)
+    letters = [chr(c) for c in range(0x80, 0x250) if chr(c).isalpha()]
+    texts = [f"{c} a{c} {c}B{c}& {c}'s ab{c}##" for c in letters]
+    texts += ["Öl### 4401553578478930 12&& 7. don't' x'' ''s 's's <| |> a<|endoftext|> <|endoftext|># ½ 3é é3 ́a á&", None, "", " \t", "x\x0b\x0cy  "]
+    texts += ["ab" * 90 + " " + "Ä" * 120 + "!"] * 2
+    column = pa.concat_arrays([pa.array(["before"]), pa.array(texts, pa.string())]).slice(1)
+    for text, ids in zip(texts, words.encode_all(column)):
+        assert ids.tolist() == library.encode(text or "", add_special_tokens=False).ids
+
+
+def test_words_are_encoded_together_and_only_once(docs):
+    words, asked = tokens.WordIds(PATH), []
+    words.words.make = lambda word, make=words.words.make: asked.append(word) or make(word)
+    words.words.limit = 0  # nothing is remembered
+    texts = ["the same word the same Word"] * 50
+    words.encode_all(pa.array(texts))
+    assert len(asked) == 5  # the, same, word, Word and its lower case
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(st.characters(codec="utf-8"), max_size=12), min_size=1, max_size=4))
+def test_any_texts_are_encoded_as_the_library_encodes_them(texts):
+    library = Tokenizer.from_file(PATH) if not KEPT else KEPT[0]
+    KEPT[:] = KEPT or [library, tokens.WordIds(PATH)]
+    for text, ids in zip(texts, KEPT[1].encode_all(pa.array(texts, pa.string()))):
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids

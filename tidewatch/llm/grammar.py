@@ -40,13 +40,19 @@ def compress(ids: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray, n
     symbols, rules = ids.astype(np.uint32), []
     spans = np.ones(terminals, np.uint32)
     slots = 1 << SLOT_BITS
-    shown, name = np.zeros(slots, np.uint64), np.zeros(slots, np.uint32)
+    shown, name, numbers = np.zeros(slots, np.uint64), np.zeros(slots, np.uint32), np.arange(slots, dtype=np.uint32)
     while len(symbols) > 2:
         slot = _slots(symbols[:-1], symbols[1:]).astype(np.int64)
-        pair = (symbols[:-1].astype(np.uint64) << np.uint64(32)) | symbols[1:]
-        counts = np.bincount(slot, minlength=slots)
-        rank = ((np.minimum(counts, MOST_RANKED) << SLOT_BITS) | np.arange(slots)).astype(np.uint32)
-        rank[counts < FEWEST] = 0
+        pair = symbols[:-1].astype(np.uint64)
+        pair <<= np.uint64(32)
+        pair |= symbols[1:]
+        rank = np.bincount(slot, minlength=slots).astype(np.uint32)
+        rank[rank < FEWEST] = 0
+        np.minimum(rank, MOST_RANKED, out=rank)
+        few = rank == 0
+        rank <<= SLOT_BITS
+        rank |= numbers
+        rank[few] = 0
         shown[slot] = pair  # one pair per slot; others of the slot wait for a later round
         order = rank[slot]
         order[shown[slot] != pair] = 0
@@ -55,8 +61,10 @@ def compress(ids: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray, n
         taken[1:] &= order[1:] > order[:-1]
         taken[:-1] &= order[:-1] >= order[1:]
         at = np.flatnonzero(taken)
-        used = np.bincount(slot[at], minlength=slots)
-        at = at[used[slot[at]] >= FEWEST]
+        where = slot[at]
+        used = np.bincount(where, minlength=slots)
+        enough = used[where] >= FEWEST
+        at, where = at[enough], where[enough]
         if len(at) < max(1, LEAST_GAIN * len(symbols)):
             break
         kinds = np.flatnonzero(used >= FEWEST)
@@ -64,7 +72,7 @@ def compress(ids: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray, n
         name[kinds] = np.arange(len(spans), len(spans) + len(kinds))
         rules.append(pairs)
         spans = np.concatenate([spans, spans[pairs[:, 0]] + spans[pairs[:, 1]]])
-        symbols[at] = name[slot[at]]
+        symbols[at] = name[where]
         keep = np.ones(len(symbols), bool)
         keep[at + 1] = False
         symbols = symbols[keep]
@@ -108,7 +116,16 @@ class Shard:
         return symbols
 
     def ids(self) -> np.ndarray:
-        return self.expand(self.symbols)
+        """All ids: each rule is expanded once and copied to where its symbol stands."""
+        alone = np.arange(self.terminals, dtype=np.uint32)
+        every = np.concatenate([alone, self.expand(np.arange(self.terminals, self.terminals + len(self.rules), dtype=np.uint32))])
+        sizes = np.concatenate([np.ones_like(alone), self.lengths]).astype(np.int64)
+        starts = (np.cumsum(sizes) - sizes)[self.symbols]
+        sizes = sizes[self.symbols]
+        ends = np.cumsum(sizes)
+        places = np.repeat(starts - ends + sizes, sizes)
+        places += np.arange(len(places))
+        return every[places]
 
     def read(self, start: int, n: int) -> np.ndarray:
         """Ids ``start`` to ``start + n`` without expanding the rest of the shard."""

@@ -2,31 +2,44 @@
 
 from __future__ import annotations
 
+import string
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewatch.llm.grammar import Shard, pack
-from tidewatch.llm.words import Remembered, pieces, texts_of
+from tidewatch.llm.words import Remembered, pieces
 
 #: A shard ends with the document that reaches so many tokens.
 SHARD_TOKENS = 1 << 20
-MARKS = ".,;:!?"
-#: Words, and runs of letters, remembered per worker.
-REMEMBERED = 400_000
+#: ASCII characters that are neither white space, letters nor digits: a run of them is one word to the tokenizer's pattern.
+MARKS = string.punctuation.encode()
+#: Words remembered per worker.
+REMEMBERED = 1_200_000
+
+
+def _byte_letters() -> dict[int, str]:
+    """The character that stands for each byte in the vocabulary: itself if it can be seen, else one from U+0100 on."""
+    seen = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    unseen = [b for b in range(256) if b not in seen]
+    return {b: chr(b) for b in seen} | {b: chr(256 + k) for k, b in enumerate(unseen)}
 
 
 class WordIds:
     """Ids of the words of a tokenizer that drops white space, each word encoded by the tokenizers library once.
 
-    Words are cut at ASCII white space, which the tokenizer's own pattern also does; a word of letters with
-    punctuation behind it is two words to that pattern.
+    Words are cut at ASCII white space, which the tokenizer's own pattern also does. To that pattern a word of letters
+    with ASCII marks behind it is two words, and a digit is a word. Letters up to U+017F have one code point each, so
+    that only lower case and the mapping of bytes are left to do before the library's merges; all else goes through the
+    whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -35,28 +48,53 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.terminals = self.tokenizer.get_vocab_size()
         self.model = self.tokenizer.model
-        self.letters = Remembered(self._letters, REMEMBERED)
+        self.byte_letters = _byte_letters()
         self.marks = Remembered(self._any, 10_000)
         self.words = Remembered(self._word, REMEMBERED)
 
-    def _any(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def _any(self, word: bytes) -> bytes:
+        return array("I", self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes()
 
-    def _letters(self, text: str) -> bytes:
-        if text.isascii():  # lower case already: normalising and byte mapping leave it as it is
-            return np.array([t.id for t in self.model.tokenize(text)], "<u4").tobytes()
-        return self._any(text)
+    def _merged(self, letters: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
 
     def _word(self, word: bytes) -> bytes:
-        text = word.decode("utf-8", "replace")
-        body = text.rstrip(MARKS)
-        if not body.isalpha():
-            return self._any(text)
-        ids = self.letters[body.lower() if body.isascii() else body]
-        return ids if len(body) == len(text) else ids + self.marks[text[len(body) :]]
+        body = word.rstrip(MARKS)
+        if len(body) < len(word):
+            if body.isdigit() or _plain_letters(body):
+                return self.words[body] + self.marks[word[len(body) :]]
+            return self._any(word) if body else self.marks[word]
+        if body.isalpha():
+            lower = body.lower()
+            return self._merged(lower.decode()) if lower == body else self.words[lower]
+        if body.isdigit():
+            return b"".join([self.marks[body[k : k + 1]] for k in range(len(body))])
+        if _plain_letters(body):
+            return self._merged(body.decode().lower().encode().decode("latin-1").translate(self.byte_letters))
+        return self._any(word)
+
+    def encode_all(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text of an Arrow column; of each word that occurs among them, the memory is asked once."""
+        found = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        coded = found.flatten().dictionary_encode()
+        known = [self.words[w] for w in coded.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False)]
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        starts, ids = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(known), "<u4")
+        at = coded.indices.to_numpy()
+        ends = np.cumsum(sizes[at])
+        places = np.repeat(starts[at] - ends + sizes[at], sizes[at])
+        places += np.arange(len(places))
+        cuts = np.concatenate([[0], ends])[found.offsets.to_numpy() - found.offsets[0].as_py()]
+        return np.split(ids[places], cuts[1:-1])
 
     def encode(self, text: bytes) -> bytes:
-        return b"".join(map(self.words.__getitem__, text.split()))
+        return self.encode_all(pa.array([text], pa.binary()).view(pa.string()))[0].tobytes()
+
+
+def _plain_letters(word: bytes) -> bool:
+    """Whether a word is letters up to U+017F whose lower case is one letter each (that of U+0130 is two)."""
+    text = word.decode("utf-8", "replace")
+    return text.isalpha() and max(text) <= "\u017f" and "\u0130" not in text
 
 
 @lru_cache(maxsize=2)
@@ -77,13 +115,13 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, end: int) -> None:
 
     def run(batches):
         words = word_ids(tokenizer)
-        mark = np.array([end], "<u4").tobytes()
+        mark = np.array([end], "<u4")
         part = TaskContext.get().partitionId()
         state = {"shard": 0, "start": 0}
 
         def shard(names, coded):
-            ids = np.frombuffer(b"".join(coded), "<u4")
-            packed = pack([len(x) // 4 for x in coded], ids, words.terminals)
+            ids = np.concatenate(coded)
+            packed = pack([len(x) for x in coded], ids, words.terminals)
             row = [part, state["shard"], state["start"], len(ids), names, packed]
             state["shard"] += 1
             state["start"] += len(ids)
@@ -91,10 +129,10 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, end: int) -> None:
 
         names, coded, size = [], [], 0
         for batch in pieces(batches, 1):
-            for name, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1))):
+            for name, ids in zip(batch.column(0).to_pylist(), words.encode_all(batch.column(1))):
                 names.append(name)
-                coded.append(words.encode(text) + mark)
-                size += len(coded[-1]) // 4
+                coded.append(np.concatenate([ids, mark]))
+                size += len(coded[-1])
                 if size >= SHARD_TOKENS:
                     yield shard(names, coded)
                     names, coded, size = [], [], 0
