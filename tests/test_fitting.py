@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewatch import plans
-from tidewatch.operators import model as ops
+from tidewatch.operators import model as ops, rules
 from tidewatch.plans import learning
 from tidewatch.schema import MODEL_FEATURES
 
@@ -53,3 +53,17 @@ def test_all_rows_of_the_training_fold_are_fitted(spark, unfitted, monkeypatch):
 def test_metrics_of_a_later_target_have_sql():
     plans.load_all()
     assert {"model_metrics_next_year", "model_metrics_quality"} <= set(plans.ORACLES) and "model_metrics" in plans.QUERIES
+
+
+def test_orders_are_scored_from_the_features_that_were_stored(spark, unfitted, monkeypatch):
+    made, given = [], {}
+    features, decide = learning.offline_features, rules.score_batch
+    monkeypatch.setattr(learning, "offline_features", lambda tx: made.append(1) or features(tx))
+    monkeypatch.setattr(ops, "score_with", lambda model, df: df)
+    monkeypatch.setattr(learning.rules, "score_batch", lambda tx, model, **how: given.update(how) or decide(tx, score=F.lit(0.5), **how))
+    kept, fit = {}, learning.trained
+    monkeypatch.setattr(learning, "trained", lambda spark, folder: fit(spark, folder, kept))
+    orders = spark.read.parquet(f"{DATA}/orders.parquet")
+    assert learning.score_with_model(spark, DATA).count() == orders.count()
+    assert len(made) == 1 and given["offline"].inputFiles()  # once, and read from where they were written
+    assert given["offline"].count() == orders.select("o_custkey").distinct().count()
