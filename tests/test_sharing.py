@@ -134,6 +134,24 @@ def test_a_model_in_the_scoring_path(spark):
         rules.score_batch(tx, score=F.lit(0.1), model=trees)
 
 
+def test_the_model_sees_a_user_and_count_of_calls_once(spark, monkeypatch):
+    seen = []
+    count_as_score = lambda model, df, names: seen.append(df.count()) or df.withColumn("score", F.col("tx_count_30d") / 1000)
+    monkeypatch.setattr(rules, "score_with", count_as_score)
+    users = spark.createDataFrame([("u", 100), ("w", 300)], "user_id string, tx_count_30d int")
+    day = 86_400_000
+    rows = [(f"apart{i}", "u", START + i * day, 0.101) for i in range(50)]
+    rows += [(f"close{i}", "w", START + i * 60_000, (301 + i) / 1000) for i in range(3)]
+    rows += [(f"nobody{i}", "nobody", START + i * day, 0.001) for i in range(2)]
+    rows += [(f"null{i}", None, START, 0.0) for i in range(5)] + [(f"blank{i}", " ", START, 0.0) for i in range(2)] + [("late", "u", None, 0.1)]
+    tx = spark.createDataFrame([(t, u, ms, 10, "US") for t, u, ms, _ in rows], "tx_id string, user_id string, ts_ms long, amount_minor long, country string")
+    out = rules.score_batch(tx, offline=users, model="model").collect()
+    assert sorted((r["tx_id"], r["user_id"] or "", r["ts_ms"] or 0, r["score"]) for r in out) == sorted((t, u or "", ms or 0, s) for t, u, ms, s in rows)
+    assert seen == [8]  # u without a time and once, w three times, nobody, null, blank; and not 63 calls
+    brought = rules.score_batch(tx.withColumn("amt_mean_30d", F.lit(1.0)), offline=users, model="model")
+    assert brought.count() == seen[1] == len(rows)  # features of its own: each transaction is scored
+
+
 def test_heavy_values_are_all_named_and_never_underrated(spark):
     rng = random.Random(8)
     values = [rng.choice([None, "hot", "hot", "warm"]) if rng.random() < 0.2 else f"v{rng.randrange(30_000)}" for _ in range(40_000)]

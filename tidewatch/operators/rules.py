@@ -12,6 +12,7 @@ from tidewatch.functions.scalars import number_or_zero
 from tidewatch.operators.cells import run_position
 from tidewatch.operators.model import score_with
 from tidewatch.schema import MODEL_FEATURES
+from tidewatch.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -118,7 +119,9 @@ def score_batch(
     """Decides every transaction: (tx_id, user_id, action, score, rules_triggered).
 
     The score is the column ``score``, or the probability that ``model`` (see ``model.train_boosted_trees``) gives the
-    merged features of the user, the counts with their calls included; features that are not there count as 0.
+    merged features of the user, the counts with their calls included; features that are not there count as 0. If the
+    transactions bring none of the features, a user's calls of the same count have the same ones: the model then sees
+    each user and count once, and the transactions, written once with their counts, are joined to that.
 
     Each call counts its own transaction first. The count goes on through the user's calls until 600 s pass without
     one. ``additive`` adds it to the stored counts; ``reference`` lets it hide the stored 30-day count, as a store
@@ -136,7 +139,10 @@ def score_batch(
     if model is not None and score is not None:
         raise ValueError("a score is given or a model makes it")
     names = RULE_FEATURES if model is None else list(dict.fromkeys([*RULE_FEATURES, *model_features]))
-    out = merged_features(calls, online, offline, names)
+    shared = model is not None and not set(names) & set(tx.columns)
+    if shared:
+        calls = cut_lineage(calls)
+    out = merged_features(calls.select("user_id", "_calls").distinct() if shared else calls, online, offline, names)
     if carries_sliding:
         # the transaction's own sliding count already holds this call and the ones before it
         ten_minutes = F.greatest(F.col("tx_count_10m"), F.lit(1.0))
@@ -155,6 +161,9 @@ def score_batch(
     )
     if model is not None:
         out = score_with(model, out, model_features)
+        if shared:
+            each = out.withColumnsRenamed({"user_id": "_of", "_calls": "_count"})
+            out = calls.join(each, F.col("user_id").eqNullSafe(F.col("_of")) & (F.col("_calls") == F.col("_count")))
     else:
         out = out.withColumn("score", F.lit(0.0) if score is None else F.coalesce(score.cast("double"), F.lit(0.0)))
     return evaluate_rules(out, rules).select("tx_id", "user_id", "ts_ms", "amount_minor", "action", "score", "rules_triggered")
