@@ -1,4 +1,5 @@
 import random
+import time
 from itertools import combinations
 
 import numpy as np
@@ -66,6 +67,68 @@ def test_linked_sets_share_a_key(per_cent):
                     assert np.intersect1d(*keys).size
 
 
+@pytest.mark.parametrize("per_cent", [80, 90])
+def test_what_linked_sets_agree_on_is_enough(per_cent):
+    rng = np.random.default_rng(per_cent + 1)
+    for n in [*range(1, 60, 3), 100, 150, 257, 600, 1500]:
+        for _ in range(20):
+            x = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))
+            drop = int(rng.integers(0, max(1, n * (100 - per_cent) // 100 + 1)))
+            add = int(rng.integers(0, max(1, (n - drop) * 100 // per_cent - n + 1)))
+            y = np.unique(np.concatenate([rng.permutation(x)[drop:], rng.integers(0, 1 << 63, add).astype(np.uint64)]))
+            if len(y) and jaccard.linked(x, y, per_cent) and len(np.setxor1d(x, y)):
+                for share in (0, 0.3, 0.9):
+                    often = rng.random(jaccard.SLOTS) < share
+                    (a, wa), (b, _) = (jaccard.weighted_keys(s, per_cent, often) for s in (x, y))
+                    assert int(wa[np.isin(a, b)].sum()) >= jaccard.ENOUGH
+
+
+def test_agreements_of_pairs_are_counted():
+    key = np.array([1, 1, 2, 2, 2, 3, 4, 4, 4, 5, 5], np.uint64)
+    node = np.array([7, 9, 9, 7, 8, 7, 9, 7, 9, 6, 7], np.uint64)
+    weight = np.array([2, 2, 2, 2, 2, 2, 2, 2, 2, 6, 6], np.uint64)
+    got = jaccard.added_up(*jaccard.met(key, jaccard.weighted(node, weight)))
+    assert list(zip(*(x.tolist() for x in got))) == [(6, 7, 6), (7, 8, 2), (7, 9, 6), (8, 9, 2)]
+    many = np.arange(jaccard.FEW + 1, dtype=np.uint64)
+    a, b, w = jaccard.met(np.zeros(len(many), np.uint64), jaccard.weighted(many, np.full(len(many), 2, np.uint64)))
+    assert set(a.tolist()) == {0} and sorted(b.tolist()) == many[1:].tolist() and set(w.tolist()) == {jaccard.ENOUGH}
+
+
+def test_texts_that_share_a_passage_make_no_block(spark):
+    """Passages that hang 600 texts together, and one text with a near copy."""
+    rng = random.Random(11)
+    words = lambda n: ["%x" % rng.randrange(1 << 40) for _ in range(n)]
+    passages = [words(60) for _ in range(12)]
+    texts = [words(200) + rng.choice(passages) + words(200) for _ in range(600)]
+    texts.append([*texts[0][:-1], "other"])
+    df = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    sets = jaccard.shingle_sets([" ".join(t).encode() for t in texts], 5)
+    none = np.zeros(jaccard.SLOTS, bool)
+    keys = [set(jaccard.candidate_keys(s, 80, none).tolist()) for s in sets]
+    top = list(range(len(texts)))
+    for a, b in combinations(range(len(texts)), 2):
+        if keys[a] & keys[b] and top[a] != top[b]:
+            top = [top[a] if t == top[b] else t for t in top]
+    assert max(top.count(t) for t in set(top)) > 300  # agreement on one segment ties most of them
+    blocks = graph.components(jaccard.candidate_pairs(df, 5, 80, none)).groupBy("root").count().collect()
+    assert max(r["count"] for r in blocks) < 100
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(df).collect()}
+    assert got[600] == 0 and all(got[k] == k for k in range(600))
+
+
+def test_shuffles_of_a_stored_table_go(spark, folder):
+    before = spark.conf.get(graph.CLEAN_UP)
+    rows = spark.range(5000).withColumn("k", F.col("id") % 97).groupBy("k").count()
+    shuffles = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses()
+    known = shuffles.size()
+    assert graph.stored(rows, "rows").count() == 97 and spark.conf.get(graph.CLEAN_UP) == before
+    for _ in range(50):
+        if shuffles.size() <= known + 1:  # one by the count
+            break
+        time.sleep(0.1)
+    assert shuffles.size() <= known + 1
+
+
 def test_trees_lose_no_link():
     rng = random.Random(8)
     rows = [r for r in near_copies(rng, 120) if r[1]]

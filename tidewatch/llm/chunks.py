@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidewatch.llm.graph import stored
+from tidewatch.llm.sieve import possible, sieve
 from tidewatch.llm.words import hashed_words, mix, pieces, text_digest, texts_of
 
 SHIFT = 21
@@ -87,23 +89,25 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     an empty one.
 
     A digest's first occurrence is a grouped minimum, combined before the shuffle; the join back is on digests that
-    occur twice, and the adaptive skew join splits a digest with very many occurrences. A document's repeats meet in
-    one task.
+    occur twice, and the adaptive skew join splits a digest with very many occurrences. Only occurrences that a bitmap of
+    those digests lets through are dealt out for it. A document's repeats meet in one task.
     """
     told = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_digest().alias("version")
     ).mapInArrow(_told, "digest long, doc_id long, version long, at long")
     word = F.shiftright("at", 8)
     place = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "version", word.alias("word"))
-    first = (
+    first = stored(
         told.groupBy("digest")
         .agg(F.min(place).alias("first"), F.count("*").alias("n"))
         .where("n > 1")
-        .select("digest", *[F.col(f"first.{c}").alias(f"first_{c}") for c in ("doc_id", "version", "word")])
+        .select("digest", *[F.col(f"first.{c}").alias(f"first_{c}") for c in ("doc_id", "version", "word")]),
+        "first",
     )
     itself = F.col("doc_id").eqNullSafe(F.col("first_doc_id")) & (F.col("version") == F.col("first_version")) & (word == F.col("first_word"))
+    again = told.where(possible(sieve(first.select("digest")), F.col("digest")))
     repeats = (
-        told.join(first, "digest")
+        again.join(first.hint("merge"), "digest")
         .where(~itself)
         .select("doc_id", "version", word.alias("word"), F.col("at").bitwiseAND(F.lit(255)).alias("n"), "first_doc_id")
         .groupBy("doc_id", "version", "word")
@@ -129,8 +133,10 @@ def without_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """``docs`` with the words of the spans cut out of ``text``, all its other columns as they were.
 
     A cut takes the white space behind each word with it; the rest of the text keeps every byte. A text that is cut
-    whole becomes empty. ``n_chars`` follows the text where there is such a column.
+    whole becomes empty. ``n_chars`` follows the text where there is such a column. Only texts that a bitmap of the cut
+    ones lets through are dealt out for the join.
     """
+
     def run(batches):
         for batch in pieces(batches, 0):
             out = []
@@ -147,18 +153,22 @@ def without_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
 
     names = [f"c{k}" for k in range(len(docs.columns))]
     others = [(n, f) for n, f in zip(names, docs.schema.fields)]
-    cuts = (
+    cuts = stored(
         spans.groupBy("doc_id", "version")
         .agg(F.collect_list("start_word").alias("starts"), F.collect_list("n_words").alias("sizes"))
-        .withColumnRenamed("doc_id", "_id")
+        .withColumnRenamed("doc_id", "_id"),
+        "cuts",
     )
     named = docs.select(
         F.col("text").cast("binary").alias("_text"), text_digest().alias("_v"), *[F.col(f"`{f.name}`").alias(n) for n, f in others]
     )
     doc = dict(zip(docs.columns, names))["doc_id"]
-    joined = named.join(cuts, named[doc].eqNullSafe(cuts["_id"]) & (named["_v"] == cuts["version"]), "left")
-    kept = joined.select("_text", "starts", "sizes", *[n for n, f in others if f.name != "text"])
     names = [n for n, f in others if f.name != "text"]
+    named = named.withColumn("_cut", possible(sieve(cuts.select(F.xxhash64("_id", "version"))), F.xxhash64(F.col(doc).cast("long"), "_v")))
+    clear, rest = named.where("NOT _cut"), named.where("_cut")
+    rest = rest.join(cuts.hint("merge"), rest[doc].eqNullSafe(cuts["_id"]) & (rest["_v"] == cuts["version"]), "left")
+    uncut = [F.lit(None).cast(cuts.schema[c].dataType).alias(c) for c in ("starts", "sizes")]
+    kept = clear.select("_text", *uncut, *names).unionByName(rest.select("_text", "starts", "sizes", *names))
     fields = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in others if f.name != "text")
     cut = kept.mapInArrow(run, f"text binary, {fields}")
     size = F.length(F.col("text").cast("string")).cast("long")

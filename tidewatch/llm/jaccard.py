@@ -3,9 +3,13 @@
 1. Each text becomes the set of its shingle hashes; equal sets are one class, known by a 128-bit digest.
 2. Classes that may link meet in blocks. The shingle universe is cut into more segments than two linked sets can
    differ in, so linked sets agree in at least one whole segment; shingles that very many texts have are left out of
-   the segments of texts that have enough others. Agreement on a segment makes two classes candidates, and the connected candidates of the corpus are a block. Of the classes of a task that agree on a segment
+   the segments of texts that have enough others. Linked sets agree in more than one segment from some 50 shingles on
+   (``shared_at_least``), so two classes are candidates only when they agree in so many: texts that share a passage
+   and little else don't meet, and their blocks don't grow together with the corpus. The connected candidates of the
+   corpus are a block. Agreements are counted for the pairs of segments that at most ``FEW`` classes agree on; a segment
+   of more makes candidates of all of them, as a star around the smallest class. Of more than ``FEW`` classes of a task
    only the first is told to the rest of the corpus, with the others tied to it once, so a segment that a third of all
-   rows agree on has a row per task; stars around the smallest class are written, never pairs.
+   rows agree on has a row per task.
 3. In each block a signature tree is built: its nodes hold OR-combined bitmaps of shingles (with the most shingles of
    one set on a bit) and size ranges. Traversing two trees at once, a pair of nodes whose largest possible overlap is
    below the need is dropped with all its pairs. Sets that meet in leaves are compared exactly.
@@ -22,7 +26,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidewatch.llm.graph import apart, components, stored
 from tidewatch.llm.sieve import possible, sieve
@@ -34,8 +37,15 @@ BLOCK_SHINGLES = 12_000_000
 #: mean's root and ``OFTEN_LEAST``. This decides only which way candidates meet, not which are found.
 SLOTS = 1 << 19
 OFTEN, OFTEN_LEAST = 6, 8
-#: Keys that a task gathers before it tells them.
+#: Keys that a task gathers before it tells them; rows and pairs that it gathers before it pairs and adds them up.
 TOLD_KEYS = 4_000_000
+MET_ROWS = 1_000_000
+#: Agreements weigh so much that what two linked sets agree on comes to ``ENOUGH``: 6, 3 or 2 each.
+ENOUGH = 6
+#: A segment is paired out if at most so many classes agree on it.
+FEW = 32
+#: Beside the six bytes of its number a told class has the weight of its agreement.
+NODE_BITS = 48
 #: Levels of segment counts rise by a half.
 STEP = 1.5
 FANOUT = 8
@@ -75,6 +85,12 @@ def segment_count(most: int) -> int:
     return most + 2 + most // 4
 
 
+def shared_at_least(most: int) -> int:
+    """In how many segments that count two linked sets agree, for their keys of the level ``most``. Small sets have too
+    few segments to spare any."""
+    return 1 if most < 12 else 2 if most < 27 else 3
+
+
 def full_segment(per_cent: int) -> int:
     """How many shingles a segment should hold to count, from how many the segments of a set hold in the mean."""
     return max(1, (100 + per_cent) * 2 // (9 * (100 - per_cent)))
@@ -84,23 +100,29 @@ def segment_keys(shingles: np.ndarray, rare: np.ndarray, most: int, least: int)
     """Keys for partners that differ in at most ``most`` elements.
 
     Segments are filled with rare shingles only, and those with fewer than ``least`` don't count, so that texts don't
-    meet for a passage that very many have or for five words in common. A set with more than ``most`` segments that
-    count agrees with each partner in one of those. Any other set also gives keys for the segments of all its shingles,
-    the empty ones included; two such sets meet there.
+    meet for a passage that very many have or for five words in common. An element that differs spoils one segment, so
+    a set with ``most`` segments that count and ``shared_at_least`` more agrees with each partner in so many. Any other
+    set also gives keys for all segments with rare shingles, and if those are too few for all segments of all its
+    shingles, at last the empty ones included; two such sets meet there.
     """
+    enough = most + shared_at_least(most)
     keys, filled = segments_of(rare, most, least)
-    if len(filled) > most:
+    if len(filled) < enough and least > 1:
+        more, filled = segments_of(rare, most, 1)
+        keys = np.concatenate([keys, more])
+    if len(filled) >= enough:
         return keys
     whole, filled = segments_of(shingles, most, 1)
     whole = mix(whole)
-    if len(filled) > most:
+    if len(filled) >= enough:
         return np.concatenate([keys, whole])
     empty = np.setdiff1d(np.arange(segment_count(most), dtype=np.uint64), filled)
     return np.concatenate([keys, whole, mix(mix(empty + np.uint64(most << 32)) ^ np.uint64(0x5EED))])
 
 
-def candidate_keys(shingles: np.ndarray, per_cent: int, frequent: np.ndarray | None = None) -> np.ndarray:
-    """Keys such that two different linked sets share one; none for sets too small to link with a different one.
+def weighted_keys(shingles: np.ndarray, per_cent: int, frequent: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and their weights, such that the keys two different linked sets share weigh ``ENOUGH`` or more; none for sets
+    too small to link with a different one.
 
     Two sets meet on the level that holds what they may differ in; a set gives keys for the levels of all its partners.
     ``frequent`` says which slots of shingles are frequent; any choice that is the same for all sets is right.
@@ -108,12 +130,20 @@ def candidate_keys(shingles: np.ndarray, per_cent: int, frequent: np.ndarray | N
     n = len(shingles)
     largest = most_apart(n + n * 100 // per_cent, per_cent)
     if largest < 1:
-        return np.empty(0, np.uint64)
+        return np.empty(0, np.uint64), np.empty(0, np.uint64)
     smallest = max(1, most_apart(n + -(-n * per_cent // 100), per_cent))
     ends = levels(largest)
+    ends = ends[int(np.searchsorted(ends, smallest)) :]
     rare = shingles if frequent is None else shingles[~frequent[slots_of(shingles)]]
     least = full_segment(per_cent)
-    return np.concatenate([segment_keys(shingles, rare, e, least) for e in ends[int(np.searchsorted(ends, smallest)) :]])
+    keys = [segment_keys(shingles, rare, e, least) for e in ends]
+    weights = np.repeat(np.array([ENOUGH // shared_at_least(e) for e in ends], np.uint64), [len(k) for k in keys])
+    return np.concatenate(keys), weights
+
+
+def candidate_keys(shingles: np.ndarray, per_cent: int, frequent: np.ndarray | None = None) -> np.ndarray:
+    """Keys such that two different linked sets share one."""
+    return weighted_keys(shingles, per_cent, frequent)[0]
 
 
 def digest(shingles: np.ndarray) -> bytes:
@@ -174,15 +204,30 @@ def frequent_slots(counts: DataFrame) -> np.ndarray:
     return frequent
 
 
-def combined(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The same agreements in fewer rows: each key once, with its first node, and each other node tied to that."""
+def weighted(nodes: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    return nodes | (weights << np.uint64(NODE_BITS))
+
+
+def parted(told: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers and weights of told classes."""
+    return told & np.uint64((1 << NODE_BITS) - 1), told >> np.uint64(NODE_BITS)
+
+
+def combined(keys: np.ndarray, told: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same agreements in fewer rows: of a key with more than ``FEW`` nodes, or of which one agreement is enough, only
+    the first node, and each other node tied to that once."""
     order = np.argsort(keys, kind="stable")
-    keys, nodes = keys[order], nodes[order]
+    keys, told = keys[order], told[order]
     first = np.append(True, keys[1:] != keys[:-1])
-    lead = nodes[first][np.cumsum(first) - 1]
-    tied = np.unique(np.stack([lead, nodes])[:, lead != nodes], axis=1)
-    names = mix(tied[0] ^ np.uint64(0x71ED))
-    return np.concatenate([keys[first], names, names]), np.concatenate([nodes[first], tied[0], tied[1]])
+    group = np.cumsum(first) - 1
+    sizes = np.bincount(group)
+    nodes, weights = parted(told)
+    heavy = ((sizes > FEW) | ((sizes > 1) & (weights[first] >= ENOUGH)))[group]
+    lead = nodes[first][group]
+    tied = np.unique(np.stack([lead, nodes])[:, heavy & (lead != nodes)], axis=1)
+    names, whole = mix(tied[0] ^ np.uint64(0x71ED)), np.uint64(ENOUGH)
+    kept = [told[~heavy], *(weighted(n, whole) for n in (nodes[first & heavy], tied[0], tied[1]))]
+    return np.concatenate([keys[~heavy], keys[first & heavy], names, names]), np.concatenate(kept)
 
 
 def _told(size: int, per_cent: int, frequent: np.ndarray):
@@ -197,9 +242,10 @@ def _told(size: int, per_cent: int, frequent: np.ndarray):
                 name = digest(s)
                 if name not in seen:
                     seen.add(name)
-                    keys.append(candidate_keys(s, per_cent, frequent))
-                    nodes.append(np.full(len(keys[-1]), node_of(name), np.int64).view(np.uint64))
-                    n += len(keys[-1])
+                    own, weights = weighted_keys(s, per_cent, frequent)
+                    keys.append(own)
+                    nodes.append(weighted(np.uint64(node_of(name)), weights))
+                    n += len(own)
             if n >= TOLD_KEYS:
                 yield out(keys, nodes)
                 keys, nodes, n = [], [], 0
@@ -209,6 +255,69 @@ def _told(size: int, per_cent: int, frequent: np.ndarray):
     return run
 
 
+def met(keys: np.ndarray, told: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of nodes that agree on one of the keys, the smaller one first, and what their agreements weigh.
+
+    All pairs of a key with few nodes; for any other and where one agreement is enough a star around the smallest node.
+    """
+    nodes, weights = parted(told)
+    order = np.lexsort((nodes, keys))
+    keys, nodes, weights = keys[order], nodes[order], weights[order]
+    first = np.append(True, keys[1:] != keys[:-1])
+    heaviest = np.maximum.reduceat(weights, np.flatnonzero(first))
+    own = first | np.append(True, nodes[1:] != nodes[:-1])  # a node that several tasks told counts once
+    group, nodes = (np.cumsum(first) - 1)[own], nodes[own]
+    sizes = np.bincount(group)
+    starts = np.cumsum(sizes) - sizes
+    heavy = (sizes > FEW) | (heaviest >= ENOUGH)
+    around = heavy[group] & (nodes != nodes[starts][group])
+    out = [(nodes[starts][group][around], nodes[around], np.full(int(around.sum()), ENOUGH, np.uint64))]
+    for n in range(2, FEW + 1):
+        at = np.flatnonzero((sizes == n) & ~heavy)
+        if len(at):
+            i, j = np.triu_indices(n, 1)
+            rows = nodes[starts[at][:, None] + np.arange(n)]
+            out.append((rows[:, i].ravel(), rows[:, j].ravel(), np.repeat(heaviest[at], len(i))))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def added_up(a: np.ndarray, b: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each pair once, with the sum of its weights up to ``ENOUGH``."""
+    order = np.lexsort((b, a))
+    a, b, weights = a[order], b[order], weights[order]
+    first = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else np.empty(0, np.int64)
+    sums = np.minimum(np.add.reduceat(weights, first), np.uint64(ENOUGH)) if len(a) else weights
+    return a[first], b[first], sums
+
+
+def _met(batches):
+    """Reads told rows sorted by key. What is held: ``MET_ROWS`` rows and pairs, and the rows of one key, which are at most
+    ``FEW`` for each time that a task tells."""
+
+    def out(found):
+        return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in added_up(*map(np.concatenate, zip(*found)))], names=["a", "b", "w"])
+
+    rows, n, found, pairs = [], 0, [], 0
+    for batch in batches:
+        keys, told = (c.to_numpy(zero_copy_only=False).view(np.uint64) for c in batch.columns[:2])
+        rows.append((keys, told))
+        n += len(keys)
+        if n >= MET_ROWS:
+            keys, told = map(np.concatenate, zip(*rows))
+            cut = int(np.searchsorted(keys.view(np.int64), keys.view(np.int64)[-1]))  # the last key may go on
+            rows, n = [(keys[cut:], told[cut:])], len(keys) - cut
+            if cut:
+                found.append(met(keys[:cut], told[:cut]))
+                pairs += len(found[-1][0])
+        if pairs >= MET_ROWS:
+            yield out(found)
+            found, pairs = [], 0
+    if n:
+        found.append(met(*map(np.concatenate, zip(*rows))))
+    if found:
+        yield out(found)
+
+
 class Tree:
     """A signature tree over sets in the given order: levels of (bitmap, smallest, largest), leaves first."""
 
@@ -318,15 +427,20 @@ def _blocks(size: int, per_cent: int):
     return run
 
 
+def candidate_pairs(docs: DataFrame, size: int, per_cent: int, frequent: np.ndarray) -> DataFrame:
+    """Numbers of classes whose agreements are enough for a link; connected, they are the blocks."""
+    told = docs.select("text").mapInArrow(_told(size, per_cent, frequent), "key long, node long")
+    pairs = told.repartition("key").sortWithinPartitions("key").mapInArrow(_met, "a long, b long, w long")
+    return pairs.groupBy("a", "b").agg(F.sum("w").alias("w")).where(F.col("w") >= ENOUGH).select("a", "b")
+
+
 def _rooted(docs: DataFrame, size: int, per_cent: int) -> tuple[DataFrame, DataFrame]:
     """The rows with their classes, and the classes with the roots of their components."""
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     found = stored(docs.withColumn("version", text_digest()).mapInArrow(_classes(size), ROWS), "sets")
     frequent = frequent_slots(found.where("counts IS NOT NULL").select("counts"))
     rows = found.where("class IS NOT NULL").drop("counts")
-    told = docs.select("text").mapInArrow(_told(size, per_cent, frequent), "key long, node long")
-    least = F.min("node").over(Window.partitionBy("key")).alias("least")
-    blocks = components(told.select("node", least).where("least <> node"))
+    blocks = components(candidate_pairs(docs, size, per_cent, frequent))
     classes = (
         rows.where("n_shingles > 0")
         .groupBy("class")
