@@ -95,7 +95,7 @@ def test_agreements_of_pairs_are_counted():
 
 
 def test_texts_that_share_a_passage_make_no_block(spark):
-    """Passages that hang 600 texts together, and one text with a near copy."""
+    """Twelve passages, each in some 50 of 600 texts, and one text with a near copy."""
     rng = random.Random(11)
     words = lambda n: ["%x" % rng.randrange(1 << 40) for _ in range(n)]
     passages = [words(60) for _ in range(12)]
@@ -105,13 +105,9 @@ def test_texts_that_share_a_passage_make_no_block(spark):
     sets = jaccard.shingle_sets([" ".join(t).encode() for t in texts], 5)
     none = np.zeros(jaccard.SLOTS, bool)
     keys = [set(jaccard.candidate_keys(s, 80, none).tolist()) for s in sets]
-    top = list(range(len(texts)))
-    for a, b in combinations(range(len(texts)), 2):
-        if keys[a] & keys[b] and top[a] != top[b]:
-            top = [top[a] if t == top[b] else t for t in top]
-    assert max(top.count(t) for t in set(top)) > 300  # agreement on one segment ties most of them
+    assert sum(bool(a & b) for a, b in combinations(keys, 2)) > 2000  # agreement on one segment would tie so many
     blocks = graph.components(jaccard.candidate_pairs(df, 5, 80, none)).groupBy("root").count().collect()
-    assert max(r["count"] for r in blocks) < 100
+    assert max(r["count"] for r in blocks) < 10
     got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(df).collect()}
     assert got[600] == 0 and all(got[k] == k for k in range(600))
 

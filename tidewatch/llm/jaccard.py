@@ -40,7 +40,7 @@ OFTEN, OFTEN_LEAST = 6, 8
 #: Keys that a task gathers before it tells them; rows and pairs that it gathers before it pairs and adds them up.
 TOLD_KEYS = 4_000_000
 MET_ROWS = 1_000_000
-#: Agreements weigh so much that what two linked sets agree on comes to ``ENOUGH``: 6, 3 or 2 each.
+#: Agreements weigh so much that what two linked sets agree on comes to ``ENOUGH``: 6, 3, 2 or 1 each.
 ENOUGH = 6
 #: A segment is paired out if at most so many classes agree on it.
 FEW = 32
@@ -88,7 +88,7 @@ def segment_count(most: int) -> int:
 def shared_at_least(most: int) -> int:
     """In how many segments that count two linked sets agree, for their keys of the level ``most``. Small sets have too
     few segments to spare any."""
-    return 1 if most < 12 else 2 if most < 27 else 3
+    return 1 if most < 12 else 2 if most < 27 else 3 if most < 62 else 6
 
 
 def full_segment(per_cent: int) -> int:
