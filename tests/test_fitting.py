@@ -67,3 +67,23 @@ def test_orders_are_scored_from_the_features_that_were_stored(spark, unfitted, m
     assert learning.score_with_model(spark, DATA).count() == orders.count()
     assert len(made) == 1 and given["offline"].inputFiles()  # once, and read from where they were written
     assert given["offline"].count() == orders.select("o_custkey").distinct().count()
+
+
+def test_metrics_are_told_of_both_targets(spark, unfitted, folder, monkeypatch):
+    middle = learning.ORDERS_MIDDLE_MS // 1000
+    day = 86_400
+    orders = []
+    for user in range(1, 41):
+        orders += [(user, middle - day * user, "O"), (user, middle + day * user, "F" if user % 4 == 0 else "O")]
+    orders += [(50, middle + day, "F"), (1, middle + 400 * day, "F")]  # no order before the middle; a label after the year
+    rows = [(k, user, at, 100_000.0 + 9_000.0 * user, status, "1-URGENT") for k, (user, at, status) in enumerate(orders)]
+    df = spark.createDataFrame(rows, "o_orderkey long, o_custkey long, at long, o_totalprice double, o_orderstatus string, o_orderpriority string")
+    df.withColumn("o_orderdate", F.timestamp_seconds("at").cast("timestamp_ntz")).drop("at").write.parquet(f"{folder}/orders.parquet")
+    customers = spark.range(1, 51).select(F.col("id").alias("c_custkey"), F.lit(1).alias("c_nationkey"), F.lit("A").alias("c_mktsegment"))
+    customers.write.parquet(f"{folder}/customer.parquet")
+    monkeypatch.setattr(ops, "score_with", lambda model, df: df.withColumn("score", F.lit(0.5)))
+    got = {r["target"]: r for r in learning.model_metrics(spark, folder).collect()}
+    later = got["label of the next year"]
+    assert (later["train_size"], later["test_size"], later["fraud_rate"], later["scale_pos_weight"]) == (32, 8, 0.25, 3.0)
+    assert got["mean payment"]["train_size"] + got["mean payment"]["test_size"] == 41
+    assert all(r["auc"] == 0.5 and r["n_features"] == len(r["feature_columns"]) == len(MODEL_FEATURES) for r in got.values())
